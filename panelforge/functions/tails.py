@@ -7,6 +7,7 @@ those rows. Nulls in give null out.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -120,6 +121,7 @@ def tukey_sf(q: float, k: float, df: float) -> float:
     return float(min(1.0, max(0.0, 1.0 - (ws @ cdf) / ws.sum())))
 
 
+@lru_cache(maxsize=1024)
 def tukey_quantile(p: float, k: float, df: float) -> float:
     lo, hi = 0.0, 10.0
     while 1.0 - tukey_sf(hi, k, df) < p and hi < 1e4:

@@ -48,7 +48,7 @@ def spline_growth(
     fit = _fit_udf(df_target)
     zipped = [F.col("_s")]
     for i, v in enumerate(values):
-        arrays = arrays.withColumn(f"_f{i}", fit("_d", F.transform("_s", lambda s, v=v: s[v])))
+        arrays = arrays.withColumn(f"_f{i}", fit("_d", F.col(f"_s.{v}")))
         zipped += [F.col(f"_f{i}.{p}").alias(f"_{p}{i}") for p in ("value", "slope", "curve")]
     names = ["_s", *[f"_{p}{i}" for i in range(len(values)) for p in ("value", "slope", "curve")]]
     flat = arrays.select(*keys, *[c.alias(n) for c, n in zip(zipped, names)]).select(
