@@ -89,6 +89,4 @@ def soft_category_rates(
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
-    counts = df.groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))
-    wide = counts.groupBy(row).pivot(column, list(values)).agg(F.sum("n"))
-    return wide.fillna(0)
+    return df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).fillna(0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.nulls import as_col, null_of
-from panelforge.operators.ordered import attach, group_total_detail
+from panelforge.operators.ordered import attach
 
 # Missing-value codes of the school survey, and the location labels that are not
 # counties.
@@ -66,9 +66,15 @@ def larger_of_summed_and_reported(summed: Column | str, reported: Column | str)
     return F.when(b.isNotNull() & a.isNotNull(), F.greatest(a, b))
 
 
-def group_total_check(df: DataFrame, by: Sequence[str], value: str, limit: str) -> DataFrame:
-    """Rows whose group's total exceeds a reported column."""
-    return group_total_detail(df, by, value, "total").filter(F.col("total") > F.col(limit))
+def group_total_check(
+    df: DataFrame, key: str, value: str, limits: DataFrame, limit: str
+) -> DataFrame:
+    """Rows whose group's total exceeds the reported total of the group.
+
+    Totals meet the limits one row per key; only offending keys go back to the rows.
+    """
+    totals = df.groupBy(key).agg(F.sum(value).alias("total")).join(limits, key)
+    return df.join(totals.filter(F.col("total") > F.col(limit)), key)
 
 
 def subtract_where(

@@ -78,5 +78,5 @@ def reorder_by_aggregate(
         totals.select("_key").filter(F.col("_key").isNotNull()).distinct(),
         "_key",
         {"rank": F.lit(1).cast("bigint")},
-    ).withColumn("rank", F.col("rank") + 1)
+    ).select("_key", (F.col("rank") + 1).alias("rank"))
     return attach(totals, levels, ["_key"]).drop("_key")

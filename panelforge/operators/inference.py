@@ -24,7 +24,7 @@ from panelforge.functions.tails import (
     tukey_critical,
     tukey_pvalue,
 )
-from panelforge.operators.ordered import attach, preceding_sums
+from panelforge.operators.ordered import preceding_sums
 
 
 def group_moments(df: DataFrame, y: str, group: str, test: str) -> DataFrame:
@@ -119,21 +119,20 @@ def kruskal_wallis(df: DataFrame, y: str, group: str, test: str) -> DataFrame:
         .groupBy(test, y, group)
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )
-    values = counts.groupBy(test, y).agg(F.sum("c").alias("t"))
-    ranked = preceding_sums(values, y, {"before": F.col("t")}, by=[test]).withColumn(
-        "rank", F.col("before") + (F.col("t") + 1) / 2
+    ranked = preceding_sums(counts, y, {"before": F.col("c")}, by=[test], peers=True)
+    t = F.col("before_peers")
+    sums = ranked.groupBy(test, group).agg(
+        F.sum("c").alias("c"),
+        F.sum(F.col("c") * (F.col("before") + (t + 1) / 2)).alias("r"),
+        # A tie of size t adds t^3 - t once: c / t of it from each group that shares the value.
+        F.sum(F.col("c") * (t**2 - 1)).alias("ties"),
     )
-    ties = ranked.groupBy(test).agg(
-        F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"), F.sum("t").alias("n")
-    )
-    sums = (
-        attach(counts, ranked.select(test, y, "rank"), [test, y])
-        .groupBy(test, group)
-        .agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("rank")).alias("r"))
-        .groupBy(test)
-        .agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("r") ** 2 / F.col("c")).alias("q"))
+    out = sums.groupBy(test).agg(
+        F.count(F.lit(1)).alias("k"),
+        F.sum("c").alias("n"),
+        F.sum(F.col("r") ** 2 / F.col("c")).alias("q"),
+        F.sum("ties").alias("ties"),
     )
-    out = attach(sums, ties, [test])
     n = F.col("n")
     spread = 1 - F.col("ties") / (n**3 - n)
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / spread
@@ -282,19 +281,31 @@ def wls_simple(df: DataFrame, y: str, x: str, weight: str, test: str) -> DataFra
     rows = df.filter(
         F.col(y).isNotNull() & F.col(x).isNotNull() & (F.col(weight) > 0)
     ).select(test, F.col(y).alias("y"), F.col(x).alias("x"), F.col(weight).alias("w"))
-    # Means first, then centred sums: the one-pass form cancels badly for clustered x.
-    means = rows.groupBy(test).agg(
-        (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("_mx"),
-        (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("_my"),
+    # Shifting by the overall means (a scalar, no join) keeps the one-pass moments accurate.
+    middle = rows.agg(F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("m")).scalar()
+    rows = rows.withColumn("_m", middle).withColumns(
+        {"x": F.col("x") - F.col("_m.x"), "y": F.col("y") - F.col("_m.y")}
     )
-    dx, dy, w = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my"), F.col("w")
-    out = attach(rows, means, [test]).groupBy(test).agg(
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    out = rows.groupBy(test).agg(
         F.count(F.lit(1)).alias("n"),
-        F.max("_mx").alias("_mx"),
-        F.max("_my").alias("_my"),
-        F.sum(w * dx * dx).alias("sxx"),
-        F.sum(w * dx * dy).alias("sxy"),
-        F.sum(w * dy * dy).alias("syy"),
+        F.max("_m").alias("_m"),
+        F.sum(w).alias("_w"),
+        F.sum(w * x).alias("_wx"),
+        F.sum(w * y).alias("_wy"),
+        F.sum(w * x * x).alias("_wxx"),
+        F.sum(w * x * y).alias("_wxy"),
+        F.sum(w * y * y).alias("_wyy"),
+    )
+    mx, my = F.col("_wx") / F.col("_w"), F.col("_wy") / F.col("_w")
+    out = out.withColumns(
+        {
+            "_mx": mx + F.col("_m.x"),
+            "_my": my + F.col("_m.y"),
+            "sxx": F.col("_wxx") - mx * F.col("_wx"),
+            "sxy": F.col("_wxy") - mx * F.col("_wy"),
+            "syy": F.col("_wyy") - my * F.col("_wy"),
+        }
     )
     slope = F.try_divide("sxy", "sxx")
     sse = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))

@@ -21,10 +21,6 @@ from pyspark.sql import functions as F
 RANGES = 256
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left-join columns of a one-row-per-key frame to every row; null keys match null keys.
 
@@ -58,64 +54,86 @@ def preceding_sums(
     order: str,
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
+    peers: bool = False,
     ranges: int = RANGES,
 ) -> DataFrame:
-    """For each row, the sum of each weight over the rows strictly before it in its group.
+    """For each row, the sum of each weight over the rows that come before it in its group.
 
-    `order` must be unique inside a group (aggregate to distinct values first).
+    Rows with equal `order` are not before each other; `peers=True` adds their own total as
+    ``<name>_peers``. `order` must not be null. The result keeps the range id as `_range`.
+
+    The totals of all earlier ranges arrive as one marker row per (group, range) that sorts first,
+    so a single window over (group, range) yields the answer: one shuffle, no join.
     """
     by = list(by)
     split = with_range(df, order, ranges=ranges)
-    for name, weight in sums.items():
-        split = split.withColumn(f"_w_{name}", weight)
-    inside = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    split = split.withColumns({f"_w_{n}": w for n, w in sums.items()})
+    weights = [f"_w_{n}" for n in sums]
     across = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    totals = split.groupBy(*by, "_range").agg(
-        *[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in sums]
-    )
-    offsets = totals.select(
+    totals = split.groupBy(*by, "_range").agg(*[F.sum(w).alias(w) for w in weights])
+    markers = totals.select(
         *by,
         "_range",
-        *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.coalesce(F.sum(w).over(across), F.lit(0)).alias(w) for w in weights],
+        F.lit(True).alias("_marker"),
     )
-    here = split.select(
-        "*", *[F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0)).alias(f"_i_{n}") for n in sums]
-    )
-    joined = attach(here, offsets, [*by, "_range"])
-    return joined.select(
-        *df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums]
+    rows = split.withColumn("_marker", F.lit(False)).unionByName(markers, allowMissingColumns=True)
+    group = W.partitionBy(*by, "_range")
+    upto = group.orderBy(F.asc_nulls_first(order)).rangeBetween(W.unboundedPreceding, 0)
+    same = W.partitionBy(*by, "_range", order)
+    out = rows.select(
+        *df.columns,
+        "_range",
+        "_marker",
+        *[(F.sum(w).over(upto) - F.sum(w).over(same)).alias(n) for n, w in zip(sums, weights)],
+        *([F.sum(w).over(same).alias(f"{n}_peers") for n, w in zip(sums, weights)] if peers else []),
     )
+    return out.filter(~F.col("_marker")).drop("_marker")
 
 
 def with_row_id(df: DataFrame, order: str, name: str = "id") -> DataFrame:
     """Consecutive 1-based row number in the order of a unique column."""
-    numbered = preceding_sums(df, order, {name: F.lit(1).cast("bigint")})
+    numbered = preceding_sums(df, order, {name: F.lit(1).cast("bigint")}).drop("_range")
     return numbered.withColumn(name, F.col(name) + 1)
 
 
 def next_in_order(
     df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], closed: bool = False
 ) -> DataFrame:
-    """Columns of the following row of the group as `next_<column>`; `closed` wraps the last row
-    to the first one."""
+    """Columns of the following row of the group as `next_<column>` and of the group's first row
+    as `first_<column>`; `closed` wraps the last row to the first one.
+
+    The first row of the next range arrives as a marker row that sorts last in its range.
+    """
     by = list(by)
     split = with_range(df, order)
-    inside = W.partitionBy(*by, "_range").orderBy(order)
-    across = W.partitionBy(*by).orderBy("_range")
     packed = F.struct(*columns)
+    along = W.partitionBy(*by).orderBy("_range")
     heads = split.groupBy(*by, "_range").agg(F.min_by(packed, F.col(order)).alias("_head"))
-    follow = F.lead("_head").over(across)
-    if closed:
-        follow = F.coalesce(
-            follow, F.first("_head").over(across.rowsBetween(W.unboundedPreceding, 0))
-        )
-    heads = heads.select(*by, "_range", follow.alias("_after"))
-    here = split.withColumn("_next", F.lead(packed).over(inside))
-    joined = attach(here, heads, [*by, "_range"]).withColumn(
-        "_next", F.coalesce("_next", "_after")
+    first = F.first("_head").over(along.rowsBetween(W.unboundedPreceding, 0))
+    follow = F.lead("_head").over(along)
+    markers = heads.select(
+        *by,
+        "_range",
+        (F.coalesce(follow, first) if closed else follow).alias("_row"),
+        first.alias("_first"),
+        F.lit(True).alias("_marker"),
+    )
+    rows = split.withColumns({"_row": packed, "_marker": F.lit(False)}).unionByName(
+        markers, allowMissingColumns=True
     )
-    return joined.select(
-        *df.columns, *[F.col(f"_next.`{c}`").alias(f"next_{c}") for c in columns]
+    group = W.partitionBy(*by, "_range")
+    onward = group.orderBy(F.asc_nulls_last(order))
+    out = rows.select(
+        *df.columns,
+        "_marker",
+        F.lead("_row").over(onward).alias("_next"),
+        F.max("_first").over(group).alias("_start"),
+    ).filter(~F.col("_marker"))
+    return out.select(
+        *df.columns,
+        *[F.col(f"_next.`{c}`").alias(f"next_{c}") for c in columns],
+        *[F.col(f"_start.`{c}`").alias(f"first_{c}") for c in columns],
     )
 
 
@@ -173,13 +191,32 @@ def densify(
 ) -> DataFrame:
     """One row per entity and calendar day between the first and last day seen; gaps hold 0.
 
-    The calendar is exploded per entity from two scalars, so there is no cross join.
+    Every entity explodes the calendar from a scalar, so there is no cross join. The zero rows are
+    added to the counts and summed; placing both by entity once serves the sum and every window
+    by entity that follows.
     """
-    span = counts.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    days = F.sequence(span.select("lo").scalar(), span.select("hi").scalar())
-    grid = entities.withColumn("_days", days).withColumn(day, F.explode("_days")).drop("_days")
-    joined = grid.join(counts, [entity, day], "left")
-    return joined.fillna(0, subset=list(values))
+    values = list(values)
+    attributes = [c for c in entities.columns if c != entity]
+    days = counts.agg(F.sequence(F.min(day), F.max(day)).alias("days")).scalar()
+    grid = entities.withColumn("_days", days).select(
+        entity,
+        F.explode("_days").alias(day),
+        *attributes,
+        *[F.lit(0).cast("bigint").alias(v) for v in values],
+        F.lit(True).alias("_known"),
+    )
+    rows = grid.unionByName(counts.select(entity, day, *values), allowMissingColumns=True)
+    return (
+        rows.repartition(entity)
+        .groupBy(entity, day)
+        .agg(
+            *[F.max(a).alias(a) for a in attributes],
+            *[F.sum(v).alias(v) for v in values],
+            F.count_if("_known").alias("_n"),
+        )
+        .filter(F.col("_n") > 0)
+        .drop("_n")
+    )
 
 
 def series(entity: str | Sequence[str], order: str) -> "W":

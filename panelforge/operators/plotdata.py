@@ -8,73 +8,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.operators.ordered import attach, next_in_order, preceding_sums
+from panelforge.operators.ordered import RANGES, attach, next_in_order, preceding_sums
+
+
+def _placed_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Distinct values with their count and the count of smaller values in the group."""
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*by, value)
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    return preceding_sums(counts, value, {"_before": F.col("_c")}, by=by)
+
+
+def _pick_quantiles(
+    placed: DataFrame, by: list[str], value: str, probs: Sequence[tuple[str, float]]
+) -> DataFrame:
+    # The group size is the end of its last count interval, known per (group, range) first.
+    ends = placed.groupBy(*by, "_range").agg(
+        F.max(F.col("_before") + F.col("_c")).alias("_end"), F.min("_before").alias("_start")
+    )
+    whole = W.partitionBy(*by)
+    ends = ends.withColumn("n", F.max("_end").over(whole))
+    ranks = []
+    for _, p in probs:
+        at = F.lit(p) * (F.col("n") - 1)
+        ranks += [F.floor(at), F.ceil(at)]
+    held = [(F.col("_start") <= r) & (r < F.col("_end")) for r in ranks]
+    needed = ends.filter(F.greatest(*[h.cast("int") for h in held]) == 1)
+    rows = attach(placed, needed.select(*by, "_range", "n"), [*by, "_range"])
+    rows = rows.filter(F.col("n").isNotNull())
+    covers = [
+        (F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")) for r in ranks
+    ]
+    picks = [F.max(F.when(c, F.col(value))).alias(f"_v{i}") for i, c in enumerate(covers)]
+    out = rows.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+    for i, (name, p) in enumerate(probs):
+        at = F.lit(p) * (F.col("n") - 1)
+        lo, hi = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
+        out = out.withColumn(name, lo + (hi - lo) * (at - F.floor(at)))
+    return out.select(*by, "n", *[name for name, _ in probs])
 
 
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[tuple[str, float]]
 ) -> DataFrame:
-    """Interpolated quantiles (the spreadsheet definition) per group, by distributed counting.
+    """Interpolated quantiles per group, by distributed counting.
 
-    Values shrink to counts, cumulative counts come from value ranges, and each wanted order
-    statistic picks the one row whose count interval covers it. No task gathers a group.
+    Values shrink to counts, cumulative counts come from value ranges, and only the ranges that
+    hold a wanted order statistic are looked into. No task gathers a group.
     """
     by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    placed = preceding_sums(counts, value, {"_before": F.col("_c")}, by=by)
-    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("n"))
-    placed = attach(placed, sizes, by)
-    low = lambda p: F.floor(F.lit(p) * (F.col("n") - 1))
-    high = lambda p: F.ceil(F.lit(p) * (F.col("n") - 1))
-    covers = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
-    picks = [F.max("n").alias("n")]
-    for name, p in probs:
-        picks.append(F.max(F.when(covers(low(p)), F.col(value))).alias(f"_{name}_lo"))
-        picks.append(F.max(F.when(covers(high(p)), F.col(value))).alias(f"_{name}_hi"))
-    out = placed.groupBy(*by).agg(*picks)
-    for name, p in probs:
-        at = F.lit(p) * (F.col("n") - 1)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out = out.withColumn(name, lo + (hi - lo) * (at - F.floor(at)))
-    return out.select(*by, "n", *[name for name, _ in probs])
+    return _pick_quantiles(_placed_counts(df, by, value), by, value, probs)
 
 
 def boxplot_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Quartiles, whiskers (extremes within 1.5 box heights) and the number of outliers."""
-    quartiles = exact_quantiles(
-        df, by, value, [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
+    """Quartiles, whiskers (extremes within 1.5 box heights) and the number of outliers.
+
+    Whiskers come from the value counts as well; the fences of a group go out once per value
+    range, so a group that holds most rows is still worked on range by range.
+    """
+    by = list(by)
+    placed = _placed_counts(df, by, value)
+    boxes = _pick_quantiles(
+        placed, by, value, [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
     )
     height = F.col("q3") - F.col("q1")
-    fenced = quartiles.withColumns(
-        {"_lo": F.col("q1") - 1.5 * height, "_hi": F.col("q3") + 1.5 * height}
+    fences = boxes.select(
+        *by,
+        F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("_range"),
+        (F.col("q1") - 1.5 * height).alias("_lo"),
+        (F.col("q3") + 1.5 * height).alias("_hi"),
     )
-    inside = (F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi"))
+    inside = F.col(value).between(F.col("_lo"), F.col("_hi"))
     ends = (
-        attach(df.filter(F.col(value).isNotNull()).select(*by, value), fenced, by)
+        attach(placed.select(*by, "_range", value, "_c"), fences, [*by, "_range"])
         .groupBy(*by)
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),
             F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-            F.count_if(~inside).alias("outliers"),
+            F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("outliers"),
         )
     )
-    return attach(quartiles, ends, by)
+    return attach(boxes, ends, by)
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Counts in equal-width bins over the whole range; the top edge belongs to the last bin."""
     rows = df.filter(F.col(value).isNotNull())
-    span = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    framed = rows.withColumns(
-        {"_lo": span.select("lo").scalar(), "_hi": span.select("hi").scalar()}
+    span = rows.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s"))
+    lo, hi = F.col("_s.lo"), F.col("_s.hi")
+    width = (hi - lo) / bins
+    place = F.when(width > 0, F.floor((F.col(value) - lo) / width)).otherwise(0)
+    framed = rows.withColumn("_s", span.scalar()).withColumn(
+        "bin", F.least(place, F.lit(bins - 1)).cast("int")
     )
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    place = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width)).otherwise(0)
-    framed = framed.withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
     return framed.groupBy(*by, "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("_lo") + F.col("bin") * width).alias("lower")
+        F.count(F.lit(1)).alias("n"), F.max(lo + F.col("bin") * width).alias("lower")
     )
 
 
@@ -83,28 +113,27 @@ def polygon_centroids(
 ) -> DataFrame:
     """Area centroid of each closed ring by the shoelace sums.
 
-    Coordinates are taken relative to the ring's mean point, which keeps small rings far from the
-    origin accurate.
+    Coordinates are taken relative to the ring's first vertex, which keeps small rings far from
+    the origin accurate.
     """
-    middle = vertices.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
     edges = next_in_order(vertices.select(*by, vertex, x, y), by, vertex, [x, y], closed=True)
-    edges = attach(edges, middle, by)
-    x0, y0 = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
-    x1, y1 = F.col(f"next_{x}") - F.col("_mx"), F.col(f"next_{y}") - F.col("_my")
+    ox, oy = F.col(f"first_{x}"), F.col(f"first_{y}")
+    x0, y0 = F.col(x) - ox, F.col(y) - oy
+    x1, y1 = F.col(f"next_{x}") - ox, F.col(f"next_{y}") - oy
     cross = x0 * y1 - x1 * y0
     sums = edges.groupBy(*by).agg(
         F.count(F.lit(1)).alias("vertices"),
         F.sum(cross).alias("_a"),
         F.sum((x0 + x1) * cross).alias("_cx"),
         F.sum((y0 + y1) * cross).alias("_cy"),
-        F.max("_mx").alias("_mx"),
-        F.max("_my").alias("_my"),
+        F.max(ox).alias("_ox"),
+        F.max(oy).alias("_oy"),
     )
     three = 3 * F.col("_a")
     return sums.select(
         *by,
         "vertices",
         (F.abs("_a") / 2).alias("area"),
-        (F.col("_mx") + F.try_divide(F.col("_cx"), three)).alias("center_x"),
-        (F.col("_my") + F.try_divide(F.col("_cy"), three)).alias("center_y"),
+        (F.col("_ox") + F.try_divide(F.col("_cx"), three)).alias("center_x"),
+        (F.col("_oy") + F.try_divide(F.col("_cy"), three)).alias("center_y"),
     )

@@ -26,16 +26,13 @@ STATUSES = ["F", "O", "P"]
        JOIN v_county_totals AS c ON c.county = t.county""",
 )
 def enroll_by_category(d: Data):
-    sized = d.school().select("county", "mask", "district").join(
-        d.district().select("district", "enroll"), "district"
-    )
-    known = sized.filter(~F.col("mask").isin("4-NOT SPECIFIED", "5-LOW"))
+    known = d.district_masks().filter(~F.col("mask").isin("4-NOT SPECIFIED", "5-LOW"))
     totals = A.category_totals(known, ["county", "mask"], "district", "enroll", "total")
     return A.with_share(totals.join(d.county_totals(), "county"), "total", "county_enroll", "share")
 
 
 @query(
-    "o_custkey:l mean_price:f4 strict_mean:f4",
+    "o_custkey:l mean_price:f7 strict_mean:f7",
     """SELECT o_custkey, avg(price) AS mean_price,
               CASE WHEN count(price) = count(*) THEN avg(price) END AS strict_mean
        FROM (SELECT o_custkey, CASE WHEN o_totalprice > 20000 THEN o_totalprice END AS price

@@ -158,12 +158,15 @@ def recode_category(d: Data):
 )
 def adjusted_group_total(d: Data):
     partial = ["2-HIGH", "3-MEDIUM"]
-    schools = d.school()
-    sized = schools.join(d.district().select("district", "enroll"), "district")
-    sized = sized.withColumn("mask", recode("mask", partial, "1-URGENT"))
+    sized = d.district_masks().withColumn("mask", recode("mask", partial, "1-URGENT"))
     totals = category_totals(sized, ["county", "mask"], "district", "enroll", "students")
-    elementary = schools.filter(F.col("mask").isin(partial) & (F.col("level") == "F"))
-    elementary = elementary.groupBy("county").agg(F.sum("enrollment").alias("less"))
+    elementary = d.by_district(
+        d.table("orders").filter(
+            F.col("o_orderpriority").isin(partial) & (F.col("o_orderstatus") == "F")
+        ),
+        F.sum("o_totalprice").alias("amount"),
+    )
+    elementary = elementary.groupBy("county").agg(F.sum("amount").alias("less"))
     return C.subtract_where(totals, "county", "mask", "students", "1-URGENT", elementary, "less")
 
 

@@ -367,8 +367,15 @@ def majority_threshold(d: Data):
        WHERE total > reported""",
 )
 def group_total_check(d: Data):
-    rows = d.school().select("school_id", "district", "enrollment", "reported")
-    return C.group_total_check(rows, ["district"], "enrollment", "reported")
+    schools = d.table("orders").select(
+        F.col("o_orderkey").alias("school_id"),
+        F.col("o_custkey").alias("district"),
+        F.col("o_totalprice").alias("enrollment"),
+    )
+    limits = d.table("customer").select(
+        F.col("c_custkey").alias("district"), (F.col("c_acctbal") * 300.0).alias("reported")
+    )
+    return C.group_total_check(schools, "district", "enrollment", limits, "reported")
 
 
 # --- scalar functions -------------------------------------------------------------------------

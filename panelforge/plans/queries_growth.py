@@ -252,7 +252,7 @@ def snapshot_rate(d: Data):
 
 
 @query(
-    "county:i date:d slope:f8",
+    "county:i date:d slope:f9",
     """SELECT county, date, slope FROM (SELECT *, max(round(slope, 9)) OVER (PARTITION BY county) AS top
          FROM v_slopes) AS t WHERE round(slope, 9) = top""",
 )

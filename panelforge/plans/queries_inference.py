@@ -36,7 +36,7 @@ _ANOVA = """SELECT {key}, k, n, k - 1 AS df1, n - k AS df2, ssb, ssw,
 
 
 @query(
-    "region:i k:l n:l df1:l df2:l ssb:f2 ssw:f2 f:f8",
+    "region:i k:l n:l df1:l df2:l ssb:f0 ssw:f0 f:f8",
     _ANOVA.format(key="region", moments=_MOMENTS),
 )
 def anova_oneway(d: Data):
@@ -86,7 +86,7 @@ _SWEEP = """(SELECT c.segment AS segment, i AS cutoff_id,
 
 
 @query(
-    "segment:s cutoff_id:i k:l n:l ssb:f2 ssw:f2 f:f8",
+    "segment:s cutoff_id:i k:l n:l ssb:f0 ssw:f0 f:f8",
     _ANOVA.format(key="segment, cutoff_id", moments=_SWEEP),
 )
 def anova_cutoff_sweep(d: Data):
@@ -110,7 +110,7 @@ _LINE = """SELECT {key}, n, slope, my - slope * mx AS intercept, slope * sxy / n
 
 
 @query(
-    "o_orderstatus:s n:l slope:f8 intercept:f4 r2:f8 se:f8 t:f6 df2:l",
+    "o_orderstatus:s n:l slope:f4 intercept:f2 r2:f8 se:f4 t:f6 df2:l",
     _LINE.format(
         key="o_orderstatus",
         y="o_totalprice",
@@ -137,7 +137,7 @@ def ols_by_group(d: Data):
 
 
 @query(
-    "l_returnflag:s term:s n:l est:f6 se:f6 t:f4 r2:f8 df2:l",
+    "l_returnflag:s term:s n:l est:f4 se:f4 t:f4 r2:f8 df2:l",
     """SELECT l_returnflag, unnest(['(intercept)', 'quantity', 'discount']) AS term, n,
               unnest([b0, b1, b2]) AS est, unnest([se0, se1, se2]) AS se,
               unnest([b0 / se0, b1 / se1, b2 / se2]) AS t, r2, n - 3 AS df2
@@ -199,7 +199,7 @@ def ols_interaction(d: Data):
 
 
 @query(
-    "l_returnflag:s n:l slope:f6 intercept:f4 se:f6 t:f4 df2:l",
+    "l_returnflag:s n:l slope:f4 intercept:f4 se:f4 t:f4 df2:l",
     """SELECT l_returnflag, n, slope, my - slope * mx AS intercept,
               sqrt((syy - slope * sxy) / ((n - 2) * sxx)) AS se,
               slope / sqrt((syy - slope * sxy) / ((n - 2) * sxx)) AS t, n - 2 AS df2

@@ -39,34 +39,44 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return test_table(self.spark, self.folder, name)
 
-    def school(self) -> DataFrame:
-        orders, customer = self.table("orders"), self.table("customer")
-        return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-            F.col("o_orderkey").alias("school_id"),
-            F.col("c_nationkey").alias("county"),
-            F.col("c_custkey").alias("district"),
-            F.col("o_totalprice").alias("enrollment"),
-            (F.col("c_acctbal") * 300.0).alias("reported"),
-            F.col("c_mktsegment").alias("method"),
-            F.col("o_orderpriority").alias("mask"),
-            F.col("o_orderstatus").alias("level"),
-            F.col("o_orderdate").cast("date").alias("open_date"),
+    def by_district(self, orders: DataFrame, *aggs) -> DataFrame:
+        """Orders reduced to one row per customer before the join, so a customer with very many
+        orders reaches the join as one row; both steps share the placement by customer."""
+        return (
+            orders.groupBy("o_custkey")
+            .agg(*aggs)
+            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .withColumnsRenamed(
+                {"c_nationkey": "county", "c_custkey": "district", "c_mktsegment": "method"}
+            )
         )
 
     def district(self) -> DataFrame:
         """One row per district with the larger of summed and reported enrollment."""
-        opened = F.min(F.when(F.col("open_date") >= F.lit(OPENING_FROM), F.col("open_date")))
-        sums = (
-            self.school()
-            .groupBy("county", "district", "method", "reported")
-            .agg(F.round(F.sum("enrollment"), 2).alias("summed"), opened.alias("opened"))
+        day = F.col("o_orderdate").cast("date")
+        sums = self.by_district(
+            self.table("orders"),
+            F.round(F.sum("o_totalprice"), 2).alias("summed"),
+            F.min(F.when(day >= F.lit(OPENING_FROM), day)).alias("opened"),
+        )
+        return sums.select(
+            "county",
+            "district",
+            "method",
+            (F.col("c_acctbal") * 300.0).alias("reported"),
+            "summed",
+            C.larger_of_summed_and_reported("summed", F.col("c_acctbal") * 300.0).alias("enroll"),
+            F.trunc("opened", "week").alias("open_week"),
+        )
+
+    def district_masks(self) -> DataFrame:
+        """Districts with each mask policy of their schools."""
+        masks = self.table("orders").select(
+            F.col("o_custkey").alias("district"), F.col("o_orderpriority").alias("mask")
+        )
+        return masks.distinct().join(
+            self.district().select("county", "district", "enroll"), "district"
         )
-        return sums.withColumns(
-            {
-                "enroll": C.larger_of_summed_and_reported("summed", "reported"),
-                "open_week": F.trunc("opened", "week"),
-            }
-        ).drop("opened")
 
     def county_totals(self) -> DataFrame:
         return self.district().groupBy("county").agg(
