@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 256
+# Ranges of the order, found in two steps of BLOCK comparisons each.
+BLOCK = 16
+RANGES = BLOCK * BLOCK
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,14 +40,23 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- any group size ---------------------------------------------------------------------------
 
 
-def with_range(df: DataFrame, order: str, name: str = "_range", ranges: int = RANGES) -> DataFrame:
-    """Number of quantile cut points below the order column, a deterministic range id."""
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(order, steps, 10 * ranges).alias("c")).scalar()
+def with_range(df: DataFrame, order: str, name: str = "_range") -> DataFrame:
+    """Number of quantile cut points below the order column, a deterministic range id.
+
+    The cut points are one mergeable sketch over the column, sent out as a scalar of fixed size.
+    """
+    steps = [i / RANGES for i in range(1, RANGES)]
+    cuts = df.agg(F.percentile_approx(order, steps, 10 * RANGES).alias("c"))
+    coarse = F.array(*[F.element_at("c", i) for i in range(BLOCK, RANGES, BLOCK)])
+    both = cuts.select(F.struct(F.col("c").alias("fine"), coarse.alias("coarse")).alias("s"))
+    below = lambda c: c < F.col(order)
+    block = F.col("_block") * BLOCK
+    fine = F.filter(F.slice("_cuts.fine", block + 1, BLOCK - 1), below)
     return (
-        df.withColumn("_cuts", cuts)
-        .withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-        .drop("_cuts")
+        df.withColumn("_cuts", both.scalar())
+        .withColumn("_block", F.size(F.filter("_cuts.coarse", below)))
+        .withColumn(name, block + F.size(fine))
+        .drop("_cuts", "_block")
     )
 
 
@@ -55,18 +66,18 @@ def preceding_sums(
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     peers: bool = False,
-    ranges: int = RANGES,
 ) -> DataFrame:
     """For each row, the sum of each weight over the rows that come before it in its group.
 
-    Rows with equal `order` are not before each other; `peers=True` adds their own total as
-    ``<name>_peers``. `order` must not be null. The result keeps the range id as `_range`.
+    `order` must not be null. It must be unique in its group unless `peers=True`: then rows with
+    equal `order` are not before each other, and their own total is added as ``<name>_peers``.
+    The result keeps the range id as `_range`.
 
     The totals of all earlier ranges arrive as one marker row per (group, range) that sorts first,
     so a single window over (group, range) yields the answer: one shuffle, no join.
     """
     by = list(by)
-    split = with_range(df, order, ranges=ranges)
+    split = with_range(df, order)
     split = split.withColumns({f"_w_{n}": w for n, w in sums.items()})
     weights = [f"_w_{n}" for n in sums]
     across = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -78,17 +89,17 @@ def preceding_sums(
         F.lit(True).alias("_marker"),
     )
     rows = split.withColumn("_marker", F.lit(False)).unionByName(markers, allowMissingColumns=True)
-    group = W.partitionBy(*by, "_range")
-    upto = group.orderBy(F.asc_nulls_first(order)).rangeBetween(W.unboundedPreceding, 0)
-    same = W.partitionBy(*by, "_range", order)
-    out = rows.select(
-        *df.columns,
-        "_range",
-        "_marker",
-        *[(F.sum(w).over(upto) - F.sum(w).over(same)).alias(n) for n, w in zip(sums, weights)],
-        *([F.sum(w).over(same).alias(f"{n}_peers") for n, w in zip(sums, weights)] if peers else []),
-    )
-    return out.filter(~F.col("_marker")).drop("_marker")
+    inside = W.partitionBy(*by, "_range").orderBy(F.asc_nulls_first(order))
+    out = {}
+    for n, w in zip(sums, weights):
+        if peers:
+            same = F.sum(w).over(W.partitionBy(*by, "_range", order))
+            upto = F.sum(w).over(inside.rangeBetween(W.unboundedPreceding, 0))
+            out[n], out[f"{n}_peers"] = upto - same, same
+        else:
+            out[n] = F.sum(w).over(inside.rowsBetween(W.unboundedPreceding, -1))
+    found = rows.select(*df.columns, "_range", "_marker", *[c.alias(n) for n, c in out.items()])
+    return found.filter(~F.col("_marker")).drop("_marker")
 
 
 def with_row_id(df: DataFrame, order: str, name: str = "id") -> DataFrame:
@@ -187,17 +198,24 @@ def pick_largest(
 
 
 def densify(
-    counts: DataFrame, entities: DataFrame, entity: str, day: str, values: Sequence[str]
+    counts: DataFrame,
+    entities: DataFrame,
+    entity: str,
+    day: str,
+    values: Sequence[str],
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """One row per entity and calendar day between the first and last day seen; gaps hold 0.
 
+    `seen` may name a cheaper frame to take the first and last day from than `counts` itself.
+
     Every entity explodes the calendar from a scalar, so there is no cross join. The zero rows are
     added to the counts and summed; placing both by entity once serves the sum and every window
     by entity that follows.
     """
     values = list(values)
     attributes = [c for c in entities.columns if c != entity]
-    days = counts.agg(F.sequence(F.min(day), F.max(day)).alias("days")).scalar()
+    days = (counts if seen is None else seen).agg(F.sequence(F.min(day), F.max(day)).alias("days")).scalar()
     grid = entities.withColumn("_days", days).select(
         entity,
         F.explode("_days").alias(day),

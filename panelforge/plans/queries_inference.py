@@ -1,8 +1,4 @@
-"""Group tests and regressions.
-
-Statistics have oracles; the tail probabilities are separate queries without one and are checked
-against published tables in the tests.
-"""
+"""Group tests and regressions: statistics and, as queries of their own, tail probabilities."""
 
 from __future__ import annotations
 
@@ -12,6 +8,7 @@ from panelforge.functions.nulls import ratio, safe_ln
 from panelforge.functions.text import significance
 from panelforge.operators import inference as I
 from panelforge.plans.queries_growth import OFFSET_WINDOWS
+from panelforge.plans import sql_tails as S
 from panelforge.plans.registry import query
 from panelforge.plans.standins import METHODS, START, Data
 
@@ -57,7 +54,14 @@ def anova_binary(d: Data):
     return I.anova_oneway(rows, "c_acctbal", "is_building", "region")
 
 
-@query("region:i f:f8 df1:l df2:l p:f8")
+_ANOVA_BALANCES = _ANOVA.format(key="region", moments=_MOMENTS)
+
+
+@query(
+    "region:i f:f8 df1:l df2:l p:f8",
+    f"""SELECT region, f, df1, df2, CASE WHEN df1 = 4 THEN {S.f_upper_4('f', 'df2')} END AS p
+        FROM ({_ANOVA_BALANCES}) AS s""",
+)
 def anova_pvalue(d: Data):
     return I.with_f_pvalue(anova_oneway(d))
 
@@ -93,7 +97,15 @@ def anova_cutoff_sweep(d: Data):
     return I.anova_cutoff_sweep(finished_shares(d), "y", "x", CUTOFFS, "segment")
 
 
-@query("segment:s cutoff:f2 f:f8 p:f8 significant:b")
+_SWEEP_F = _ANOVA.format(key="segment, cutoff_id", moments=_SWEEP)
+
+
+@query(
+    "segment:s cutoff:f2 f:f8 p:f8 significant:b",
+    f"""SELECT segment, cutoff, f, p, p < 0.05 AS significant
+        FROM (SELECT *, CAST('0.4' AS DOUBLE) + cutoff_id * CAST('0.01' AS DOUBLE) AS cutoff,
+                     {S.t_two_sided('sqrt(f)', 'df2')} AS p FROM ({_SWEEP_F}) AS s) AS r""",
+)
 def anova_cutoff_pvalue(d: Data):
     return I.with_f_pvalue(anova_cutoff_sweep(d)).withColumn("significant", F.col("p") < 0.05)
 
@@ -109,21 +121,27 @@ _LINE = """SELECT {key}, n, slope, my - slope * mx AS intercept, slope * sxy / n
                        FROM {source} GROUP BY {key}) AS a) AS b"""
 
 
-@query(
-    "o_orderstatus:s n:l slope:f4 intercept:f2 r2:f8 se:f4 t:f6 df2:l",
-    _LINE.format(
+_ORDER_LINE = _LINE.format(
         key="o_orderstatus",
         y="o_totalprice",
         x="x",
         source="(SELECT *, o_custkey / CAST(1000 AS DOUBLE) AS x FROM orders) AS o",
-    ),
+)
+
+
+@query(
+    "o_orderstatus:s n:l slope:f4 intercept:f2 r2:f8 se:f4 t:f6 df2:l",
+    _ORDER_LINE,
 )
 def ols_simple(d: Data):
     rows = d.table("orders").withColumn("x", F.col("o_custkey") / F.lit(1000.0))
     return I.ols_simple(rows, "o_totalprice", "x", "o_orderstatus")
 
 
-@query("o_orderstatus:s t:f6 df2:l p:f8")
+@query(
+    "o_orderstatus:s t:f6 df2:l p:f8",
+    f"SELECT o_orderstatus, t, df2, {S.t_two_sided('t', 'df2')} AS p FROM ({_ORDER_LINE}) AS s",
+)
 def ols_pvalue(d: Data):
     return I.with_t_pvalue(ols_simple(d))
 
@@ -186,7 +204,37 @@ def ols_categorical(d: Data):
     )
 
 
-@query("l_returnflag:s term:s n:l est:f4 se:f4 t:f4 p:f6")
+# Three predictors: the inverse of their cross-moment matrix by cofactors.
+_CUBE = """(SELECT *, s11 * i11 + s12 * i12 + s13 * i13 AS det FROM (
+              SELECT *, s22 * s33 - s23 * s23 AS i11, s13 * s23 - s12 * s33 AS i12,
+                     s12 * s23 - s13 * s22 AS i13, s11 * s33 - s13 * s13 AS i22,
+                     s12 * s13 - s11 * s23 AS i23, s11 * s22 - s12 * s12 AS i33
+              FROM (SELECT l_returnflag, count(*) AS n, avg(q) AS m1, avg(x) AS m2, avg(qx) AS m3,
+                           avg(y) AS my, regr_sxx(y, q) AS s11, regr_sxx(y, x) AS s22,
+                           regr_sxx(y, qx) AS s33, regr_sxy(q, x) AS s12, regr_sxy(q, qx) AS s13,
+                           regr_sxy(x, qx) AS s23, regr_sxy(y, q) AS c1, regr_sxy(y, x) AS c2,
+                           regr_sxy(y, qx) AS c3, regr_syy(y, q) AS syy
+                    FROM (SELECT l_returnflag, l_quantity AS q, l_discount AS x,
+                                 l_quantity * l_discount AS qx, l_extendedprice AS y
+                          FROM lineitem) AS r GROUP BY 1) AS a) AS b)"""
+_CUBE_FIT = f"""(SELECT *, (syy - b1 * c1 - b2 * c2 - b3 * c3) / (n - 4) AS s2
+                 FROM (SELECT *, (i11 * c1 + i12 * c2 + i13 * c3) / det AS b1,
+                              (i12 * c1 + i22 * c2 + i23 * c3) / det AS b2,
+                              (i13 * c1 + i23 * c2 + i33 * c3) / det AS b3 FROM {_CUBE} AS c) AS f)"""
+_CUBE_ROWS = f"""(SELECT l_returnflag, n, n - 4 AS df2,
+       unnest(['(intercept)', 'quantity', 'discount', 'quantity:discount']) AS term,
+       unnest([my - b1 * m1 - b2 * m2 - b3 * m3, b1, b2, b3]) AS est,
+       unnest([sqrt(s2 * (1 / CAST(n AS DOUBLE) + (m1 * m1 * i11 + m2 * m2 * i22 + m3 * m3 * i33
+                 + 2 * (m1 * m2 * i12 + m1 * m3 * i13 + m2 * m3 * i23)) / det)),
+               sqrt(s2 * i11 / det), sqrt(s2 * i22 / det), sqrt(s2 * i33 / det)]) AS se
+       FROM {_CUBE_FIT} AS g)"""
+
+
+@query(
+    "l_returnflag:s term:s n:l est:f4 se:f4 t:f4 p:f6",
+    f"""SELECT l_returnflag, term, n, est, se, t, {S.t_two_sided('t', 'df2')} AS p
+        FROM (SELECT *, est / se AS t FROM {_CUBE_ROWS} AS h) AS i""",
+)
 def ols_interaction(d: Data):
     q, x = F.col("l_quantity"), F.col("l_discount")
     fit = I.ols_multi(
@@ -238,52 +286,103 @@ def pairs(d: Data):
     return I.posthoc_pairs(balances(d), "c_acctbal", "c_mktsegment", "region")
 
 
-@query(
-    "region:i group1:s group2:s diff:f6 se:f6 t:f6 df2:l reach:l",
-    f"""SELECT a.region, a.g AS group1, b.g AS group2, b.m - a.m AS diff,
+_PAIRS = f"""SELECT a.region, a.g AS group1, b.g AS group2, b.m - a.m AS diff,
                sqrt(a.ssw / a.df2 * (1 / CAST(a.n AS DOUBLE) + 1 / CAST(b.n AS DOUBLE))) AS se,
                (b.m - a.m) / sqrt(a.ssw / a.df2 * (1 / CAST(a.n AS DOUBLE)
                  + 1 / CAST(b.n AS DOUBLE))) AS t,
-               a.df2, abs(a.place - b.place) + 1 AS reach
-        FROM (SELECT *, sum(ss) OVER w AS ssw, sum(n) OVER w - count(*) OVER w AS df2,
+               a.df2, a.k, a.n AS n1, b.n AS n2, abs(a.place - b.place) + 1 AS reach
+        FROM (SELECT *, sum(ss) OVER w AS ssw, sum(n) OVER w - count(*) OVER w AS df2, count(*) OVER w AS k,
                      rank() OVER (PARTITION BY region ORDER BY m) AS place
               FROM {_MOMENTS} AS x WINDOW w AS (PARTITION BY region)) AS a
         JOIN (SELECT *, rank() OVER (PARTITION BY region ORDER BY m) AS place
-              FROM {_MOMENTS} AS y) AS b ON a.region = b.region AND a.g < b.g""",
+              FROM {_MOMENTS} AS y) AS b ON a.region = b.region AND a.g < b.g"""
+_KEYS = "region, group1, group2"
+_Q = "(abs(t) * sqrt(2))"
+
+
+@query(
+    "region:i group1:s group2:s diff:f6 se:f6 t:f6 df2:l reach:l",
+    _PAIRS,
 )
 def posthoc_pairs(d: Data):
     return pairs(d)
 
 
-@query("region:i group1:s group2:s diff:f6 lower:f4 upper:f4 p:f6")
+# The critical range per region by halving an interval 45 times.
+_CRITICAL = f"""(WITH RECURSIVE halving AS (
+    SELECT DISTINCT region, k, df2, CAST(0 AS DOUBLE) AS lo, CAST(10 AS DOUBLE) AS hi, 0 AS step
+    FROM ({_PAIRS}) AS p
+    UNION ALL
+    SELECT region, k, df2, CASE WHEN tail > 0.05 THEN (lo + hi) / 2 ELSE lo END,
+           CASE WHEN tail > 0.05 THEN hi ELSE (lo + hi) / 2 END, step + 1
+    FROM {S.range_tail("halving", "((lo + hi) / 2)", "k", "df2", "region, k, df2, lo, hi, step")} AS r
+    WHERE step < 45)
+  SELECT region, lo AS q_crit FROM halving WHERE step = 45)"""
+
+
+@query(
+    "region:i group1:s group2:s diff:f6 lower:f4 upper:f4 p:f6",
+    f"""SELECT p.region, p.group1, p.group2, diff, diff - q_crit / sqrt(2) * se AS lower,
+               diff + q_crit / sqrt(2) * se AS upper, tail AS p
+        FROM ({_PAIRS}) AS p JOIN {_CRITICAL} AS c ON c.region = p.region
+        JOIN {S.range_tail(f"({_PAIRS})", _Q, "k", "df2", _KEYS)} AS t
+          ON t.region = p.region AND t.group1 = p.group1 AND t.group2 = p.group2""",
+)
 def posthoc_tukey(d: Data):
     return I.tukey_hsd(pairs(d))
 
 
-@query("region:i group1:s group2:s p:f6 mark:s")
+@query(
+    "region:i group1:s group2:s p:f3 mark:s",
+    f"""SELECT *, CASE WHEN p <= 0.01 THEN '**' WHEN p <= 0.05 THEN '*' ELSE 'NS' END AS mark
+        FROM (SELECT region, group1, group2,
+                     round(1 - power(1 - tail, 1 / CAST(reach - 1 AS DOUBLE)), 3) AS p
+              FROM {S.range_tail(f"({_PAIRS})", _Q, "reach", "df2", _KEYS + ", reach")} AS r) AS s""",
+)
 def posthoc_duncan(d: Data):
     out = I.duncan(pairs(d)).withColumn("p", F.round("p", 3))
     return out.withColumn("mark", significance("p"))
 
 
-@query("region:i group1:s group2:s diff:f6 p:f6")
+@query(
+    "region:i group1:s group2:s diff:f6 p:f6",
+    f"""SELECT region, group1, group2, diff, CASE WHEN k = 5 THEN {S.f_upper_4('f', 'df2')} END AS p
+        FROM (SELECT *, t * t / (k - 1) AS f FROM ({_PAIRS}) AS p) AS s""",
+)
 def posthoc_scheffe(d: Data):
     return I.scheffe(pairs(d))
 
 
-@query("region:i group1:s group2:s p:f6")
+@query(
+    "region:i group1:s group2:s p:f6",
+    f"""SELECT region, group1, group2,
+               least({S.t_two_sided('t', 'df2')} * (k * (k - 1) / CAST(2 AS DOUBLE)), 1) AS p
+        FROM ({_PAIRS}) AS p""",
+)
 def posthoc_bonferroni(d: Data):
     return I.bonferroni(pairs(d))
 
 
-@query("region:i grp:s diff:f6 t:f6 p:f6")
+_AGAINST = f"""(SELECT region, CASE WHEN group2 = 'BUILDING' THEN group1 ELSE group2 END AS grp, df2,
+                       CASE WHEN group2 = 'BUILDING' THEN -diff ELSE diff END AS diff,
+                       CASE WHEN group2 = 'BUILDING' THEN -t ELSE t END AS t,
+                       sqrt(CASE WHEN group2 = 'BUILDING' THEN n1 ELSE n2 END
+                            / CAST(n1 + n2 AS DOUBLE)) AS load
+                FROM ({_PAIRS}) AS p WHERE 'BUILDING' IN (group1, group2))"""
+_ALL_LOADS = f"""(SELECT a.region, a.grp, a.df2, a.diff, a.t, b.load
+                  FROM {_AGAINST} AS a JOIN {_AGAINST} AS b ON a.region = b.region)"""
+
+
+@query(
+    "region:i grp:s diff:f6 t:f6 p:f6",
+    f"""SELECT region, grp, diff, t, tail AS p
+        FROM {S.dunnett_tail(_ALL_LOADS, "t", "df2", "load", "region, grp, diff, t")} AS r""",
+)
 def posthoc_dunnett(d: Data):
     return I.dunnett(pairs(d), "BUILDING", "region")
 
 
-@query(
-    "l_linestatus:s k:l n:l h:f6 df1:l",
-    """SELECT q.l_linestatus, k, n,
+_RANKS = """SELECT q.l_linestatus, k, n,
               (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h, k - 1 AS df1
        FROM (SELECT l_linestatus, count(*) AS k, sum(r * r / c) AS s, sum(c) AS n
              FROM (SELECT l_linestatus, l_returnflag, sum(rk) AS r, CAST(count(*) AS DOUBLE) AS c
@@ -294,13 +393,21 @@ def posthoc_dunnett(d: Data):
                    GROUP BY 1, 2) AS b GROUP BY 1) AS q
        JOIN (SELECT l_linestatus, sum(c * c * c - c) AS ties
              FROM (SELECT l_linestatus, l_quantity, CAST(count(*) AS DOUBLE) AS c FROM lineitem
-                   GROUP BY 1, 2) AS a GROUP BY 1) AS t ON t.l_linestatus = q.l_linestatus""",
+                   GROUP BY 1, 2) AS a GROUP BY 1) AS t ON t.l_linestatus = q.l_linestatus"""
+
+
+@query(
+    "l_linestatus:s k:l n:l h:f6 df1:l",
+    _RANKS,
 )
 def kruskal_wallis(d: Data):
     return I.kruskal_wallis(d.table("lineitem"), "l_quantity", "l_returnflag", "l_linestatus")
 
 
-@query("l_linestatus:s h:f6 df1:l p:f8")
+@query(
+    "l_linestatus:s h:f6 df1:l p:f8",
+    f"SELECT l_linestatus, h, df1, CASE WHEN df1 = 2 THEN exp(-h / 2) END AS p FROM ({_RANKS}) AS r",
+)
 def kruskal_pvalue(d: Data):
     return I.with_chi2_pvalue(kruskal_wallis(d))
 

@@ -121,7 +121,12 @@ class Data:
     def daily(self) -> DataFrame:
         """Dense county-by-day panel with running totals."""
         dense = O.densify(
-            self.counts(), self.population(), "county", "date", ["confirmed", "deaths", "delta"]
+            self.counts(),
+            self.population(),
+            "county",
+            "date",
+            ["confirmed", "deaths", "delta"],
+            seen=self.table("orders").select(F.col("o_orderdate").cast("date").alias("date")),
         )
         return dense.withColumns(
             {
