@@ -16,9 +16,12 @@ Z_BAND = 1.6448536269514722
 def category_totals(
     df: DataFrame, by: Sequence[str], unit: str, size: str, name: str = "enroll"
 ) -> DataFrame:
-    """Total size per group after reducing rows to distinct (group, unit, size)."""
+    """Total size per group after reducing rows to distinct (group, unit, size).
+
+    A unit of unknown size makes the total null.
+    """
     units = df.select(*by, unit, size).distinct()
-    return units.groupBy(*by).agg(F.sum(size).alias(name))
+    return units.groupBy(*by).agg(strict_sum(size).alias(name))
 
 
 def with_share(df: DataFrame, part: str, total: str, name: str, digits: int | None = 2) -> DataFrame:
@@ -51,12 +54,12 @@ def value_of_label(label: Column | str, columns: Mapping[str, str]) -> Column:
 
 
 def weighted_mean(value: str, weight: str) -> Column:
-    product = F.col(value) * F.col(weight)
-    return F.try_divide(F.sum(product), F.sum(F.when(product.isNotNull(), F.col(weight)).cast("double")))
+    """Null as soon as one product is unknown."""
+    return ratio(strict_sum(F.col(value) * F.col(weight)), strict_sum(weight))
 
 
 def ratio_of_sums(a: str, b: str) -> Column:
-    return ratio(F.sum(a), F.sum(b))
+    return ratio(strict_sum(a), strict_sum(b))
 
 
 def incidence_band(

@@ -89,7 +89,15 @@ def subtract_where(
 def reconcile(
     increments: DataFrame, levels: DataFrame, key: str, increment: str, level: str, day: str
 ) -> DataFrame:
-    """Per key: sum of increments against the latest cumulative level, joined by key."""
+    """Per key: sum of increments against the latest cumulative level, joined by key.
+
+    When both live in one frame it is read once and nothing is joined.
+    """
+    if increments is levels:
+        both = levels.groupBy(key).agg(
+            F.sum(increment).alias("summed"), F.max_by(level, day).alias("latest")
+        )
+        return both.withColumn("mismatch", ~F.col("summed").eqNullSafe(F.col("latest")))
     summed = increments.groupBy(key).agg(F.sum(increment).alias("summed"))
     latest = levels.groupBy(key).agg(F.max_by(level, day).alias("latest"))
     both = summed.join(latest, key, "full")

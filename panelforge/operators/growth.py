@@ -95,11 +95,16 @@ def category_series(
 def summaries(
     df: DataFrame, entity: str, measures: Mapping[str, tuple[Column, Column, str]]
 ) -> DataFrame:
-    """Many windowed summaries in one aggregate: ``{name: (condition, value, "max" | "avg")}``."""
+    """Many windowed summaries in one aggregate: ``{name: (condition, value, "max" | "avg")}``.
+
+    A null value inside a window makes its summary null.
+    """
     fn = {"max": F.max, "avg": F.avg}
-    return df.groupBy(entity).agg(
-        *[fn[how](F.when(cond, v)).alias(name) for name, (cond, v, how) in measures.items()]
-    )
+    aggs = []
+    for name, (cond, value, how) in measures.items():
+        known = F.count_if(cond & value.isNull()) == 0
+        aggs.append(F.when(known, fn[how](F.when(cond, value))).alias(name))
+    return df.groupBy(entity).agg(*aggs)
 
 
 def at_offsets(

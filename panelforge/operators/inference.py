@@ -119,7 +119,9 @@ def kruskal_wallis(df: DataFrame, y: str, group: str, test: str) -> DataFrame:
         .groupBy(test, y, group)
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )
-    ranked = preceding_sums(counts, y, {"before": F.col("c")}, by=[test], peers=True)
+    ranked = preceding_sums(
+        counts, y, {"before": F.col("c")}, by=[test], peers=True, touch=["c"]
+    )
     t = F.col("before_peers")
     sums = ranked.groupBy(test, group).agg(
         F.sum("c").alias("c"),
@@ -155,33 +157,32 @@ def with_chi2_pvalue(stats: DataFrame) -> DataFrame:
 def posthoc_pairs(df: DataFrame, y: str, group: str, test: str) -> DataFrame:
     """All pairs of group means with the pooled error: one row per (test, group1 < group2).
 
-    Pairs are made from the group summaries (one row per category), never from data rows.
+    The data is read once. Pairs come from the group summaries (one entry per category), never
+    from data rows.
     """
     moments = group_moments(df, y, group, test)
-    whole = W.partitionBy(test)
-    by_mean = whole.orderBy("mean")
-    m = moments.select(
-        test,
-        F.col(group).alias("g"),
-        "n",
-        "mean",
-        F.count(F.lit(1)).over(whole).alias("k"),
-        (F.sum("n").over(whole) - F.count(F.lit(1)).over(whole)).alias("df2"),
-        F.sum("ss").over(whole).alias("ssw"),
-        F.rank().over(by_mean).alias("place"),
+    place = F.rank().over(W.partitionBy(test).orderBy("mean"))
+    tests = moments.withColumn("place", place).groupBy(test).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "n", "mean", "place"))).alias(
+            "_g"
+        ),
+        F.count(F.lit(1)).alias("k"),
+        (F.sum("n") - F.count(F.lit(1))).alias("df2"),
+        F.sum("ss").alias("ssw"),
+    )
+    pairs = tests.withColumn("a", F.explode("_g")).withColumn(
+        "b", F.explode(F.filter("_g", lambda o: o["g"] > F.col("a.g")))
     )
-    a, b = m.alias("a"), m.alias("b")
-    pairs = a.join(b, (F.col(f"a.{test}") == F.col(f"b.{test}")) & (F.col("a.g") < F.col("b.g")))
-    msw = F.when((F.col("a.df2") > 0) & (F.col("a.ssw") > 0), F.col("a.ssw") / F.col("a.df2"))
+    msw = F.when((F.col("df2") > 0) & (F.col("ssw") > 0), F.col("ssw") / F.col("df2"))
     inv = 1 / F.col("a.n") + 1 / F.col("b.n")
     out = pairs.select(
-        F.col(f"a.{test}").alias(test),
+        test,
         F.col("a.g").alias("group1"),
         F.col("b.g").alias("group2"),
         F.col("a.n").alias("n1"),
         F.col("b.n").alias("n2"),
-        F.col("a.k").alias("k"),
-        F.col("a.df2").alias("df2"),
+        "k",
+        "df2",
         (F.col("b.mean") - F.col("a.mean")).alias("diff"),
         F.sqrt(msw * inv).alias("se"),
         (F.abs(F.col("a.place") - F.col("b.place")) + 1).alias("reach"),

@@ -40,32 +40,47 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- any group size ---------------------------------------------------------------------------
 
 
-def with_range(df: DataFrame, order: str, name: str = "_range") -> DataFrame:
-    """Number of quantile cut points below the order column, a deterministic range id.
+def with_range(df: DataFrame, order: str, touch: Sequence[str] = ()) -> DataFrame:
+    """`_range`: number of quantile cut points below the order column, a deterministic range id.
 
     The cut points are one mergeable sketch over the column, sent out as a scalar of fixed size.
+    When `df` is itself an aggregate, `touch` names its aggregated columns: the sketch then needs
+    the same shuffle as the main plan and reuses it instead of reading the source again.
     """
     steps = [i / RANGES for i in range(1, RANGES)]
-    cuts = df.agg(F.percentile_approx(order, steps, 10 * RANGES).alias("c"))
+    cuts = df.agg(
+        F.percentile_approx(order, steps, 10 * RANGES).alias("c"),
+        *[F.max(t).alias(f"_touch_{t}") for t in touch],
+    )
     coarse = F.array(*[F.element_at("c", i) for i in range(BLOCK, RANGES, BLOCK)])
-    both = cuts.select(F.struct(F.col("c").alias("fine"), coarse.alias("coarse")).alias("s"))
+    touched = [F.col(f"_touch_{t}") for t in touch]
+    both = cuts.select(
+        F.struct(F.col("c").alias("fine"), coarse.alias("coarse"), *touched).alias("s")
+    )
     below = lambda c: c < F.col(order)
     block = F.col("_block") * BLOCK
     fine = F.filter(F.slice("_cuts.fine", block + 1, BLOCK - 1), below)
     return (
         df.withColumn("_cuts", both.scalar())
         .withColumn("_block", F.size(F.filter("_cuts.coarse", below)))
-        .withColumn(name, block + F.size(fine))
+        .withColumn("_range", block + F.size(fine))
         .drop("_cuts", "_block")
     )
 
 
+def sum_of_earlier_ranges(value: str, by: Sequence[str]) -> Column:
+    """Over a frame with one row per (group, range): total of the group's earlier ranges."""
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(earlier), F.lit(0))
+
+
 def preceding_sums(
     df: DataFrame,
     order: str,
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     peers: bool = False,
+    touch: Sequence[str] = (),
 ) -> DataFrame:
     """For each row, the sum of each weight over the rows that come before it in its group.
 
@@ -77,15 +92,14 @@ def preceding_sums(
     so a single window over (group, range) yields the answer: one shuffle, no join.
     """
     by = list(by)
-    split = with_range(df, order)
+    split = with_range(df, order, touch)
     split = split.withColumns({f"_w_{n}": w for n, w in sums.items()})
     weights = [f"_w_{n}" for n in sums]
-    across = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = split.groupBy(*by, "_range").agg(*[F.sum(w).alias(w) for w in weights])
     markers = totals.select(
         *by,
         "_range",
-        *[F.coalesce(F.sum(w).over(across), F.lit(0)).alias(w) for w in weights],
+        *[sum_of_earlier_ranges(w, by).alias(w) for w in weights],
         F.lit(True).alias("_marker"),
     )
     rows = split.withColumn("_marker", F.lit(False)).unionByName(markers, allowMissingColumns=True)

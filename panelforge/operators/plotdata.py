@@ -8,40 +8,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.operators.ordered import RANGES, attach, next_in_order, preceding_sums
+from panelforge.operators.ordered import (
+    attach,
+    next_in_order,
+    sum_of_earlier_ranges,
+    with_range,
+)
 
 
-def _placed_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct values with their count and the count of smaller values in the group."""
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
+def _value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Distinct values of each group with their count and value range."""
+    known = df.filter(F.col(value).isNotNull())
+    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    return with_range(counts, value, touch=["_c"])
+
+
+def _range_table(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Per (group, range): count before it, count through it, group size, extremes."""
+    totals = counts.groupBy(*by, "_range").agg(
+        F.sum("_c").alias("_t"), F.min(value).alias("_min"), F.max(value).alias("_max")
+    )
+    size = F.sum("_t").over(W.partitionBy(*by))
+    placed = totals.withColumns({"_before": sum_of_earlier_ranges("_t", by), "n": size})
+    return placed.withColumn("_through", F.col("_before") + F.col("_t"))
+
+
+def _in_ranges(counts: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """Value rows of the listed (group, range) cells with the columns of the list."""
+    return attach(counts, ranges.withColumn("_wanted", F.lit(True)), [*by, "_range"]).filter(
+        F.col("_wanted")
     )
-    return preceding_sums(counts, value, {"_before": F.col("_c")}, by=by)
 
 
 def _pick_quantiles(
-    placed: DataFrame, by: list[str], value: str, probs: Sequence[tuple[str, float]]
+    counts: DataFrame,
+    ranges: DataFrame,
+    by: list[str],
+    value: str,
+    probs: Sequence[tuple[str, float]],
 ) -> DataFrame:
-    # The group size is the end of its last count interval, known per (group, range) first.
-    ends = placed.groupBy(*by, "_range").agg(
-        F.max(F.col("_before") + F.col("_c")).alias("_end"), F.min("_before").alias("_start")
-    )
-    whole = W.partitionBy(*by)
-    ends = ends.withColumn("n", F.max("_end").over(whole))
     ranks = []
     for _, p in probs:
         at = F.lit(p) * (F.col("n") - 1)
         ranks += [F.floor(at), F.ceil(at)]
-    held = [(F.col("_start") <= r) & (r < F.col("_end")) for r in ranks]
-    needed = ends.filter(F.greatest(*[h.cast("int") for h in held]) == 1)
-    rows = attach(placed, needed.select(*by, "_range", "n"), [*by, "_range"])
-    rows = rows.filter(F.col("n").isNotNull())
-    covers = [
-        (F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")) for r in ranks
-    ]
-    picks = [F.max(F.when(c, F.col(value))).alias(f"_v{i}") for i, c in enumerate(covers)]
+    holds = [(F.col("_before") <= r) & (r < F.col("_through")) for r in ranks]
+    wanted = ranges.filter(F.greatest(*[h.cast("int") for h in holds]) == 1)
+    rows = _in_ranges(counts, wanted.select(*by, "_range", "_before", "n"), by)
+    inside = W.partitionBy(*by, "_range").orderBy(value)
+    through = F.col("_before") + F.sum("_c").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_through", through).withColumn(
+        "_before", F.col("_through") - F.col("_c")
+    )
+    picks = [F.max(F.when(h, F.col(value))).alias(f"_v{i}") for i, h in enumerate(holds)]
     out = rows.groupBy(*by).agg(F.max("n").alias("n"), *picks)
     for i, (name, p) in enumerate(probs):
         at = F.lit(p) * (F.col("n") - 1)
@@ -55,42 +73,49 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles per group, by distributed counting.
 
-    Values shrink to counts, cumulative counts come from value ranges, and only the ranges that
-    hold a wanted order statistic are looked into. No task gathers a group.
+    Values shrink to counts, the counts of value ranges tell which ranges hold the wanted order
+    statistics, and only those ranges are sorted. No task gathers a group.
     """
     by = list(by)
-    return _pick_quantiles(_placed_counts(df, by, value), by, value, probs)
+    counts = _value_counts(df, by, value)
+    return _pick_quantiles(counts, _range_table(counts, by, value), by, value, probs)
 
 
 def boxplot_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers (extremes within 1.5 box heights) and the number of outliers.
 
-    Whiskers come from the value counts as well; the fences of a group go out once per value
-    range, so a group that holds most rows is still worked on range by range.
+    Ranges that lie wholly inside the fences count from the range table; only the ranges cut by a
+    fence are looked into value by value.
     """
     by = list(by)
-    placed = _placed_counts(df, by, value)
+    counts = _value_counts(df, by, value)
+    ranges = _range_table(counts, by, value)
     boxes = _pick_quantiles(
-        placed, by, value, [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
+        counts, ranges, by, value, [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
     )
     height = F.col("q3") - F.col("q1")
     fences = boxes.select(
-        *by,
-        F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("_range"),
-        (F.col("q1") - 1.5 * height).alias("_lo"),
-        (F.col("q3") + 1.5 * height).alias("_hi"),
+        *by, (F.col("q1") - 1.5 * height).alias("_lo"), (F.col("q3") + 1.5 * height).alias("_hi")
+    )
+    lo, hi = F.col("_lo"), F.col("_hi")
+    placed = attach(ranges, fences, by)
+    whole = (F.col("_min") >= lo) & (F.col("_max") <= hi)
+    outside = (F.col("_max") < lo) | (F.col("_min") > hi)
+    cut = placed.filter(~whole & ~outside).select(*by, "_range", "_lo", "_hi")
+    edge = _in_ranges(counts, cut, by).filter(F.col(value).between(lo, hi))
+    inside = placed.filter(whole).select(
+        *by, F.col("_min").alias("_a"), F.col("_max").alias("_b"), F.col("_t").alias("_c")
+    )
+    inside = inside.unionByName(
+        edge.select(*by, F.col(value).alias("_a"), F.col(value).alias("_b"), "_c")
     )
-    inside = F.col(value).between(F.col("_lo"), F.col("_hi"))
-    ends = (
-        attach(placed.select(*by, "_range", value, "_c"), fences, [*by, "_range"])
-        .groupBy(*by)
-        .agg(
-            F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-            F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("outliers"),
-        )
+    ends = inside.groupBy(*by).agg(
+        F.min("_a").alias("whisker_low"),
+        F.max("_b").alias("whisker_high"),
+        F.sum("_c").alias("_inside"),
     )
-    return attach(boxes, ends, by)
+    out = attach(boxes, ends, by)
+    return out.withColumn("outliers", F.col("n") - F.col("_inside")).drop("_inside")
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:

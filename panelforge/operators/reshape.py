@@ -53,15 +53,19 @@ def multi_signal(
     day: str,
     signal: str,
     values: Mapping[str, Sequence[str]],
+    base: str,
 ) -> DataFrame:
-    """Signals of a long table side by side per (geo, day).
+    """Signals of a long table side by side per (geo, day) that has the `base` signal.
 
     `values` maps a signal to the value columns wanted from it; the result column is
-    ``<signal>_<column>``. One scan and one partially aggregated shuffle replace a chain of joins.
+    ``<signal>_<column>``. One scan and one partially aggregated shuffle replace a chain of left
+    joins that starts at `base`.
     """
     wanted = []
     for name, columns in values.items():
         for c in columns:
             cell = F.max(F.when(F.col(signal) == name, F.col(c)))
             wanted.append(cell.alias(f"{name}_{c}"))
-    return signals.filter(F.col(signal).isin(list(values))).groupBy(geo, day).agg(*wanted)
+    rows = signals.filter(F.col(signal).isin(list({*values, base})))
+    wide = rows.groupBy(geo, day).agg(*wanted, F.count_if(F.col(signal) == base).alias("_base"))
+    return wide.filter(F.col("_base") > 0).drop("_base")

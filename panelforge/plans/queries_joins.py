@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions.nulls import ratio
@@ -70,8 +71,8 @@ def full_outer_join(d: Data):
 )
 def natural_join(d: Data):
     left = d.district().select("county", "method", "district", "enroll")
-    right = d.shares().select("county", "method", "county_enroll")
-    right = O.attach(right, right.groupBy("county").agg(F.count(F.lit(1)).alias("methods")), ["county"])
+    methods = F.count(F.lit(1)).over(W.partitionBy("county"))
+    right = d.shares().select("county", "method", "county_enroll", methods.alias("methods"))
     common = [c for c in left.columns if c in right.columns]
     return left.join(right, common, "left")
 
@@ -87,7 +88,7 @@ def natural_join(d: Data):
               max(CASE WHEN signal = 'purchase' THEN value END) AS purchase_value,
               max(CASE WHEN signal = 'view' THEN value END) AS view_value
        FROM v_signals WHERE signal IN ('click', 'error', 'purchase', 'view')
-       GROUP BY county, date""",
+       GROUP BY county, date HAVING count(*) FILTER (signal = 'click') > 0""",
 )
 def multi_signal_join(d: Data):
     wanted = {
@@ -96,7 +97,7 @@ def multi_signal_join(d: Data):
         "purchase": ["value"],
         "view": ["value"],
     }
-    return R.multi_signal(d.signals(), "county", "date", "signal", wanted)
+    return R.multi_signal(d.signals(), "county", "date", "signal", wanted, base="click")
 
 
 _WEEKS = {**{f"b_m{w}w": -7 * w for w in (3, 2, 1)}, **{f"b_{w}w": 7 * w for w in range(8)}}
@@ -165,13 +166,16 @@ def value_at_event(d: Data):
 )
 def share_of_total(d: Data):
     totals = d.county_totals()
-    per_row = (
+    rows = (
         d.district()
         .join(totals, "county")
-        .groupBy("county", "method")
-        .agg(F.round(F.sum(ratio("enroll", "county_enroll")), 2).alias("sum_of_ratios"))
+        .groupBy("county", "method", "county_enroll")
+        .agg(
+            F.sum("enroll").alias("total"),
+            F.round(F.sum(ratio("enroll", "county_enroll")), 2).alias("sum_of_ratios"),
+        )
     )
-    rows = d.shares().join(per_row, ["county", "method"])
+    rows = A.with_share(rows, "total", "county_enroll", "share")
     rows = A.with_grand_total(rows, totals, "county_enroll", "state_enroll")
     return A.with_share(rows, "total", "state_enroll", "state_share", None)
 

@@ -10,6 +10,7 @@ import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions.nulls import log1p_count
@@ -84,9 +85,13 @@ class Data:
         )
 
     def shares(self, category: str = "method") -> DataFrame:
+        """Share of the county per category. Every district has one value of the category, so the
+        county total is the sum over the few category rows and the districts are read once."""
         totals = A.category_totals(self.district(), ["county", category], "district", "enroll", "total")
-        joined = totals.join(self.county_totals(), "county")
-        return A.with_share(joined, "total", "county_enroll", "share")
+        county = F.round(F.sum("total").over(W.partitionBy("county")), 2)
+        return A.with_share(
+            totals.withColumn("county_enroll", county), "total", "county_enroll", "share"
+        )
 
     def wide(self) -> DataFrame:
         wide = R.widen(self.shares(), ["county", "county_enroll"], "method", "share", METHODS, 0.0)
