@@ -46,22 +46,16 @@ def spline_growth(
         "_d", F.transform("_s", lambda s: day_number(s[day]).cast("double"))
     )
     fit = _fit_udf(df_target)
-    zipped = [F.col("_s")]
     for i, v in enumerate(values):
         arrays = arrays.withColumn(f"_f{i}", fit("_d", F.col(f"_s.{v}")))
-        zipped += [F.col(f"_f{i}.{p}").alias(f"_{p}{i}") for p in ("value", "slope", "curve")]
-    names = ["_s", *[f"_{p}{i}" for i in range(len(values)) for p in ("value", "slope", "curve")]]
-    flat = arrays.select(*keys, *[c.alias(n) for c, n in zip(zipped, names)]).select(
-        *keys, F.explode(F.arrays_zip(*names)).alias("_r")
-    )
-    out = [F.col(f"_r._s.{day}").alias(day)]
+    fits = [f"_f{i}" for i in range(len(values))]
+    flat = arrays.select(*keys, *fits, F.posexplode("_s").alias("_i", "_r"))
+    # A series too short for the fit keeps its rows with null results.
+    out = [F.col(f"_r.{day}").alias(day)]
     for i, v in enumerate(values):
-        out += [
-            F.col(f"_r._s.{v}").alias(v),
-            F.col(f"_r._value{i}").alias(f"{v}_fit"),
-            F.col(f"_r._slope{i}").alias(f"{v}_b"),
-            F.col(f"_r._curve{i}").alias(f"{v}_b2"),
-        ]
+        out.append(F.col(f"_r.{v}").alias(v))
+        for part, suffix in (("value", "fit"), ("slope", "b"), ("curve", "b2")):
+            out.append(F.get(F.col(f"_f{i}.{part}"), F.col("_i")).alias(f"{v}_{suffix}"))
     return flat.select(*keys, *out)
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -57,13 +58,16 @@ def with_range(df: DataFrame, order: str, touch: Sequence[str] = ()) -> DataFram
     both = cuts.select(
         F.struct(F.col("c").alias("fine"), coarse.alias("coarse"), *touched).alias("s")
     )
-    below = lambda c: c < F.col(order)
-    block = F.col("_block") * BLOCK
-    fine = F.filter(F.slice("_cuts.fine", block + 1, BLOCK - 1), below)
+    # Comparisons are added up instead of searched by a lambda, which keeps them in compiled code.
+    below = lambda cut: (cut < F.col(order)).cast("int")
+    block = reduce(add, [below(F.get("_cuts.coarse", F.lit(i))) for i in range(BLOCK - 1)])
+    fine = reduce(
+        add, [below(F.get("_cuts.fine", F.col("_block") * BLOCK + i)) for i in range(BLOCK - 1)]
+    )
     return (
         df.withColumn("_cuts", both.scalar())
-        .withColumn("_block", F.size(F.filter("_cuts.coarse", below)))
-        .withColumn("_range", block + F.size(fine))
+        .withColumn("_block", block)
+        .withColumn("_range", F.col("_block") * BLOCK + fine)
         .drop("_cuts", "_block")
     )
 

@@ -101,7 +101,8 @@ def boxplot_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     placed = attach(ranges, fences, by)
     whole = (F.col("_min") >= lo) & (F.col("_max") <= hi)
     outside = (F.col("_max") < lo) | (F.col("_min") > hi)
-    cut = placed.filter(~whole & ~outside).select(*by, "_range", "_lo", "_hi")
+    # The count condition always holds; it keeps this branch on the same shuffle as the others.
+    cut = placed.filter(~whole & ~outside & (F.col("_t") > 0)).select(*by, "_range", "_lo", "_hi")
     edge = _in_ranges(counts, cut, by).filter(F.col(value).between(lo, hi))
     inside = placed.filter(whole).select(
         *by, F.col("_min").alias("_a"), F.col("_max").alias("_b"), F.col("_t").alias("_c")

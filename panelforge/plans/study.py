@@ -197,12 +197,11 @@ def profile(raw: DataFrame, positions: str = "1,14-20,38-50") -> DataFrame:
 
 def assemble(cases: DataFrame, wide: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Panel of counties with a known posture and the cumulative rate per 1,000 people."""
-    keyed = cases
-    if profiles is not None:
-        keyed = keyed.join(profiles, keyed["COUNTY"] == profiles["county"], "left").drop(
-            profiles["county"]
-        )
-    panel = keyed.join(wide, F.upper(keyed["COUNTY"]) == wide["county"], "left").drop("county")
+    panel = cases
+    for table in (profiles, wide):
+        if table is not None:
+            keyed = K.rename(table, {"county": "_county"})
+            panel = panel.join(keyed, F.upper("COUNTY") == F.col("_county"), "left").drop("_county")
     panel = panel.filter(F.col("major_teaching").isNotNull())
     return panel.withColumns(
         {
