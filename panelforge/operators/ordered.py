@@ -229,8 +229,10 @@ def densify(
 
     Every entity explodes the calendar from a scalar, so there is no cross join. The zero rows are
     added to the counts and summed; placing both by entity once serves the sum and every window
-    by entity that follows.
+    or fold by entity that follows. The number of partitions is given, because the panel is small
+    in bytes but long in work: left alone, adaptive execution would merge it into a few tasks.
     """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = list(values)
     attributes = [c for c in entities.columns if c != entity]
     days = (counts if seen is None else seen).agg(F.sequence(F.min(day), F.max(day)).alias("days")).scalar()
@@ -243,7 +245,7 @@ def densify(
     )
     rows = grid.unionByName(counts.select(entity, day, *values), allowMissingColumns=True)
     return (
-        rows.repartition(entity)
+        rows.repartition(parts, entity)
         .groupBy(entity, day)
         .agg(
             *[F.max(a).alias(a) for a in attributes],
