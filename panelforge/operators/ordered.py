@@ -179,15 +179,27 @@ def rows_at_max_detail(df: DataFrame, by: Sequence[str], value: str) -> DataFram
 
 
 def first_last_rows_detail(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """First and last row of each group with its position and the group size."""
+    """First and last row of each group with its position and the group size.
+
+    Each map task sends two rows per group; `order` must be unique in its group.
+    """
+    row = F.struct(*[c for c in df.columns if c not in by])
     ends = df.groupBy(*by).agg(
-        F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("group_size")
+        F.min_by(row, order).alias("_first"),
+        F.max_by(row, order).alias("_last"),
+        F.count(F.lit(1)).alias("group_size"),
+    )
+    at = lambda end, position: F.struct(
+        F.col(end).alias("row"), position.cast("bigint").alias("position")
     )
-    kept = attach(df, ends, by).filter(
-        (F.col(order) == F.col("_lo")) | (F.col(order) == F.col("_hi"))
+    first, last = at("_first", F.lit(1)), at("_last", F.col("group_size"))
+    both = F.when(F.col("group_size") > 1, F.array(first, last)).otherwise(F.array(first))
+    rows = ends.select(*by, "group_size", F.explode(both).alias("_e"))
+    return rows.select(
+        *[F.col(c) if c in by else F.col(f"_e.row.`{c}`").alias(c) for c in df.columns],
+        F.col("_e.position").alias("position"),
+        "group_size",
     )
-    position = F.when(F.col(order) == F.col("_lo"), F.lit(1)).otherwise(F.col("group_size"))
-    return kept.withColumn("position", position.cast("bigint")).drop("_lo", "_hi")
 
 
 def group_total_detail(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:

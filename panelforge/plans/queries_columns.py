@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -290,8 +290,7 @@ def complete_cases(d: Data):
        WHERE l_shipdate >= DATE '1998-08-18' AND l_shipdate < DATE '1998-09-08'""",
 )
 def date_window_filter(d: Data):
-    start = datetime(START.year, START.month, START.day)
-    window = D.between_days("l_shipdate", start, start + timedelta(days=21), hi_open=True)
+    window = D.between_days("l_shipdate", START, START + timedelta(days=21), hi_open=True)
     return d.table("lineitem").filter(window)
 
 

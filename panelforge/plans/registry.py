@@ -30,7 +30,7 @@ def emit(df: DataFrame, out: str) -> DataFrame:
     for name, kind in _fields(out):
         c = F.col(name)
         if kind == "d":
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = c.cast("date").cast("string")
         elif kind[0] == "f":
             c = F.round(c.cast("double"), int(kind[1:])) + F.lit(0.0)
         else:

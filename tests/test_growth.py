@@ -62,6 +62,44 @@ def test_fit_minimises_the_penalised_error():
     assert np.allclose(left, penalty * (gram @ c), atol=1e-3 * np.abs(left).max())
 
 
+def test_equals_the_natural_spline_smoother():
+    """With all days as knots the fit is (I + a Q R^-1 Q')^-1 y; a is found from the trace."""
+    rng = np.random.default_rng(8)
+    n, df = 45, 9.5
+    x = np.cumsum(rng.integers(1, 4, n)).astype(float)
+    y = rng.normal(size=n)
+    h = np.diff(x)
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        q[j, j], q[j + 1, j], q[j + 2, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+        r[j, j] = (h[j] + h[j + 1]) / 3
+        if j < n - 3:
+            r[j, j + 1] = r[j + 1, j] = h[j + 1] / 6
+    k = q @ np.linalg.solve(r, q.T)
+    lo, hi = -30.0, 30.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        s = np.linalg.inv(np.eye(n) + np.exp(mid) * k)
+        lo, hi = (mid, hi) if np.trace(s) > df else (lo, mid)
+    value, _, curve = S.fit_series([x], [y], df)[0]
+    assert np.allclose(value, s @ y, atol=1e-7)
+    assert np.allclose(curve[[0, -1]], 0.0, atol=1e-6)
+
+
+def test_fit_keeps_level_and_trend_of_the_test_panel(spark):
+    """The residuals of a smoothing spline are orthogonal to straight lines."""
+    from panelforge.plans.catalog import QUERIES
+
+    fit = QUERIES["spline_fit"].run(spark, "/root/testdata/sf0.001")
+    day, r = F.datediff("date", F.lit("1995-01-01")), F.col("log_new") - F.col("log_new_fit")
+    sums = fit.groupBy("county").agg(
+        F.count("log_new_fit").alias("n"), F.sum(r).alias("a"), F.sum(r * day / 2405).alias("b")
+    )
+    rows = sums.collect()
+    assert len(rows) == 25 and all(x.n == 2405 for x in rows)
+    assert all(abs(x.a) < 1e-4 and abs(x.b) < 1e-4 for x in rows)
+
+
 def test_short_series_give_nulls():
     assert S.fit_series([[1.0, 2.0, 3.0]], [[1.0, 2.0, 3.0]], 2.0) == [None]
     assert S.fit_series([days(10)], [np.ones(10)], 14.0) == [None]

@@ -70,3 +70,16 @@ def test_library_never_collects():
         for node in ast.walk(ast.parse(path.read_text())):
             if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
                 assert node.func.attr not in banned, f"{path.name}:{node.lineno}"
+
+
+@pytest.mark.parametrize(
+    "name", ["row_id", "kruskal_wallis", "boxplot_stats", "polygon_centroid", "reorder_by_agg"]
+)
+def test_range_bounds_are_computed_once(spark, name):
+    """All branches of a plan must see the same cut points: one sketch, reused elsewhere."""
+    df = QUERIES[name].run(spark, FOLDER)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    final = text.replace("ReusedSubquery Subquery", "Reused")
+    ids = set(re.findall(r"(?<!Reused)Subquery subquery#(\d+)", final))
+    assert len(ids) == 1
