@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.plans import study as S
+from panelforge.plans import study_reports as R
 from panelforge.sources.readers import study_table, text_table
 from panelforge.sources.schemas import STUDY
 from panelforge.sources.writers import write_table
@@ -190,3 +191,107 @@ def study_table_with_index(spark, path):
     from panelforge.sources.readers import scan
 
     return scan(spark, path, "row bigint, " + STUDY["polygons"], "csv")
+
+
+@pytest.fixture(scope="module")
+def tables(spark, schools, cases):
+    panel = S.assemble(cases, S.teaching_wide(schools)).cache()
+    signals = spark.createDataFrame(
+        [(s, f, d, 0.1 + i / 1000, 0.01, 5.0) for s in S.SIGNALS
+         for f in ("39001", "39131", "39159") for i, d in enumerate(DAYS)],
+        STUDY["mobility_long"],
+    )
+    moving = S.with_mobility(panel, S.mobility_wide(signals)).cache()
+    return panel, moving, S.major_opening(schools), S.enrollment_shares(schools, "teachingmethod")
+
+
+def test_policy_reports(spark, schools, tables):
+    panel, _, _, shares = tables
+    online = {r.county: (r.is_online, r.prop_online_only) for r in R.online_majority(shares).collect()}
+    assert online["ADAMS"] == ("Not Online Only", 1.0) and online["PIKE"][0] == "Online Only"
+    masks = S.student_mask_shares(schools)
+    assert {r.county: r.studentmaskpolicy for r in R.majority(masks, "studentmaskpolicy", "prop_student_mask").collect()}["ADAMS"] == "Not required"
+    wide = R.mask_wide(masks, "studentmaskpolicy", "prop_student_mask", ["Not required", S.MASK_ALL])
+    everything = R.policy_wide([S.teaching_wide(schools), R.snapshot(panel), wide])
+    assert everything.count() == 3
+    totals = R.opening_totals(schools).agg(F.sum("state_share")).first()[0]
+    assert totals == pytest.approx(1.0)
+    assert {r.teachingmethod: r.students for r in R.method_totals(schools).collect()} == {
+        "Hybrid": 250.0, "On Premises": 480.0, "Online Only": 100.0,
+    }
+
+
+def test_event_reports(cases, tables):
+    panel, moving, openings, _ = tables
+    plain = cases.toPandas().set_index(["COUNTY", "DATE"]).CUMDEATHS
+    rise = {r.COUNTY: r for r in R.bracket(panel, openings).collect()}
+    want = plain["ADAMS", date(2020, 12, 15)] - plain["ADAMS", date(2020, 8, 24)]
+    assert rise["ADAMS"].deaths_rise == want
+    assert rise["ADAMS"].deaths_per_100k == pytest.approx(want / 20000 * 1e5)
+    windows = R.key_windows(panel, openings).collect()
+    assert len(windows) == 9
+    got = next(r for r in windows if r.COUNTY == "PIKE" and r.win == "crossing")
+    assert got.deaths == plain["PIKE", date(2020, 12, 5)] - plain["PIKE", date(2020, 11, 14)]
+    months = R.two_month_windows(moving, openings).collect()
+    assert len(months) == 3 and all(r.win == 2 and r.y0 is not None for r in months)
+    effect = R.effect_on_state(R.bracket(panel, openings)).first()
+    assert effect.saved_hybrid == pytest.approx(31.52)
+    rates = {r.COUNTY: r for r in R.semester_rates(panel).collect()}
+    assert rates["UNION"].deaths == plain["UNION", date(2020, 12, 15)] - plain["UNION", date(2020, 8, 18)]
+
+
+def test_series_and_growth_reports(spark, cases, tables):
+    panel, moving, openings, _ = tables
+    lagged = R.lagged_increments(panel)
+    assert lagged.filter(F.col("increment").isNull()).select("DATE").distinct().count() == 21
+    soft = R.soft_rates(panel).filter(F.col("DATE") == DAYS[-1]).first()
+    assert min(soft.rate_Online_Only, soft.rate_On_Premises, soft.rate_Hybrid) > 0
+    posture = R.mobility_by_posture(moving).orderBy("major_teaching", "DATE").first()
+    assert posture.full_work_prop == pytest.approx(0.107)
+    assert posture.shifted_date == DAYS[28]
+
+    shifted = S.shifted_growth(S.county_growth(cases), panel.select("COUNTY").distinct())
+    weeks = R.weekly_growth(shifted)
+    row = weeks.first()
+    assert row.acceleration == pytest.approx((row.B6w - row.B3w) - (row.B3w - row.B0w))
+    assert R.weekly_change(weeks).count() == 6
+    means = R.mobility_at_offsets(moving, openings, {"before": (-21, 0), "after": (0, 21)}).toPandas()
+    assert np.allclose(means.after - means.before, 0.021)
+
+    ages = spark.createDataFrame(
+        [(d, 10.0 + i, 90.0 - i) for i, d in enumerate(DAYS[:9])], "Date date, young double, old double"
+    )
+    got = R.age_shares(ages, ["young", "old"]).orderBy("age_group", "Date").collect()
+    assert [r.share_mean7 for r in got[:9]] == [None] * 3 + [87.0, 86.0, 85.0] + [None] * 3
+
+
+def test_report_tests_and_maps(spark, tables):
+    rng = np.random.default_rng(2)
+    rows = [
+        (f"C{i}", p, float(rng.normal(m, 1)), float(rng.random()), 1000 + 10 * i, 0.2, 0.5, 0.3)
+        for i, (p, m) in enumerate([("Hybrid", 0), ("On Premises", 5), ("Online Only", 0)] * 12)
+    ]
+    counties = spark.createDataFrame(
+        rows, "COUNTY string, major_teaching string, y double, m double, POPULATION int, "
+        "Online_Only double, On_Premises double, Hybrid double",
+    )
+    out = {k: v.collect() for k, v in R.posthoc_tests(counties, "y").items()}
+    assert out["kruskal"][0].p < 0.001 and len(out["dunnett"]) == 2
+    for name in ("tukey", "duncan", "scheffe", "bonferroni"):
+        for r in out[name]:
+            assert (r.p < 0.01) == ("On Premises" in (r.group1, r.group2)), name
+    sweep = R.mask_cutoffs(counties.withColumn("teachingmethod", F.col("major_teaching")), "y", "m")
+    assert sweep.count() == 3 * 60
+    lines = R.weighted_growth_lines(counties, "y").collect()
+    # Equal weights within a posture: each weighting gives the plain line.
+    assert len(lines) == 3 and len({round(r.slope, 9) for r in lines}) == 1
+    assert R.growth_lines(counties, F.log("POPULATION"), "y").count() == 3
+
+    ring = [("adams", 1, i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (2, 0), (2, 2), (0, 2)])]
+    drawn, labels = R.county_map(
+        spark.createDataFrame(ring, STUDY["polygons"]),
+        spark.createDataFrame([("ADAMS", 0.5)], "county string, rate double"),
+    )
+    assert [(r.vertex, r.rate) for r in drawn.collect()] == [(i, 0.5) for i in range(4)]
+    point = labels.first()
+    assert (point.center_x, point.center_y) == (1.0, 1.0)
