@@ -66,6 +66,6 @@ def multi_signal(
         for c in columns:
             cell = F.max(F.when(F.col(signal) == name, F.col(c)))
             wanted.append(cell.alias(f"{name}_{c}"))
-    rows = signals.filter(F.col(signal).isin(list({*values, base})))
+    rows = signals.filter(F.col(signal).isin(list(dict.fromkeys([*values, base]))))
     wide = rows.groupBy(geo, day).agg(*wanted, F.count_if(F.col(signal) == base).alias("_base"))
     return wide.filter(F.col("_base") > 0).drop("_base")

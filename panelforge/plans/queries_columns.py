@@ -489,7 +489,7 @@ def signif_code(d: Data):
 
 
 @query(
-    "county:i date:d per_1000:f6 per_100k:f4",
+    "county:i date:d per_1000:f10 per_100k:f8",
     """SELECT county, date, cum_deaths * CAST(1000 AS DOUBLE) / population AS per_1000,
               cum_deaths * CAST(100000 AS DOUBLE) / population AS per_100k FROM v_daily""",
 )

@@ -52,7 +52,7 @@ def category_growth(d: Data):
 
 
 @query(
-    "major:s date:d total:l slope:f8",
+    "major:s date:d total:l slope:f6",
     """SELECT major, date, total, CASE WHEN count(*) OVER w = 28
               THEN regr_slope(ln(total + 1), date - DATE '1970-01-01') OVER w END AS slope
        FROM (SELECT major, date, sum(deaths) AS total FROM v_panel GROUP BY 1, 2) AS t
@@ -60,11 +60,11 @@ def category_growth(d: Data):
 )
 def category_local_slope(d: Data):
     daily = G.category_series(d.panel(), "date", "major", "deaths")
-    return daily.withColumn("slope", G.local_slope("log_count", "date", "major"))
+    return G.with_local_slope(daily, "log_count", "date", "major")
 
 
 @query(
-    "county:i date:d log_count:f9 slope:f8",
+    "county:i date:d log_count:f9 slope:f6",
     "SELECT county, date, log_count, slope FROM v_slopes",
 )
 def local_slope(d: Data):
@@ -72,7 +72,7 @@ def local_slope(d: Data):
 
 
 @query(
-    "county:i date:d slope:f8 major:s",
+    "county:i date:d slope:f6 major:s",
     """SELECT s.county, s.date - 24 AS date, s.slope, w.major
        FROM (SELECT county, major FROM v_wide) AS w
        RIGHT JOIN v_slopes AS s ON s.county = w.county
@@ -109,7 +109,7 @@ def semester_measures() -> dict:
 
 
 @query(
-    "county:i max_fall:f8 avg_fall:f8 avg_m3w:f8 avg_m1w_p2w:f8 avg_p3w:f8",
+    "county:i max_fall:f6 avg_fall:f6 avg_m3w:f6 avg_m1w_p2w:f6 avg_p3w:f6",
     f"SELECT county, {_SEMESTER_SQL}, {_BRACKET_SQL} FROM v_slopes GROUP BY county",
 )
 def bracket_means(d: Data):
@@ -117,8 +117,8 @@ def bracket_means(d: Data):
 
 
 @query(
-    "county:i population:l major:s automobile:f2 building:f2 furniture:f2 max_fall:f8 avg_fall:f8 "
-    "avg_m3w:f8 avg_m1w_p2w:f8 avg_p3w:f8 mobility:f8",
+    "county:i population:l major:s automobile:f2 building:f2 furniture:f2 max_fall:f6 avg_fall:f6 "
+    "avg_m3w:f6 avg_m1w_p2w:f6 avg_p3w:f6 mobility:f8",
     f"""SELECT p.county, p.population, w.major, w.automobile, w.building, w.furniture,
                b.max_fall, b.avg_fall, b.avg_m3w, b.avg_m1w_p2w, b.avg_p3w, m.mobility
         FROM v_population AS p
@@ -148,7 +148,7 @@ _WEEK_COLS = """max(CASE WHEN date - DATE '1998-08-18' = 0 THEN slope END) AS b0
 
 
 @query(
-    "county:i diff:f8 diff2:f8 acceleration:f8",
+    "county:i diff:f6 diff2:f6 acceleration:f6",
     f"""SELECT county, b3 - b0 AS diff, b6 - b3 AS diff2, (b6 - b3) - (b3 - b0) AS acceleration
         FROM (SELECT county, {_WEEK_COLS} FROM v_slopes GROUP BY county) AS t""",
 )
@@ -162,7 +162,7 @@ def offset_changes(d: Data):
 
 
 @query(
-    "type:s county:i change:f8",
+    "type:s county:i change:f6",
     f"""SELECT '6w - 3w' AS type, county, (b6 - b3) / 3 AS change
         FROM (SELECT county, {_WEEK_COLS} FROM v_slopes GROUP BY county) AS t
         UNION ALL SELECT '6w - 4w', county, (b6 - b4) / 2
@@ -252,10 +252,10 @@ def snapshot_rate(d: Data):
 
 
 @query(
-    "county:i date:d slope:f9",
-    """SELECT county, date, slope FROM (SELECT *, max(round(slope, 9)) OVER (PARTITION BY county) AS top
-         FROM v_slopes) AS t WHERE round(slope, 9) = top""",
+    "county:i date:d slope:f7",
+    """SELECT county, date, slope FROM (SELECT *, max(round(slope, 7)) OVER (PARTITION BY county) AS top
+         FROM v_slopes) AS t WHERE round(slope, 7) = top""",
 )
 def peak_growth_dates(d: Data):
-    rows = d.slopes().select("county", "date", F.round("slope", 9).alias("slope"))
+    rows = d.slopes().select("county", "date", F.round("slope", 7).alias("slope"))
     return O.rows_at_max_detail(rows, ["county"], "slope")

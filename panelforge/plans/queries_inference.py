@@ -421,7 +421,7 @@ _WIN_SQL = " UNION ALL ".join(
 
 
 @query(
-    "win:s major:s n:l slope:f8 intercept:f8",
+    "win:s major:s n:l slope:f6 intercept:f6",
     f"""SELECT win, major, regr_count(y, x) AS n, regr_sxy(y, x) / nullif(regr_sxx(y, x), 0) AS slope,
                regr_avgy(y, x) - regr_sxy(y, x) / nullif(regr_sxx(y, x), 0) * regr_avgx(y, x)
                  AS intercept

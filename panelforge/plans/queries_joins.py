@@ -114,7 +114,7 @@ def weekly_slopes(d: Data):
 
 
 @query(
-    "county:i " + " ".join(f"{n}:f8" for n in _WEEKS),
+    "county:i " + " ".join(f"{n}:f6" for n in _WEEKS),
     f"SELECT county, {_WEEK_SQL} FROM v_slopes GROUP BY county",
 )
 def offset_feature_table(d: Data):

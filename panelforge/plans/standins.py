@@ -174,7 +174,7 @@ class Data:
 
     def slopes(self) -> DataFrame:
         panel = self.daily().withColumn("log_count", log1p_count("deaths"))
-        return panel.withColumn("slope", G.local_slope("log_count", "date", "county"))
+        return G.with_local_slope(panel, "log_count", "date", "county")
 
     def majors(self) -> DataFrame:
         return self.wide().select("county", "major")

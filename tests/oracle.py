@@ -17,7 +17,10 @@ def connect(folder: str):
 
 
 def _sorted(rows):
-    return sorted(rows, key=lambda r: tuple((v is not None, str(type(v)), v) if v is not None else (False, "", 0) for v in r))
+    def key(row):
+        return tuple((False, "", 0) if v is None else (True, str(type(v)), v) for v in row)
+
+    return sorted(rows, key=key)
 
 
 def compare(query, spark, con, folder: str) -> tuple[int, str]:

@@ -119,12 +119,25 @@ def test_spline_over_groups_of_different_calendars(spark):
     assert got[got.k == "short"].x_fit.isna().all()
 
 
-def test_local_slope_of_a_line(spark):
-    rows = [("a", date(2020, 3, 1) + timedelta(days=i), 2.0 + 0.5 * i) for i in range(40)]
+def test_local_slope_equals_the_fit_of_each_frame(spark):
+    rng = np.random.default_rng(6)
+    start, y = date(2020, 3, 1), rng.normal(size=120)
+    rows = [("a", start + timedelta(days=i), float(v)) for i, v in enumerate(y)]
+    # A missing value and a missing day empty every frame they fall into.
+    rows += [("hole", d, None if i == 50 else v) for i, (_, d, v) in enumerate(rows)]
+    rows += [("gap", d, v) for i, (_, d, v) in enumerate(rows[:120]) if i != 70]
     df = spark.createDataFrame(rows, "k string, d date, y double")
-    got = df.withColumn("s", G.local_slope("y", "d", "k")).orderBy("d").toPandas().s
-    assert got.isna().sum() == 27
-    assert np.allclose(got.dropna(), 0.5)
+    got = G.with_local_slope(df, "y", "d", "k").toPandas().sort_values(["k", "d"])
+    mine = got[got.k == "a"].slope.to_numpy()
+    assert np.isnan(mine[:14]).all() and np.isnan(mine[-13:]).all()
+    for i in range(14, 107):
+        assert mine[i] == pytest.approx(np.polyfit(np.arange(28), y[i - 14 : i + 14], 1)[0], abs=1e-10)
+    hole = got[got.k == "hole"].slope.isna().to_numpy()
+    assert hole[14:107].sum() == 28 and hole[37:65].all()
+    gap = got[got.k == "gap"]
+    full = gap[~gap.slope.isna()].d
+    assert all(not (d - timedelta(days=14) <= start + timedelta(days=70) <= d + timedelta(days=13)) for d in full)
+    assert len(full) == 93 - 28
 
 
 def test_summaries_are_null_when_a_value_in_the_window_is(spark):

@@ -40,7 +40,10 @@ def test_anova_and_cutoff_sweep(spark, sample):
 
 
 def test_degenerate_tests_are_null(spark):
-    df = spark.createDataFrame([("one", "a", 1.0), ("one", "a", 2.0), ("flat", "a", 1.0), ("flat", "b", 1.0)], "test string, g string, y double")
+    df = spark.createDataFrame(
+        [("one", "a", 1.0), ("one", "a", 2.0), ("flat", "a", 1.0), ("flat", "b", 1.0)],
+        "test string, g string, y double",
+    )
     out = I.with_f_pvalue(I.anova_oneway(df, "y", "g", "test")).collect()
     assert len(out) == 2 and all(r.f is None and r.p is None for r in out)
     assert all(r.t is None for r in I.posthoc_pairs(df, "y", "g", "test").collect())
@@ -55,7 +58,8 @@ def test_kruskal_with_ties_and_skew(spark):
     y = np.where(rng.random(n) < 0.5, 3, rng.integers(0, 400, n)).astype(float)
     ranks = pd.Series(y).rank().to_numpy()
     _, counts = np.unique(y, return_counts=True)
-    h = 12 / (n * (n + 1)) * sum(ranks[g == k].sum() ** 2 / (g == k).sum() for k in np.unique(g)) - 3 * (n + 1)
+    between = sum(ranks[g == k].sum() ** 2 / (g == k).sum() for k in np.unique(g))
+    h = 12 / (n * (n + 1)) * between - 3 * (n + 1)
     h /= 1 - (counts.astype(float) ** 3 - counts).sum() / (float(n) ** 3 - n)
     df = spark.createDataFrame(pd.DataFrame({"t": "x", "g": g, "y": y}))
     row = I.kruskal_wallis(df, "y", "g", "t").first()

@@ -113,7 +113,8 @@ def days(n):
 
 
 def test_series_windows(spark):
-    df = spark.createDataFrame([("a", d, float(i)) for i, d in enumerate(days(25))], "k string, d date, v double")
+    rows = [("a", d, float(i)) for i, d in enumerate(days(25))]
+    df = spark.createDataFrame(rows, "k string, d date, v double")
     out = (
         df.withColumns(
             {

