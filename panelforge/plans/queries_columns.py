@@ -11,6 +11,7 @@ from panelforge.functions import text as X
 from panelforge.functions.nulls import if_else, log1p_count, not_in, safe_ln, to_number
 from panelforge.operators import cleaning as C
 from panelforge.operators import columns as K
+from panelforge.operators import joins as J
 from panelforge.operators import ordered as O
 from panelforge.plans.registry import query
 from panelforge.plans.standins import START, Data
@@ -301,9 +302,8 @@ def date_window_filter(d: Data):
        WHERE d.date >= o.open_week AND d.date < o.open_week + 21""",
 )
 def per_entity_window(d: Data):
-    rows = d.daily().join(d.opening().select("county", "open_week"), "county")
     inside = D.between_days("date", F.col("open_week"), F.date_add("open_week", 21), hi_open=True)
-    return rows.filter(inside)
+    return J.within_bounds(d.daily(), d.opening().select("county", "open_week"), "county", inside)
 
 
 @query(

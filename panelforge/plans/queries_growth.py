@@ -11,6 +11,7 @@ from panelforge.functions.dates import DEATH_LAG_DAYS, shift_days
 from panelforge.functions.nulls import ratio, safe_ln
 from panelforge.functions.text import per
 from panelforge.operators import growth as G
+from panelforge.operators import joins as J
 from panelforge.operators import ordered as O
 from panelforge.operators import reshape as R
 from panelforge.operators.cleaning import redistribute_negatives
@@ -221,15 +222,9 @@ def offset_signal_means(d: Data):
              FROM v_daily GROUP BY 1, 2) AS t""",
 )
 def semester_outcome(d: Data):
-    ends = (
-        d.daily()
-        .groupBy("county", "population")
-        .agg(
-            F.max(F.when(F.col("date") == F.lit(START), F.col("cum_deaths"))).alias("y0"),
-            F.max(F.when(F.col("date") == F.lit(END), F.col("cum_deaths"))).alias("y1"),
-        )
-        .withColumn("rise", F.col("y1") - F.col("y0"))
-    )
+    moments = {"y0": F.lit(START), "y1": F.lit(END)}
+    ends = J.values_at(d.daily(), ["county", "population"], "date", "cum_deaths", moments)
+    ends = ends.withColumn("rise", F.col("y1") - F.col("y0"))
     return ends.withColumns(
         {
             "log_rise": safe_ln("rise"),

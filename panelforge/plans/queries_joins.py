@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from panelforge.functions.nulls import ratio
 from panelforge.operators import aggregates as A
 from panelforge.operators import growth as G
+from panelforge.operators import joins as J
 from panelforge.operators import ordered as O
 from panelforge.operators import reshape as R
 from panelforge.plans.registry import query
-from panelforge.plans.standins import START, Data
+from panelforge.plans.standins import END, START, Data
 
 
 @query(
@@ -73,8 +74,7 @@ def natural_join(d: Data):
     left = d.district().select("county", "method", "district", "enroll")
     methods = F.count(F.lit(1)).over(W.partitionBy("county"))
     right = d.shares().select("county", "method", "county_enroll", methods.alias("methods"))
-    common = [c for c in left.columns if c in right.columns]
-    return left.join(right, common, "left")
+    return J.natural_join(left, right)
 
 
 @query(
@@ -143,15 +143,9 @@ def value_at_event(d: Data):
         d.opening().select("county", "open_week"),
         ["county"],
     )
-    level = F.col("cum_deaths")
-    return (
-        rows.filter(F.col("open_week").isNotNull())
-        .groupBy("county", "open_week")
-        .agg(
-            F.max(F.when(F.col("date") == F.col("open_week"), level)).alias("at_open"),
-            F.max(F.when(F.col("date") == F.lit("1998-12-15").cast("date"), level)).alias("at_end"),
-        )
-    )
+    moments = {"at_open": F.col("open_week"), "at_end": F.lit(END)}
+    dated = rows.filter(F.col("open_week").isNotNull())
+    return J.values_at(dated, ["county", "open_week"], "date", "cum_deaths", moments)
 
 
 @query(

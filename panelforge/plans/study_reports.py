@@ -14,6 +14,7 @@ from panelforge.functions.nulls import ratio, safe_ln, strict_sum
 from panelforge.operators import aggregates as A
 from panelforge.operators import growth as G
 from panelforge.operators import inference as I
+from panelforge.operators import joins as J
 from panelforge.operators import ordered as O
 from panelforge.operators import plotdata as P
 from panelforge.operators import reshape as R
@@ -105,14 +106,13 @@ def bracket(panel: DataFrame, openings: DataFrame, end: date = D.SEMESTER_END) -
     opened = openings.select(F.col("county").alias("_c"), "major_opendate")
     rows = panel.join(opened, F.upper("COUNTY") == F.col("_c"))
     at_open, at_end = F.col("DATE") == F.col("major_opendate"), F.col("DATE") == F.lit(end)
+    keys = ["COUNTY", "POPULATION", "major_teaching", "major_opendate"]
 
     def rise(column: str) -> Column:
         return F.max(F.when(at_end, F.col(column))) - F.max(F.when(at_open, F.col(column)))
 
-    out = (
-        rows.filter(at_open | at_end)
-        .groupBy("COUNTY", "POPULATION", "major_teaching", "major_opendate")
-        .agg(rise("CUMDEATHS").alias("deaths_rise"), rise("CUMCONFIRMED").alias("cases_rise"))
+    out = rows.groupBy(*keys).agg(
+        rise("CUMDEATHS").alias("deaths_rise"), rise("CUMCONFIRMED").alias("cases_rise")
     )
     return out.withColumns(
         {
@@ -260,11 +260,9 @@ def mobility_at_offsets(
 
 def semester_rates(panel: DataFrame) -> DataFrame:
     """Deaths at the start and end of the semester with the logs of the rise and of its rate."""
-    day, level = F.col("DATE"), F.col("CUMDEATHS")
-    ends = panel.groupBy("COUNTY", "POPULATION", "major_teaching").agg(
-        F.max(F.when(day == F.lit(D.SEMESTER_START), level)).alias("start"),
-        F.max(F.when(day == F.lit(D.SEMESTER_END), level)).alias("end"),
-    )
+    keys = ["COUNTY", "POPULATION", "major_teaching"]
+    moments = {"start": F.lit(D.SEMESTER_START), "end": F.lit(D.SEMESTER_END)}
+    ends = J.values_at(panel, keys, "DATE", "CUMDEATHS", moments)
     rise = F.col("end") - F.col("start")
     return ends.withColumns(
         {

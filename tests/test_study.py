@@ -1,5 +1,6 @@
 """The county study end to end on a small made-up state."""
 
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -296,3 +297,21 @@ def test_report_tests_and_maps(spark, tables):
     assert [(r.vertex, r.rate) for r in drawn.collect()] == [(i, 0.5) for i in range(4)]
     point = labels.first()
     assert (point.center_x, point.center_y) == (1.0, 1.0)
+
+
+def test_partitioned_signals_are_pruned(spark, tmp_path):
+    from panelforge.sources.readers import signal_scan
+
+    rows = [(s, f, d, 0.5, None, None) for s in S.SIGNALS for f in ("39001", "39003") for d in DAYS[:30]]
+    signals = spark.createDataFrame(rows, STUDY["mobility_long"])
+    path = str(tmp_path / "signals")
+    write_table(signals, path, partition_by=["signal"])
+    places = spark.createDataFrame([("39001",), ("39001",)], "geo_value string")
+    got = signal_scan(
+        study_table(spark, path, "mobility_long"), ["bars_visit_prop"], DAYS[3], DAYS[9], geos=places
+    )
+    assert got.count() == 7
+    text = got._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in text.splitlines() if "FileScan" in x)
+    assert re.search(r"PartitionFilters: \[[^\]]*signal", scan)
+    assert "GreaterThanOrEqual(time_value" in scan
