@@ -49,14 +49,13 @@ def learn_lookup(df: DataFrame, key: str, target: str) -> DataFrame:
 
 def impute_from_lookup(df: DataFrame, key: str, target: str) -> DataFrame:
     """Fill a missing target from the lookup learnt on the complete rows; ambiguous keys stay."""
-    joined = df.join(learn_lookup(df, key, target), key, "left")
+    joined = attach(df, learn_lookup(df, key, target), [key])
     return joined.withColumn(target, F.coalesce(target, "_learnt")).select(*df.columns)
 
 
 def impute_override(df: DataFrame, key: str, target: str, overrides: DataFrame) -> DataFrame:
     """Fill what is still missing from a keyed table (columns: key, target)."""
-    extra = overrides.select(key, F.col(target).alias("_fixed"))
-    joined = df.join(extra, key, "left")
+    joined = attach(df, overrides.select(key, F.col(target).alias("_fixed")), [key])
     return joined.withColumn(target, F.coalesce(target, "_fixed")).select(*df.columns)
 
 
@@ -74,7 +73,8 @@ def group_total_check(
     Totals meet the limits one row per key; only offending keys go back to the rows.
     """
     totals = df.groupBy(key).agg(F.sum(value).alias("total")).join(limits, key)
-    return df.join(totals.filter(F.col("total") > F.col(limit)), key)
+    offending = totals.filter(F.col("total") > F.col(limit))
+    return attach(df, offending, [key]).filter(F.col("total").isNotNull())
 
 
 def subtract_where(

@@ -8,13 +8,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.ordered import attach
 
-def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
-    """Join on all columns the two frames share."""
+
+def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join on all columns the two frames share; null keys match null keys."""
     common = [c for c in left.columns if c in right.columns]
     if not common:
         raise ValueError("the frames share no column")
-    return left.join(right, common, how)
+    return attach(left, right, common)
 
 
 def within_bounds(

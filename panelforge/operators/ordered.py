@@ -27,8 +27,9 @@ RANGES = BLOCK * BLOCK
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left-join columns of a one-row-per-key frame to every row; null keys match null keys.
 
-    No hint: the planner broadcasts when the measured size allows and otherwise sorts and merges,
-    splitting a hot key on the detail side.
+    No hint: the planner broadcasts when the measured size allows and otherwise sorts and merges.
+    The null-safe condition places both sides anew, which lets adaptive execution split a hot key
+    of the detail side; a side already placed by its aggregate could not be split.
     """
     l, r = df.alias("_l"), small.alias("_r")
     cond = reduce(
@@ -121,7 +122,7 @@ def preceding_sums(
 
 
 def with_row_id(df: DataFrame, order: str, name: str = "id") -> DataFrame:
-    """Consecutive 1-based row number in the order of a unique column."""
+    """Consecutive 1-based row number in the order of a unique number or date column."""
     numbered = preceding_sums(df, order, {name: F.lit(1).cast("bigint")}).drop("_range")
     return numbered.withColumn(name, F.col(name) + 1)
 

@@ -161,8 +161,7 @@ def value_at_event(d: Data):
 def share_of_total(d: Data):
     totals = d.county_totals()
     rows = (
-        d.district()
-        .join(totals, "county")
+        O.attach(d.district(), totals, ["county"])
         .groupBy("county", "method", "county_enroll")
         .agg(
             F.sum("enroll").alias("total"),
@@ -232,4 +231,4 @@ def polygon_join(d: Data):
         F.col("c_custkey").alias("vertex"),
         F.col("c_acctbal").alias("x"),
     )
-    return vertices.join(attributes, "county").orderBy("county", "vertex")
+    return O.attach(vertices, attributes, ["county"]).orderBy("county", "vertex")

@@ -324,6 +324,6 @@ def effect_on_state(outcomes: DataFrame, deaths: str = "deaths_rise") -> DataFra
 def county_map(polygons: DataFrame, attributes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Attributes on every boundary vertex, in drawing order, and a label point per county."""
     upper = polygons.withColumn("county", F.upper("county"))
-    drawn = upper.join(attributes, "county", "left").orderBy("county", "grp", "vertex")
+    drawn = O.attach(upper, attributes, ["county"]).orderBy("county", "grp", "vertex")
     return drawn, P.polygon_centroids(upper, ["county", "grp"], "vertex", "long", "lat")
 

@@ -54,5 +54,5 @@ def signal_scan(
         & (F.col(time) < F.lit(end + timedelta(days=1)))
     )
     if geos is not None:
-        rows = rows.join(geos.select(geo).distinct(), geo, "left_semi")
+        rows = rows.join(geos.select(geo), geo, "left_semi")
     return rows
