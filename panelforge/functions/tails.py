@@ -7,7 +7,6 @@ those rows. Nulls in give null out.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -121,8 +120,17 @@ def tukey_sf(q: float, k: float, df: float) -> float:
     return float(min(1.0, max(0.0, 1.0 - (ws @ cdf) / ws.sum())))
 
 
-@lru_cache(maxsize=1024)
+_QUANTILES: dict[tuple, float] = {}
+
+
 def tukey_quantile(p: float, k: float, df: float) -> float:
+    """Critical range, kept for the tests of a task that share it."""
+    if (p, k, df) not in _QUANTILES:
+        _QUANTILES[p, k, df] = _tukey_quantile(p, k, df)
+    return _QUANTILES[p, k, df]
+
+
+def _tukey_quantile(p: float, k: float, df: float) -> float:
     lo, hi = 0.0, 10.0
     while 1.0 - tukey_sf(hi, k, df) < p and hi < 1e4:
         hi *= 2.0

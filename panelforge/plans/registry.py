@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.plans.standins import Data, with_views
-from panelforge.session import ship_package
 
 _SPARK = {"i": "int", "l": "bigint", "s": "string", "b": "boolean"}
 _SQL = {"i": "INTEGER", "l": "BIGINT", "s": "VARCHAR", "b": "BOOLEAN"}
@@ -60,7 +59,6 @@ class Query:
     oracle: str | None = None
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
-        ship_package(spark)
         return emit(self.build(Data(spark, folder)), self.out)
 
     def sql(self) -> str | None:

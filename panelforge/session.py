@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -36,23 +34,9 @@ def local_session(cores: int | str = "*", app: str = "panelforge", **extra: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ship_package(spark)
     return spark
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for the Arrow UDFs."""
-    context = spark.sparkContext
-    if any(f.endswith("/panelforge.zip") for f in context.listFiles):
-        return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="panelforge-")) / "panelforge.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(package.rglob("*.py")):
-            out.write(path, path.relative_to(package.parent))
-    context.addPyFile(str(archive))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by `spark.checkpoint.dir`.
 
