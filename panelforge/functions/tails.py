@@ -82,11 +82,9 @@ def chi2_sf(x: float, df: float) -> float:
     return gamma_upper(df / 2.0, x / 2.0)
 
 
-_erf = np.vectorize(math.erf, otypes=[float])
-
-
 def _phi(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + _erf(z / math.sqrt(2.0)))
+    erf = np.vectorize(math.erf, otypes=[float])
+    return 0.5 * (1.0 + erf(z / math.sqrt(2.0)))
 
 
 def _nodes(lo: float, hi: float, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +118,7 @@ def tukey_sf(q: float, k: float, df: float) -> float:
     return float(min(1.0, max(0.0, 1.0 - (ws @ cdf) / ws.sum())))
 
 
-_QUANTILES: dict[tuple, float] = {}
-
-
 def tukey_quantile(p: float, k: float, df: float) -> float:
-    """Critical range, kept for the tests of a task that share it."""
-    if (p, k, df) not in _QUANTILES:
-        _QUANTILES[p, k, df] = _tukey_quantile(p, k, df)
-    return _QUANTILES[p, k, df]
-
-
-def _tukey_quantile(p: float, k: float, df: float) -> float:
     lo, hi = 0.0, 10.0
     while 1.0 - tukey_sf(hi, k, df) < p and hi < 1e4:
         hi *= 2.0
@@ -185,7 +173,14 @@ def tukey_pvalue(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def tukey_critical(p: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
-    return _rowwise(tukey_quantile, p, k, df)
+    known: dict[tuple, float] = {}  # all pairs of a test share one critical value
+
+    def one(*args):
+        if args not in known:
+            known[args] = tukey_quantile(*args)
+        return known[args]
+
+    return _rowwise(one, p, k, df)
 
 
 @F.pandas_udf(DoubleType())

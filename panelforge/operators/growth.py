@@ -35,11 +35,10 @@ def spline_growth(
 
     Input: one row per (entity, day). Each entity becomes one row of arrays bounded by the
     calendar; the fit runs once per series in Arrow batches and all derivatives come from it.
-    Rows with a null in a value column are left out.
+    Rows with a null value stay, with null results; the fit leaves them out.
     """
     keys = [entity] if isinstance(entity, str) else list(entity)
-    full = df.dropna("any", subset=list(values))
-    arrays = full.groupBy(*keys).agg(
+    arrays = df.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(day, *values))).alias("_s")
     )
     arrays = arrays.withColumn(
@@ -50,12 +49,13 @@ def spline_growth(
         arrays = arrays.withColumn(f"_f{i}", fit("_d", F.col(f"_s.{v}")))
     fits = [f"_f{i}" for i in range(len(values))]
     flat = arrays.select(*keys, *fits, F.posexplode("_s").alias("_i", "_r"))
-    # A series too short for the fit keeps its rows with null results.
+    # A series too short for the fit keeps its rows as well.
     out = [F.col(f"_r.{day}").alias(day)]
     for i, v in enumerate(values):
         out.append(F.col(f"_r.{v}").alias(v))
         for part, suffix in (("value", "fit"), ("slope", "b"), ("curve", "b2")):
-            out.append(F.get(F.col(f"_f{i}.{part}"), F.col("_i")).alias(f"{v}_{suffix}"))
+            at = F.get(F.col(f"_f{i}.{part}"), F.col("_i"))
+            out.append(F.when(~F.isnan(at), at).alias(f"{v}_{suffix}"))
     return flat.select(*keys, *out)
 
 

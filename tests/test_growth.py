@@ -119,6 +119,16 @@ def test_spline_over_groups_of_different_calendars(spark):
     assert got[got.k == "short"].x_fit.isna().all()
 
 
+def test_missing_values_keep_their_rows(spark):
+    start = date(2020, 3, 1)
+    rows = [("a", start + timedelta(days=i), None if i in (0, 20) else 2.0 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, d date, x double")
+    got = G.spline_growth(df, "k", "d", ["x"], df_target=8.0).orderBy("d").collect()
+    assert len(got) == 60
+    assert [i for i, r in enumerate(got) if r.x_b is None] == [0, 20]
+    assert all(abs(r.x_b - 2.0) < 1e-8 for r in got if r.x_b is not None)
+
+
 def test_local_slope_equals_the_fit_of_each_frame(spark):
     rng = np.random.default_rng(6)
     start, y = date(2020, 3, 1), rng.normal(size=120)
