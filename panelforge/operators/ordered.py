@@ -240,25 +240,30 @@ def densify(
 
     `seen` may name a cheaper frame to take the first and last day from than `counts` itself.
 
-    Every entity explodes the calendar from a scalar, so there is no cross join. The zero rows are
-    added to the counts and summed; placing both by entity once serves the sum and every window
-    or fold by entity that follows. The number of partitions is given, because the panel is small
-    in bytes but long in work: left alone, adaptive execution would merge it into a few tasks.
+    The calendar comes as a scalar, so there is no cross join. One marker row per entity travels
+    with the counts and turns into zero rows only after both are placed by entity: the shuffle
+    holds the days that were seen, not the grid. That one placement serves the sum and every
+    window or fold by entity that follows. The number of partitions is given, because the panel
+    is small in bytes but long in work: left alone, adaptive execution would merge it into a few
+    tasks.
     """
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = list(values)
     attributes = [c for c in entities.columns if c != entity]
-    days = (counts if seen is None else seen).agg(F.sequence(F.min(day), F.max(day)).alias("days")).scalar()
-    grid = entities.withColumn("_days", days).select(
-        entity,
-        F.explode("_days").alias(day),
-        *attributes,
-        *[F.lit(0).cast("bigint").alias(v) for v in values],
-        F.lit(True).alias("_known"),
-    )
-    rows = grid.unionByName(counts.select(entity, day, *values), allowMissingColumns=True)
+    days = (counts if seen is None else seen).agg(F.sequence(F.min(day), F.max(day)).alias("days"))
+    marked = entities.withColumn("_known", F.lit(True))
+    rows = counts.select(entity, day, *values).unionByName(marked, allowMissingColumns=True)
+    placed = rows.repartition(parts, entity)
+    own = F.when(F.col("_known"), days.scalar()).otherwise(F.array(day))
     return (
-        rows.repartition(parts, entity)
+        placed.withColumn("_days", own)
+        .select(
+            entity,
+            F.explode("_days").alias(day),
+            *attributes,
+            *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values],
+            "_known",
+        )
         .groupBy(entity, day)
         .agg(
             *[F.max(a).alias(a) for a in attributes],
