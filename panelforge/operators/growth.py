@@ -78,7 +78,7 @@ def with_local_slope(
     A quick stand-in for the spline slope with the same reach. Null where the frame is not full of
     known values on consecutive days. On consecutive days the slope is a weighted sum of the
     values, so differences of two running sums replace the fit of every frame: the work per row
-    does not grow with the frame.
+    does not grow with the frame. (The sums cost some digits: about 1e-12 after 2,400 days.)
     """
     keys = [entity] if isinstance(entity, str) else list(entity)
     m = before + after + 1

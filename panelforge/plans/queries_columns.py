@@ -383,16 +383,15 @@ def group_total_check(d: Data):
 @query(
     "n_nationkey:i up:s low:s title:s label:s",
     """SELECT n_nationkey, upper(n_name) AS up, lower(r_name) AS low,
-              upper(substring(r_name, 1, 1)) || lower(substring(r_name, 2)) AS title,
+              array_to_string(list_transform(string_split(r_name, ' '),
+                lambda w: upper(substring(w, 1, 1)) || lower(substring(w, 2))), ' ') AS title,
               CAST(n_nationkey AS VARCHAR) || '%' AS label
-       FROM nation JOIN region ON n_regionkey = r_regionkey
-       WHERE r_name NOT LIKE '% %'""",
+       FROM nation JOIN region ON n_regionkey = r_regionkey""",
 )
 def string_case(d: Data):
     rows = d.table("nation").join(
         d.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    rows = rows.filter(~F.col("r_name").contains(" "))
     return rows.select(
         "n_nationkey",
         F.upper("n_name").alias("up"),
