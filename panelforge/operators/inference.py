@@ -360,7 +360,8 @@ def _solve(n: pd.Series, means: pd.Series, sxx: pd.Series, sxy: pd.Series, syy:
 
 
 def ols_multi(df: DataFrame, y: str, terms: Mapping[str, Column], test: str) -> DataFrame:
-    """Multiple regression per test: one row per (test, term) with estimate, error, t.
+    """Multiple regression per test: one row per (test, term) with estimate, error and t, beside
+    the fit's r2, adjusted r2 and overall f.
 
     `terms` maps a term name to its column expression, so categories enter as 0/1 columns and
     interactions as products. Spark reduces the complete cases to centred cross moments; the
@@ -402,7 +403,14 @@ def ols_multi(df: DataFrame, y: str, terms: Mapping[str, Column], test: str) ->
         F.explode(F.arrays_zip(labels.alias("term"), F.col("_r.est"), F.col("_r.se"))).alias("_t"),
     )
     out = out.select(test, "n", "r2", "df2", "_t.term", "_t.est", "_t.se")
-    return out.withColumn("t", F.try_divide("est", "se"))
+    rest = F.try_divide(1 - F.col("r2"), F.col("df2"))
+    return out.withColumns(
+        {
+            "t": F.try_divide("est", "se"),
+            "adj_r2": 1 - rest * (F.col("n") - 1),
+            "f": F.try_divide(F.col("r2") / len(names), rest),
+        }
+    )
 
 
 def category_terms(column: str, levels: Sequence[str]) -> dict[str, Column]:
@@ -411,10 +419,13 @@ def category_terms(column: str, levels: Sequence[str]) -> dict[str, Column]:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], test: str) -> DataFrame:
-    """Correlation of every ordered pair of columns over the complete cases, in long form."""
+    """Correlation of every ordered pair of columns over the complete cases, in long form, with
+    the t of each pair of different columns."""
     rows = df.dropna("any", subset=list(columns))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = rows.groupBy(test).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = rows.groupBy(test).agg(
+        F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
+    )
     cells = [
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}|{b}").alias("r"))
         for a, b in pairs
@@ -424,4 +435,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], test: str) -> Data
         for a, b in pairs
         if a != b
     ]
-    return wide.select(test, F.inline(F.array(*cells)))
+    out = wide.select(test, "n", F.inline(F.array(*cells)))
+    r, df2 = F.col("r"), F.col("n") - 2
+    t = F.try_divide(r * F.sqrt(df2), F.sqrt(1 - r * r))
+    return out.withColumns({"df2": df2, "t": F.when((F.col("x") != F.col("y")) & (df2 > 0), t)})

@@ -155,10 +155,11 @@ def ols_by_group(d: Data):
 
 
 @query(
-    "l_returnflag:s term:s n:l est:f4 se:f4 t:f4 r2:f8 df2:l",
+    "l_returnflag:s term:s n:l est:f4 se:f4 t:f4 r2:f8 adj_r2:f8 f:f2 df2:l",
     """SELECT l_returnflag, unnest(['(intercept)', 'quantity', 'discount']) AS term, n,
               unnest([b0, b1, b2]) AS est, unnest([se0, se1, se2]) AS se,
-              unnest([b0 / se0, b1 / se1, b2 / se2]) AS t, r2, n - 3 AS df2
+              unnest([b0 / se0, b1 / se1, b2 / se2]) AS t, r2, n - 3 AS df2,
+              1 - (1 - r2) * (n - 1) / (n - 3) AS adj_r2, r2 / 2 / ((1 - r2) / (n - 3)) AS f
        FROM (SELECT l_returnflag, n, b1, b2, my - b1 * m1 - b2 * m2 AS b0,
                     sqrt(s2 * s22 / det) AS se1, sqrt(s2 * s11 / det) AS se2,
                     sqrt(s2 * (1 / CAST(n AS DOUBLE)
@@ -282,6 +283,19 @@ def correlation_matrix(d: Data):
     return I.correlation_matrix(d.table("lineitem"), _MEASURES, "l_linestatus")
 
 
+@query(
+    "p_type:s x:s y:s r:f8 p:f8",
+    f"""SELECT p_type, x, y, r, {S.t_two_sided('(r * sqrt(n - 2) / sqrt(1 - r * r))', 'df2')} AS p
+        FROM (SELECT p_type, 'p_size' AS x, 'p_retailprice' AS y, corr(p_size, p_retailprice) AS r,
+                     count(*) AS n, count(*) - 2 AS df2 FROM part GROUP BY p_type
+              UNION ALL SELECT p_type, 'p_retailprice', 'p_size', corr(p_size, p_retailprice),
+                     count(*), count(*) - 2 FROM part GROUP BY p_type) AS c""",
+)
+def correlation_pvalue(d: Data):
+    pairs = I.correlation_matrix(d.table("part"), ["p_size", "p_retailprice"], "p_type")
+    return I.with_t_pvalue(pairs.filter(F.col("x") != F.col("y")))
+
+
 def pairs(d: Data):
     return I.posthoc_pairs(balances(d), "c_acctbal", "c_mktsegment", "region")
 

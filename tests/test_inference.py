@@ -91,6 +91,9 @@ def test_regressions_equal_numpy(spark, sample):
         beta, se = lstsq(design, y)
         mine = multi[multi.test == t].set_index("term").loc[["(intercept)", *terms]]
         assert np.allclose(mine.est, beta, atol=1e-9) and np.allclose(mine.se, se, atol=1e-9)
+        rss, tss, k = ((y - design @ beta) ** 2).sum(), ((y - y.mean()) ** 2).sum(), len(terms)
+        assert np.allclose(mine.f, ((tss - rss) / k) / (rss / (len(y) - k - 1)))
+        assert np.allclose(mine.adj_r2, 1 - (rss / (len(y) - k - 1)) / (tss / (len(y) - 1)))
         beta, se = lstsq(np.column_stack([one, x]), y)
         assert line.slope[t] == pytest.approx(beta[1]) and line.se[t] == pytest.approx(se[1])
         beta, se = lstsq(np.column_stack([one, x]), y, r.w.to_numpy())
