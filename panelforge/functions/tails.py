@@ -118,16 +118,21 @@ def tukey_sf(q: float, k: float, df: float) -> float:
     return float(min(1.0, max(0.0, 1.0 - (ws @ cdf) / ws.sum())))
 
 
-def tukey_quantile(p: float, k: float, df: float) -> float:
+def upper_point(tail, level: float) -> float:
+    """The point above which a decreasing tail function keeps the given probability."""
     lo, hi = 0.0, 10.0
-    while 1.0 - tukey_sf(hi, k, df) < p and hi < 1e4:
+    while tail(hi) > level and hi < 1e4:
         hi *= 2.0
     for _ in range(50):
         mid = (lo + hi) / 2.0
-        lo, hi = (mid, hi) if 1.0 - tukey_sf(mid, k, df) < p else (lo, mid)
+        lo, hi = (mid, hi) if tail(mid) > level else (lo, mid)
     return (lo + hi) / 2.0
 
 
+def tukey_quantile(p: float, k: float, df: float) -> float:
+    return upper_point(lambda q: tukey_sf(q, k, df), 1.0 - p)
+
+
 def dunnett_two_sided(t: float, df: float, loadings: np.ndarray) -> float:
     """P(max |T_i| > |t|) for comparisons that share one control (correlations l_i * l_j)."""
     s, ws = _scale_nodes(df)
@@ -171,16 +176,36 @@ def tukey_pvalue(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(tukey_sf, q, k, df)
 
 
+def _once(fn):
+    """The function with its results kept for a batch: all pairs of a test share them."""
+    known: dict[tuple, float] = {}
+
+    def one(*args):
+        key = tuple(tuple(a) if isinstance(a, np.ndarray) else a for a in args)
+        if key not in known:
+            known[key] = fn(*args)
+        return known[key]
+
+    return one
+
+
 @F.pandas_udf(DoubleType())
 def tukey_critical(p: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
-    known: dict[tuple, float] = {}  # all pairs of a test share one critical value
+    return _rowwise(_once(tukey_quantile), p, k, df)
 
-    def one(*args):
-        if args not in known:
-            known[args] = tukey_quantile(*args)
-        return known[args]
 
-    return _rowwise(one, p, k, df)
+@F.pandas_udf(DoubleType())
+def f_critical(p: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    point = lambda p, d1, d2: upper_point(lambda f: f_sf(f, d1, d2), 1.0 - p)
+    return _rowwise(_once(point), p, d1, d2)
+
+
+@F.pandas_udf(DoubleType())
+def dunnett_critical(p: pd.Series, df: pd.Series, loadings: pd.Series) -> pd.Series:
+    point = lambda p, df, l: upper_point(
+        lambda t: dunnett_two_sided(t, df, l), 1.0 - p
+    )
+    return _rowwise(_once(point), p, df, loadings)
 
 
 @F.pandas_udf(DoubleType())

@@ -18,6 +18,8 @@ def at_positions(df: DataFrame, positions: str) -> DataFrame:
     picked: list[str] = []
     for part in positions.split(","):
         lo, _, hi = part.strip().partition("-")
+        if not 1 <= int(lo) <= int(hi or lo) <= len(df.columns):
+            raise ValueError(f"positions {part} of {len(df.columns)} columns")
         picked += df.columns[int(lo) - 1 : int(hi or lo)]
     return df.select(*[F.col(f"`{c}`") for c in picked])
 

@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from panelforge.functions.tails import (
     chi2_pvalue,
+    dunnett_critical,
     dunnett_pvalue,
+    f_critical,
     f_pvalue,
     t_pvalue,
     tukey_critical,
@@ -195,27 +197,34 @@ def _d(c: str) -> Column:
     return F.col(c).cast("double")
 
 
-def tukey_hsd(pairs: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """Adjusted p and simultaneous interval of each difference."""
-    reach = tukey_critical(F.lit(confidence), _d("k"), _d("df2")) / F.sqrt(F.lit(2.0)) * F.col("se")
-    out = pairs.withColumn("p", tukey_pvalue("q", _d("k"), _d("df2"))).withColumn("_h", reach)
-    return out.withColumns(
+def _with_interval(rows: DataFrame, reach: Column) -> DataFrame:
+    wide = rows.withColumn("_h", reach)
+    return wide.withColumns(
         {"lower": F.col("diff") - F.col("_h"), "upper": F.col("diff") + F.col("_h")}
     ).drop("_h")
 
 
-def duncan(pairs: DataFrame) -> DataFrame:
+def tukey_hsd(pairs: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Adjusted p and simultaneous interval of each difference."""
+    out = pairs.withColumn("p", tukey_pvalue("q", _d("k"), _d("df2")))
+    point = tukey_critical(F.lit(confidence), _d("k"), _d("df2"))
+    return _with_interval(out, point / F.sqrt(F.lit(2.0)) * F.col("se"))
+
+
+def duncan(pairs: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Multiple range test: the range spans the ordered means between the pair."""
-    tail = tukey_pvalue("q", _d("reach"), _d("df2"))
-    return pairs.withColumn("_t", tail).withColumn(
-        "p", 1 - F.pow(1 - F.col("_t"), 1 / F.greatest(_d("reach") - 1, F.lit(1.0)))
-    ).drop("_t")
+    reach = F.greatest(_d("reach"), F.lit(2.0))
+    out = pairs.withColumn("_t", tukey_pvalue("q", reach, _d("df2")))
+    out = out.withColumn("p", 1 - F.pow(1 - F.col("_t"), 1 / (reach - 1))).drop("_t")
+    point = tukey_critical(F.pow(F.lit(confidence), reach - 1), reach, _d("df2"))
+    return _with_interval(out, point / F.sqrt(F.lit(2.0)) * F.col("se"))
 
 
-def scheffe(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn(
-        "p", f_pvalue(F.col("t") ** 2 / (F.col("k") - 1), _d("k") - 1, _d("df2"))
-    )
+def scheffe(pairs: DataFrame, confidence: float = 0.95) -> DataFrame:
+    d1 = _d("k") - 1
+    out = pairs.withColumn("p", f_pvalue(F.col("t") ** 2 / d1, d1, _d("df2")))
+    point = f_critical(F.lit(confidence), d1, _d("df2"))
+    return _with_interval(out, F.sqrt(d1 * point) * F.col("se"))
 
 
 def bonferroni(pairs: DataFrame) -> DataFrame:
@@ -226,7 +235,9 @@ def bonferroni(pairs: DataFrame) -> DataFrame:
     ).drop("_p")
 
 
-def dunnett(pairs: DataFrame, control: str, test: str) -> DataFrame:
+def dunnett(
+    pairs: DataFrame, control: str, test: str, confidence: float = 0.95
+) -> DataFrame:
     """Every group against one control; sign follows group minus control."""
     flip = F.when(F.col("group2") == control, -1.0).otherwise(1.0)
     own = pairs.filter((F.col("group1") == control) | (F.col("group2") == control))
@@ -234,6 +245,7 @@ def dunnett(pairs: DataFrame, control: str, test: str) -> DataFrame:
         test,
         F.when(F.col("group2") == control, F.col("group1")).otherwise(F.col("group2")).alias("grp"),
         "df2",
+        "se",
         (F.col("diff") * flip).alias("diff"),
         (F.col("t") * flip).alias("t"),
         F.when(F.col("group2") == control, F.sqrt(F.col("n1") / (F.col("n1") + F.col("n2"))))
@@ -242,7 +254,9 @@ def dunnett(pairs: DataFrame, control: str, test: str) -> DataFrame:
     )
     whole = W.partitionBy(test)
     loaded = own.withColumn("_ls", F.collect_list("_l").over(whole))
-    return loaded.withColumn("p", dunnett_pvalue("t", _d("df2"), "_ls")).drop("_l", "_ls")
+    out = loaded.withColumn("p", dunnett_pvalue("t", _d("df2"), "_ls"))
+    point = dunnett_critical(F.lit(confidence), _d("df2"), "_ls")
+    return _with_interval(out, point * F.col("se")).drop("_l", "_ls")
 
 
 # --- regression and correlation ---------------------------------------------------------------

@@ -76,6 +76,8 @@ def exact_quantiles(
     Values shrink to counts, the counts of value ranges tell which ranges hold the wanted order
     statistics, and only those ranges are sorted. No task gathers a group.
     """
+    if not by:
+        return exact_quantiles(df.withColumn("_all", F.lit(True)), ["_all"], value, probs).drop("_all")
     by = list(by)
     counts = _value_counts(df, by, value)
     return _pick_quantiles(counts, _range_table(counts, by, value), by, value, probs)
@@ -87,6 +89,8 @@ def boxplot_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     Ranges that lie wholly inside the fences count from the range table; only the ranges cut by a
     fence are looked into value by value.
     """
+    if not by:
+        return boxplot_stats(df.withColumn("_all", F.lit(True)), ["_all"], value).drop("_all")
     by = list(by)
     counts = _value_counts(df, by, value)
     ranges = _range_table(counts, by, value)

@@ -114,9 +114,10 @@ def test_posthoc_orders(spark, sample):
         assert single <= r.p + 1e-9 <= scheffe[k].p + 1e-6
         assert duncan[k].p <= r.p + 1e-9
         assert bonf[k].p == pytest.approx(min(1.0, 3 * single), abs=1e-12)
+    against = I.dunnett(pairs, "On Premises", "test").collect()
+    for r in [*tukey.values(), *duncan.values(), *scheffe.values(), *against]:
         assert r.lower < r["diff"] < r.upper
         assert (r.lower > 0 or r.upper < 0) == (r.p < 0.05)
-    against = I.dunnett(pairs, "On Premises", "test").collect()
     assert {r.grp for r in against} == {"Hybrid", "Online Only"}
     means = sample[sample.test == "p"].groupby("g").y.mean()
     for r in against:

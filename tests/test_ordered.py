@@ -55,6 +55,12 @@ def test_quantiles_equal_numpy(spark, skewed):
             assert got.loc[g, name] == pytest.approx(np.quantile(rows.v, p), abs=1e-9)
 
 
+def test_quantiles_of_the_whole_table(spark, skewed):
+    row = P.boxplot_stats(spark.createDataFrame(skewed), [], "v").first()
+    assert (row.n, row["median"]) == (len(skewed), np.median(skewed.v))
+    assert "_all" not in row.asDict()
+
+
 def test_boxplot_equals_numpy(spark, skewed):
     got = P.boxplot_stats(spark.createDataFrame(skewed), ["g"], "v").toPandas().set_index("g")
     for g, rows in skewed.groupby("g"):
@@ -169,5 +175,7 @@ def test_positions_and_names(spark):
     df = spark.createDataFrame([(1, 2, 3, 4, 5)], ["County", "b b", "NCHS Urban/Rural Status", "d", "e "])
     picked = K.at_positions(df, "1,3-5")
     assert K.normalise_names(picked).columns == ["county", "nchs_urban_rural_status", "d", "e"]
+    with pytest.raises(ValueError):
+        K.at_positions(df, "4-6")
     with pytest.raises(ValueError):
         K.rename(df, {"missing": "x"})
