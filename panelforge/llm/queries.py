@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, substrings
+from panelforge.llm import bagminhash, decontaminate, substrings
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,8 +36,14 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_bagminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    found = bagminhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_substring_dedup, op4_decontamination)
+    f.__name__: f for f in (op3_substring_dedup, op4_decontamination, op9_bagminhash_dedup)
 }
 
 ORACLES: dict[str, str] = {}
