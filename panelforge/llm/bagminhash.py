@@ -16,11 +16,12 @@ Jaccard similarity.
 
 Documents with equal multisets are one node. Nodes meet in 32 bands of 4 registers (a pair of
 similarity 0.8 misses all of them once in 20 million). In each bucket, every node is compared with
-the bucket's smallest node; buckets that still hold several classes are then compared across the
-classes, nearest signatures first and each time eight times as many, until no pair is left whose
-signatures agree in 65 % or more. That is exact up to the signatures' own error (a pair of
-similarity 0.8 falls below 65 % once in 30,000), and classes of thousands of copies need few pairs.
-All links are verified by the exact overlap of multisets (by 32-bit hashes).
+the bucket's smallest node. Buckets that still hold several classes are then compared across the
+classes, first each node's four nearest signatures, then all pairs left. A pair is passed over if its
+signatures agree in less than 65 % (a pair of similarity 0.8 does so once in 30,000) or if what each
+side alone has, among all nodes of such buckets, bounds the similarity below the threshold; the
+bound leaves few pairs in classes of thousands of copies that differ in a few words each. All links
+are verified by the exact overlap of multisets (by 32-bit hashes).
 
 Texts are never shuffled: the shingles of the documents that a round needs are taken from a scan,
 prefiltered by a bitmap of fixed size over the hashes of their ids. Groups of pairs and buckets are
@@ -219,55 +220,106 @@ def verified(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     return done.filter(F.col("similarity") >= similarity)
 
 
-def _across(most: int, near: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different classes with similar signatures, the nearest of each class."""
-        left = pdf[pdf["chunk"] == pdf["lo"]]
-        right = pdf[pdf["chunk"] == pdf["hi"]]
-        sigs = np.frombuffer(b"".join(right["sig"]), dtype=np.uint32).reshape(len(right), -1)
-        ids, classes = right["node"].to_numpy(), right["root"].to_numpy()
-        out = []
-        for node, root, sig in zip(left["node"], left["root"], left["sig"]):
-            share = (sigs == np.frombuffer(sig, dtype=np.uint32)).mean(axis=1)
-            at = np.flatnonzero((share >= near) & (classes != root))
-            if not len(at):
-                continue
-            at = at[np.lexsort((ids[at], -share[at], classes[at]))]
-            heads = np.flatnonzero(np.append(True, classes[at][1:] != classes[at][:-1]))
-            sizes = np.diff(np.append(heads, len(at)))
-            nth = np.arange(len(at)) - np.repeat(heads, sizes)
-            more = np.repeat(sizes > most, sizes)
-            for k in np.flatnonzero(nth < most):
-                other = ids[at[k]]
-                out.append((min(node, other), max(node, other), bool(more[k])))
-        return pd.DataFrame(out, columns=["a", "b", "more"])
+def _private(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """`node`, `own`: how much of the node's multiset no other node of the members has."""
+    ids = members.select(F.col("node").alias("doc_id")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [len(b) // 4 for b in batch.column(1).to_pylist()]
+            flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column(0).to_numpy(), cut)), pa.array(flat)], ["node", "x"]
+            )
+
+    held = _blobs(rows, ids).join(ids, "doc_id").mapInArrow(run, "node bigint, x int")
+    single = held.groupBy("x").agg(
+        F.min("node").alias("node"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")
+    )
+    return single.filter("node = last").groupBy("node").agg(F.sum("m").alias("own"))
+
+
+def _across(near: float, similarity: float, most: int | None):
+    each = REGISTERS // BANDS
+
+    def run(table: pa.Table) -> pa.Table:
+        """Pairs of different classes that may be similar enough, each from its first shared band."""
+        col = {c: table.column(c).to_numpy() for c in ("chunk", "node", "root", "n", "own", "band")}
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32)
+        sig = sig.reshape(-1, REGISTERS)
+        band = int(col["band"][0])
+        left, right = np.flatnonzero(col["chunk"] == lo), np.flatnonzero(col["chunk"] == hi)
+        size, shared = col["n"].astype(float), (col["n"] - col["own"]).astype(float)
+        a, b, share = [], [], []
+        for k in range(0, len(left), 32):
+            some = left[k : k + 32]
+            # What one side alone has cannot overlap, which bounds the similarity from above.
+            most_same = np.minimum(shared[some][:, None], shared[right][None])
+            bound = most_same / (size[some][:, None] + size[right][None] - most_same)
+            i, j = np.nonzero((bound >= similarity) & (col["root"][some][:, None] != col["root"][right][None]))
+            i, j = some[i], right[j]
+            if lo == hi:
+                i, j = i[col["node"][i] < col["node"][j]], j[col["node"][i] < col["node"][j]]
+            for c in range(0, len(i), 8192):
+                x, y = i[c : c + 8192], j[c : c + 8192]
+                same = sig[x] == sig[y]
+                near_enough = same.mean(axis=1) >= near
+                x, y, same = x[near_enough], y[near_enough], same[near_enough]
+                mine = same.reshape(-1, BANDS, each).all(axis=2).argmax(axis=1) == band
+                a.append(x[mine])
+                b.append(y[mine])
+                share.append(same[mine].mean(axis=1))
+        a = np.concatenate(a) if a else np.zeros(0, dtype=np.int64)
+        b = np.concatenate(b) if b else a
+        if most is not None and len(a):
+            share = np.concatenate(share)
+            both, other = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((-share[other], both))
+            heads = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1]))
+            nth = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+            kept = np.unique(other[order][nth < most])
+            a, b = a[kept], b[kept]
+        x, y = col["node"][a], col["node"][b]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return run
 
 
-def _cross_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """Pairs between classes that share a bucket: `a`, `b`, and whether more are near."""
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several classes, with class and bucket size."""
     own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = own.groupBy("key").agg(
         F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")
-    ).filter("r0 <> r1")
+    )
+    return own.join(mixed.filter("r0 <> r1").select("key", "m"), "key")
+
+
+def _cross_pairs(mixed: DataFrame, nodes: DataFrame, private: DataFrame, similarity, most) -> DataFrame:
+    """Pairs (`a`, `b`) across the classes of a bucket; `most` keeps each node's nearest ones."""
     cuts = F.ceil(F.col("m") / CHUNK).cast("int")
-    rows = own.join(mixed, "key").join(nodes.select("node", "sig"), "node")
+    known = nodes.join(private, "node", "left").select(
+        "node", "sig", "n", F.coalesce("own", F.lit(0)).alias("own")
+    )
+    rows = mixed.join(known, "node")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), cuts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     rows = rows.select(
         "key",
+        "band",
         F.least("chunk", "other").alias("lo"),
         F.greatest("chunk", "other").alias("hi"),
         "chunk",
         "node",
         "root",
+        "n",
+        "own",
         "sig",
     )
-    found = rows.groupBy("key", "lo", "hi").applyInPandas(
-        _across(most, NEAR), "a bigint, b bigint, more boolean"
+    found = rows.groupBy("key", "lo", "hi").applyInArrow(
+        _across(NEAR, similarity, most), "a bigint, b bigint"
     )
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return found.distinct()
 
 
 def near_duplicates(
@@ -280,7 +332,7 @@ def near_duplicates(
         known.mapInArrow(_signed, "doc_id bigint, h1 bigint, h2 bigint, n bigint, sig binary")
     )
     equal = signed.filter("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("node"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
     nodes = checkpointed(equal)
     rows_each = REGISTERS // BANDS * 4
@@ -290,27 +342,32 @@ def near_duplicates(
             for b in range(BANDS)
         ]
     )
-    placed = nodes.select("node", F.explode(keys).alias("key"))
+    placed = nodes.select("node", F.posexplode(keys).alias("band", "key"))
     buckets = placed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"))
-    members = checkpointed(placed.join(buckets.filter("head <> last"), "key").select("key", "node", "head"))
+    members = checkpointed(
+        placed.join(buckets.filter("head <> last"), "key").select("key", "band", "node", "head")
+    )
     tested = checkpointed(
         members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     )
     links = checkpointed(verified(known, tested, similarity))
     roots = components(links)
-    most = 8
-    while True:
-        found = checkpointed(_cross_pairs(members, roots, nodes, most))
-        fresh = checkpointed(found.join(tested, ["a", "b"], "left_anti").select("a", "b"))
-        if not fresh.isEmpty():
-            more = checkpointed(verified(known, fresh, similarity))
-            tested = tested.union(fresh)
-            if not more.isEmpty():
-                links = links.union(more)
-                roots = components(links)
-        elif found.filter("more").isEmpty():
+    private = None
+    for most in (4, None):  # the nearest pairs first: what they join need not be compared
+        mixed = checkpointed(_mixed(members, roots))
+        if mixed.isEmpty():
             break
-        most *= 8
+        if private is None:
+            private = checkpointed(_private(known, mixed))
+        found = _cross_pairs(mixed, nodes, private, similarity, most)
+        fresh = checkpointed(found.join(tested, ["a", "b"], "left_anti").select("a", "b"))
+        if fresh.isEmpty():
+            continue
+        more = checkpointed(verified(known, fresh, similarity))
+        tested = tested.union(fresh)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
     home = signed.join(nodes.select("h1", "h2", "node"), ["h1", "h2"], "left")
     of_row = home.select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     classes = of_row.join(roots, "node", "left").groupBy("doc_id").agg(
