@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bagminhash, decontaminate, substrings
+from panelforge.llm import bagminhash, decontaminate, language, quality, substrings
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,27 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.learn(docs))
+    return found.select(
+        F.col("_0").alias("doc_id"), language.held_out("_0").alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learned from three quarters of the labels."""
+    docs = table(spark, folder, "documents")
+    found = quality.score(docs, quality.learn(docs, table(spark, folder, "labels")))
+    return found.select(
+        "doc_id",
+        language.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op9_bagminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near-duplicates of every document."""
     found = bagminhash.near_duplicates(table(spark, folder, "documents"))
@@ -43,7 +64,14 @@ def op9_bagminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_substring_dedup, op4_decontamination, op9_bagminhash_dedup)
+    f.__name__: f
+    for f in (
+        op3_substring_dedup,
+        op4_decontamination,
+        op5_language_id,
+        op9_bagminhash_dedup,
+        op10_quality,
+    )
 }
 
 ORACLES: dict[str, str] = {}
