@@ -7,13 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bagminhash, decontaminate, language, quality, substrings
+from panelforge.llm import (
+    bagminhash,
+    decontaminate,
+    forest,
+    language,
+    mixing,
+    preference,
+    quality,
+    rollups,
+    substrings,
+    tokens,
+)
+from panelforge.session import scratch_path
+
+# Shares of the mix, by rule: the large source gets 24, the others 1 to 4.
+SHARES = {"src0": 24, **{f"src{i}": 1 + i % 4 for i in range(1, 20)}}
+
+
+def vocabulary() -> str:
+    """The public byte-level vocabulary that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_forest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Five nearest found for every fiftieth vector, by cosine."""
+    vectors = table(spark, folder, "embeddings")
+    return forest.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+def op2_preference_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompt, masked completions and trained characters of a pair per conversation."""
+    found = preference.format_pairs(preference.sampled_pairs(table(spark, folder, "conversations")))
+    spans = lambda c: F.array_join(
+        F.transform(c, lambda m: F.concat_ws("-", m["low"].cast("string"), m["high"].cast("string"))), ","
+    )
+    return found.select(
+        F.col("pair_id").alias("conv_id"),
+        "n_prompt_turns",
+        "prompt",
+        "chosen",
+        "rejected",
+        spans("chosen_mask").alias("chosen_mask"),
+        spans("rejected_mask").alias("rejected_mask"),
+        "tied",
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that repeat 13 or more words of a smaller document."""
     found = substrings.remove_repeats(table(spark, folder, "documents"))
@@ -57,6 +103,44 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Slot and position of every document in the mix."""
+    found = mixing.positions(table(spark, folder, "documents").select("doc_id", "source"), SHARES)
+    return found.select(
+        F.col("_row.doc_id").alias("doc_id"),
+        F.col("_row.source").alias("source"),
+        F.col("_slot").alias("slot"),
+        F.col("_position").alias("position"),
+    )
+
+
+def op7_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after inserts in four batches, deletes, revised counts and a batch sent twice."""
+    docs = table(spark, folder, "documents")
+    words, pieces = (rollups.count_tokens("text", v) for v in (rollups.WORDS, rollups.PIECES))
+    store = rollups.Rollup(spark, scratch_path(spark, "rollup"))
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    inserts = [
+        (f"insert-{k}", rollups.signed(docs.filter(part == k), 1, words, rollups.WORDS)) for k in range(4)
+    ]
+    short = rollups.signed(docs.filter(words < 20), -1, words, rollups.WORDS)
+    kept = docs.filter(F.col("lang").isin("de", "es", "fr")).filter(words >= 20)
+    recounted = rollups.revised(kept, words, rollups.WORDS, pieces, rollups.PIECES)
+    for name, rows in [*inserts, ("delete-short", short), ("revise-langs", recounted), inserts[1]]:
+        store.commit(name, rows)
+    return store.totals()
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, from the files written."""
+    path = scratch_path(spark, "tokens")
+    tokens.write_tokens(table(spark, folder, "documents"), path, vocabulary())
+    files = spark.read.parquet(path)
+    return tokens.with_starts(tokens.checksums(files), files).select(
+        "doc_id", "start", "n_tokens", "ids_crc32"
+    )
+
+
 def op9_bagminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near-duplicates of every document."""
     found = bagminhash.near_duplicates(table(spark, folder, "documents"))
@@ -66,12 +150,60 @@ def op9_bagminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_forest_neighbours,
+        op2_preference_format,
         op3_substring_dedup,
         op4_decontamination,
         op5_language_id,
+        op6_pfair_mixing,
+        op7_token_rollups,
+        op8_token_files,
         op9_bagminhash_dedup,
         op10_quality,
     )
 }
 
-ORACLES: dict[str, str] = {}
+_OP2 = r"""
+WITH ranked AS (
+  SELECT conv_id, turn, role, text,
+         max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last
+  FROM conversations
+), kept AS (
+  SELECT conv_id, turn, text, last,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece
+  FROM ranked WHERE turn <= last
+), talks AS (
+  SELECT conv_id, CAST(count(*) AS INTEGER) AS n,
+         coalesce(string_agg(piece, '' ORDER BY turn) FILTER (WHERE turn < last), '') AS before,
+         max(piece) FILTER (WHERE turn = last) AS own, max(text) FILTER (WHERE turn = last) AS reply
+  FROM kept GROUP BY conv_id
+), paired AS (
+  SELECT *, coalesce(lead(own) OVER w, first_value(own) OVER w) AS other,
+         coalesce(lead(reply) OVER w, first_value(reply) OVER w) AS other_reply
+  FROM talks WINDOW w AS (ORDER BY conv_id)
+)
+SELECT conv_id,
+       CASE WHEN own = other THEN n ELSE n - 1 END AS n_prompt_turns,
+       CASE WHEN own = other THEN before || own ELSE before END AS prompt,
+       CASE WHEN own = other THEN '' ELSE own END AS chosen,
+       CASE WHEN own = other THEN '' ELSE other END AS rejected,
+       CASE WHEN own = other THEN '' ELSE '14-' || CAST(22 + length(reply) AS VARCHAR) END AS chosen_mask,
+       CASE WHEN own = other THEN '' ELSE '14-' || CAST(22 + length(other_reply) AS VARCHAR) END AS rejected_mask,
+       own = other AS tied
+FROM paired
+"""
+
+_OP7 = r"""
+WITH counted AS (
+  SELECT source, lang,
+         CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words,
+         CAST(len(regexp_extract_all(text, '[0-9A-Za-z]+|[^\x00-\x7F]+')) AS BIGINT) AS pieces
+  FROM documents
+)
+SELECT source, lang, CASE WHEN lang IN ('de', 'es', 'fr') THEN 'pieces_v2' ELSE 'words_v1' END AS tokenizer,
+       CAST(count(*) AS BIGINT) AS n_docs,
+       CAST(sum(CASE WHEN lang IN ('de', 'es', 'fr') THEN pieces ELSE words END) AS BIGINT) AS n_tokens
+FROM counted WHERE words >= 20 GROUP BY ALL
+"""
+
+ORACLES: dict[str, str] = {"op2_preference_format": _OP2, "op7_token_rollups": _OP7}
