@@ -1,7 +1,7 @@
 """Token ids of documents as Parquet list columns.
 
-Documents are placed by ranges of their id or another order, sorted, encoded in the tasks that write them, and stored
-as one row each: `shard` and `local_start` (file and tokens before the row in it), `doc_id`,
+Documents are placed by ranges of their id or another order, sorted, encoded in the tasks that write
+them, and stored as one row each: `shard` and `local_start` (file and tokens before the row in it), `doc_id`,
 `n_tokens`, further metadata columns, and `ids`, a list of 32-bit integers. The ids column is
 dictionary-encoded (a file rarely uses more ids than a dictionary page holds), the sorted number
 columns are delta-encoded (version 2 pages), row groups and pages have set sizes, and page indexes
@@ -9,8 +9,8 @@ are written, so readers can take metadata without tokens or the tokens of a rang
 
 Encoding is the tokenizers library's, on pieces of text: the vocabularies here split text at white
 space before they merge, so a space or line break between two visible characters is a border that no
-token crosses. Each distinct piece of a task is encoded once and texts are put together from these.
-A text with any other white space is encoded as a whole.
+token crosses. Words are merged by the library once per worker process, which keeps a bounded number of
+them, and texts are put together from these. A text with any other white space is encoded as a whole.
 
 Nulls, ties and repeats: a null text is empty and gets the end id only. A null id sorts first. Rows
 that share an id are ordered by a hash of their text. An empty table writes an empty file.
@@ -19,7 +19,10 @@ that share an id are ordered by a hash of their text. An empty table writes an e
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +34,12 @@ from pyspark.sql import functions as F
 END = 0
 DOCS_PER_FILE = 8192
 MOST_FILES = 20_000
-_CACHED = 300_000
-_ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
-_LINE = 198  # the byte-level id of a line break; checked before pieces are used
+_CACHED = 700_000
+# A word of Latin letters after a line break or a space, and the ASCII marks that may stand behind
+# it: the first cut parts these from each other and nothing else.
+_WORD = re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_HELD = "_panelforge_token_encoders"
 
 FORMAT = {
     "compression": "zstd",
@@ -47,76 +53,109 @@ FORMAT = {
 }
 
 
+class _Pieces(dict):
+    """Ids of pieces, as bytes, made when first asked for; emptied when it holds too many.
+
+    A piece that begins with a line break stands after one, any other after a space.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self._first_cut = tokenizer.pre_tokenizer.pre_tokenize_str
+        self._merge = tokenizer.model.tokenize
+        self._tails: dict[str, bytes] = {}
+        self._names = {ord(k): v for k, v in self._byte_names().items()}
+
+    def _byte_names(self) -> dict[str, str]:
+        """How the vocabulary writes a byte, asked from the library byte by byte for ASCII and by
+        the two bytes of a character for the rest."""
+        names = {chr(b): self._first_cut(chr(b))[0][0] for b in range(0x21, 0x7F)}
+        names[" "] = self._first_cut(" x")[0][0][0]
+        names["\n"] = self._first_cut("x\nx")[1][0]
+        for b in range(0x80, 0xC0):
+            names[chr(b)] = self._first_cut(bytes([0xC5, b]).decode())[0][0][1]
+        for b in range(0xC2, 0xE0):
+            names[chr(b)] = self._first_cut(bytes([b, 0x81]).decode())[0][0][0]
+        return names
+
+    def _ids(self, names: list[str]) -> bytes:
+        return array("I", [t.id for name in names for t in self._merge(name)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        core = piece.rstrip(_MARKS)
+        if core != piece:
+            own = self.get(core)  # only words are kept
+            if own is None and _WORD.fullmatch(core):
+                own = self[core]
+            if own is not None:
+                marks = piece[len(core) :]
+                tail = self._tails.get(marks)
+                if tail is None:
+                    tail = self._tails[marks] = self._ids([marks])
+                return own + tail
+        elif _WORD.fullmatch(piece):
+            if len(self) >= _CACHED:
+                self.clear()
+                self._tails.clear()
+            line = piece[0] == "\n"
+            name = (piece if line else " " + piece).encode().decode("latin-1").translate(self._names)
+            self[piece] = ids = self._ids([name[:1], name[1:]] if line else [name])
+            return ids
+        line = piece[0] == "\n"
+        names = [name for name, _ in self._first_cut(("x" if line else " ") + piece)]
+        return self._ids(names[1:] if line else names)
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, with a bounded cache of pieces."""
+    """Ids of texts as little-endian 32-bit bytes."""
+
+    # Texts whose ids by pieces and as a whole are compared before pieces are used.
+    _PROBES = ("a\nb c", "It's 3.5 (of \u00e9t\u00e9), x!\n\u00dcber\n12 -- don't\nstop \u4e2d\u6587, ok?")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # special strings in a text are plain text
-        self._pieces: dict[str, bytes] = {}
-        self._by_pieces = self._ids("a\nb c") == [
-            *self._ids("a"), _LINE, *self._ids("b"), *self._ids(" c")
-        ]
-
-    def _ids(self, text: str) -> list[int]:
-        return self._tokenizer.encode(text, add_special_tokens=False).ids
+        self._pieces = None
+        pieces = _Pieces(self._tokenizer)
+        if all(self._joined(t, pieces) == self._whole(t) for t in self._PROBES):
+            self._pieces = pieces
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._ids(text), dtype="<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces in one text, parted by line breaks, and cut its ids at these.
-
-        A piece stands for itself after a space, or for itself after a line break if it begins
-        with one.
-        """
-        if len(self._pieces) + len(pieces) > _CACHED:
-            self._pieces.clear()
-        line = np.array([_LINE], dtype="<u4").tobytes()
-        for k in range(0, len(pieces), 20_000):
-            some = pieces[k : k + 20_000]
-            joined = "\n".join(p[1:] if p[0] == "\n" else " " + p for p in some)
-            ids = np.array(self._ids(joined), dtype="<u4")
-            cut = np.concatenate([[-1], np.flatnonzero(ids == _LINE), [len(ids)]])
-            if len(cut) != len(some) + 1:
-                raise ValueError("a piece holds a line break")
-            raw = ids.tobytes()
-            for p, a, z in zip(some, cut[:-1], cut[1:]):
-                own = raw[4 * (a + 1) : 4 * z]
-                self._pieces[p] = line + own if p[0] == "\n" else own
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _joined(self, text: str, pieces: _Pieces) -> bytes | None:
+        """By pieces, if every white space of the text is one space or line break between others."""
+        first, *rest = text.replace("\n", " \n").split(" ")
+        visible = text.split()
+        if len(visible) != len(rest) + 1 or len("".join(visible)) + len(rest) != len(text):
+            return None
+        return self._whole(first) + b"".join(map(pieces.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        for low in range(0, len(texts), 64):  # few texts at a time, so the cache can be emptied between
-            split, new = [], set()
-            for i in range(low, min(low + 64, len(texts))):
-                text = texts[i]
-                if not self._by_pieces or len(text) < 2 or _ODD_SPACE.search(text):
-                    out[i] = self._whole(text) if text else b""
-                    continue
-                first, *rest = text.replace("\n", " \n").split(" ")
-                split.append((i, first, rest))
-                new.update(rest)
-            new.difference_update(self._pieces)
-            if new:
-                fresh = sorted(new)
-                if len(self._pieces) + len(fresh) > _CACHED:
-                    fresh = sorted({p for _, _, rest in split for p in rest})
-                self._learn(fresh)
-            for i, first, rest in split:
-                out[i] = self._whole(first) + b"".join(map(self._pieces.__getitem__, rest))
+        out = []
+        for text in texts:
+            ids = self._joined(text, self._pieces) if text and self._pieces is not None else None
+            out.append(self._whole(text) if ids is None and text else ids or b"")
         return out
 
 
+def held_encoder(path: str) -> Encoder:
+    """One encoder per worker process and vocabulary, so that later tasks find the words known."""
+    held = sys.modules.setdefault(_HELD, types.ModuleType(_HELD)).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def _encoded(path: str, end: int, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = None, 0
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                encoder = encoder or Encoder(path)
+                encoder = encoder or held_encoder(path)
                 texts = ["" if t is None else t for t in part.column(n_kept).to_pylist()]
                 tail = np.array([end], dtype="<u4").tobytes()
                 raw = [ids + tail for ids in encoder.encode(texts)]
