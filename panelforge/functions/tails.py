@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+# Above this many degrees of freedom a chi-square divided by them is taken as 1, its limit: log gamma
+# loses the digits that the difference would show in.
+LARGE = 1e7
+
+
 def _log_beta(a: float, b: float) -> float:
     return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
 
@@ -27,7 +32,8 @@ def beta_inc(a: float, b: float, x: float) -> float:
     front = math.exp(a * math.log(x) + b * math.log1p(-x) - _log_beta(a, b)) / a
     tiny, c, d = 1e-300, 1.0, 0.0
     value = 1.0
-    for i in range(2000):
+    # Terms needed grow with the root of the larger parameter; callers keep both below LARGE / 2.
+    for i in range(2000 + int(40 * math.sqrt(max(a, b)))):
         m = i // 2
         if i == 0:
             num = 1.0
@@ -40,8 +46,8 @@ def beta_inc(a: float, b: float, x: float) -> float:
         c = 1.0 + num / (c if abs(c) > tiny else tiny)
         value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * (value - 1.0)
+            return front * (value - 1.0)
+    return math.nan
 
 
 def gamma_upper(a: float, x: float) -> float:
@@ -59,26 +65,40 @@ def gamma_upper(a: float, x: float) -> float:
         return max(0.0, 1.0 - total * scale)
     b, c = x + 1.0 - a, 1e300
     d = h = 1.0 / b
-    for i in range(1, 2000):
+    for i in range(1, 2000 + int(40 * math.sqrt(a))):
         an = -i * (i - a)
         b += 2.0
         d = 1.0 / (an * d + b)
         c = b + an / c
         h *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return scale * h
+            return scale * h
+    return math.nan
+
+
+def normal_sf(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
 def f_sf(f: float, d1: float, d2: float) -> float:
+    if d1 > LARGE and d2 > LARGE:
+        return normal_sf(math.log(f) / math.sqrt(2.0 / d1 + 2.0 / d2)) if f > 0.0 else 1.0
+    if d2 > LARGE:
+        return chi2_sf(d1 * f, d1)
+    if d1 > LARGE:
+        return 1.0 - chi2_sf(d2 / f, d2) if f > 0.0 else 1.0
     return beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
 
 
 def t_two_sided(t: float, df: float) -> float:
+    if df > LARGE:
+        return 2.0 * normal_sf(abs(t))
     return beta_inc(df / 2.0, 0.5, df / (df + t * t))
 
 
 def chi2_sf(x: float, df: float) -> float:
+    if df > LARGE:
+        return normal_sf((x - df) / math.sqrt(2.0 * df))
     return gamma_upper(df / 2.0, x / 2.0)
 
 
@@ -94,6 +114,8 @@ def _nodes(lo: float, hi: float, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _scale_nodes(df: float, n: int = 48) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and probability weights of s = sqrt(chi2 / df)."""
+    if df > LARGE:
+        return np.ones(1), np.ones(1)
     spread = 9.0 / math.sqrt(2.0 * df)
     s, w = _nodes(max(0.0, 1.0 - spread), 1.0 + spread, n)
     logf = (
@@ -121,10 +143,14 @@ def tukey_sf(q: float, k: float, df: float) -> float:
 def upper_point(tail, level: float) -> float:
     """The point above which a decreasing tail function keeps the given probability."""
     lo, hi = 0.0, 10.0
-    while tail(hi) > level and hi < 1e4:
-        hi *= 2.0
-    for _ in range(50):
+    while tail(hi) > level:
+        lo, hi = hi, hi * 2.0
+        if math.isinf(hi):
+            return math.nan
+    while hi - lo > 1e-14 * hi:
         mid = (lo + hi) / 2.0
+        if mid in (lo, hi):
+            break
         lo, hi = (mid, hi) if tail(mid) > level else (lo, mid)
     return (lo + hi) / 2.0
 

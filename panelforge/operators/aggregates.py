@@ -70,9 +70,8 @@ def incidence_band(
         strict_sum(events).alias("total_events"), strict_sum(population).alias("total_pop")
     )
     p = F.col("rate")
-    half = F.lit(z) * F.sqrt(
-        F.try_divide(p * (F.lit(1.0) - p), F.col("total_pop").cast("double"))
-    )
+    spread = F.try_divide(p * (F.lit(1.0) - p), F.col("total_pop").cast("double"))
+    half = F.lit(z) * F.when(spread >= 0, F.sqrt(spread))  # null outside [0, 1]
     return totals.withColumn("rate", ratio("total_events", "total_pop")).withColumns(
         {"rate_upper": p + half, "rate_lower": p - half}
     )

@@ -133,7 +133,7 @@ def redistribute_negatives(
     Input: one row per (entity, day), so an entity's array is bounded by the calendar. Only
     series that hold a negative are folded. Each row also says whether it stayed negative
     (`residual`): the first day has nothing before it, and a correction may exceed the number of
-    earlier positive days.
+    earlier positive days. A null count stays null and takes no part.
     """
     rest = [c for c in df.columns if c != entity]
     packed = df.withColumn("_x", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
@@ -149,6 +149,6 @@ def redistribute_negatives(
     return out.select(
         entity,
         *[F.col(f"_r._s.`{c}`").alias(c) for c in rest],
-        F.col("_r._f").alias(name),
-        (F.col("_r._f") < 0).alias("residual"),
+        F.when(F.col(f"_r._s.`{value}`").isNotNull(), F.col("_r._f")).alias(name),
+        F.coalesce(F.col("_r._f") < 0, F.lit(False)).alias("residual"),
     )

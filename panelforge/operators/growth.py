@@ -33,13 +33,18 @@ def spline_growth(
 ) -> DataFrame:
     """Smoothed value, first (`_b`) and second (`_b2`) derivative of each value column.
 
-    Input: one row per (entity, day). Each entity becomes one row of arrays bounded by the
+    Input: one row per (entity, day); two rows on a day are an error. Each entity becomes one row of arrays bounded by the
     calendar; the fit runs once per series in Arrow batches and all derivatives come from it.
     Rows with a null value stay, with null results; the fit leaves them out.
     """
     keys = [entity] if isinstance(entity, str) else list(entity)
     arrays = df.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(day, *values))).alias("_s")
+        F.when(
+            F.count(F.lit(1)) == F.count_distinct(F.col(day)),
+            F.array_sort(F.collect_list(F.struct(day, *values))),
+        )
+        .otherwise(F.raise_error(F.lit(f"more than one row, or none dated, on a {day}")))
+        .alias("_s")
     )
     arrays = arrays.withColumn(
         "_d", F.transform("_s", lambda s: day_number(s[day]).cast("double"))

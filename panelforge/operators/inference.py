@@ -26,7 +26,7 @@ from panelforge.functions.tails import (
     tukey_critical,
     tukey_pvalue,
 )
-from panelforge.operators.ordered import preceding_sums
+from panelforge.operators.ordered import attach, preceding_sums
 
 
 def group_moments(df: DataFrame, y: str, group: str, test: str) -> DataFrame:
@@ -131,15 +131,17 @@ def kruskal_wallis(df: DataFrame, y: str, group: str, test: str) -> DataFrame:
         # A tie of size t adds t^3 - t once: c / t of it from each group that shares the value.
         F.sum(F.col("c") * (t**2 - 1)).alias("ties"),
     )
+    sums = sums.withColumn("all", F.sum("c").over(W.partitionBy(test)))  # one row per group
     out = sums.groupBy(test).agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("c").alias("n"),
-        F.sum(F.col("r") ** 2 / F.col("c")).alias("q"),
+        # Mean ranks against the middle rank: no difference of two large numbers.
+        F.sum(F.col("c") * (F.col("r") / F.col("c") - (F.col("all") + 1) / 2) ** 2).alias("q"),
         F.sum("ties").alias("ties"),
     )
     n = F.col("n")
     spread = 1 - F.col("ties") / (n**3 - n)
-    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / spread
+    h = 12 / (n * (n + 1)) * F.col("q") / spread
     return out.select(
         test,
         "k",
@@ -292,19 +294,20 @@ def with_t_pvalue(stats: DataFrame) -> DataFrame:
 
 
 def wls_simple(df: DataFrame, y: str, x: str, weight: str, test: str) -> DataFrame:
-    """Weighted line of y on x per test; rows of zero weight do not count towards n."""
+    """Weighted line of y on x per test, with r2; rows of zero weight do not count towards n."""
     rows = df.filter(
         F.col(y).isNotNull() & F.col(x).isNotNull() & (F.col(weight) > 0)
     ).select(test, F.col(y).alias("y"), F.col(x).alias("x"), F.col(weight).alias("w"))
-    # Shifting by the overall means (a scalar, no join) keeps the one-pass moments accurate.
-    middle = rows.agg(F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("m")).scalar()
-    rows = rows.withColumn("_m", middle).withColumns(
+    # Shifting by each test's own means keeps the one-pass moments accurate; the means are an
+    # aggregate that sends one row per test and task.
+    middle = rows.groupBy(test).agg(F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("_m"))
+    rows = attach(rows, middle, [test]).withColumns(
         {"x": F.col("x") - F.col("_m.x"), "y": F.col("y") - F.col("_m.y")}
     )
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     out = rows.groupBy(test).agg(
         F.count(F.lit(1)).alias("n"),
-        F.max("_m").alias("_m"),
+        F.first("_m").alias("_m"),
         F.sum(w).alias("_w"),
         F.sum(w * x).alias("_wx"),
         F.sum(w * y).alias("_wy"),
@@ -327,13 +330,14 @@ def wls_simple(df: DataFrame, y: str, x: str, weight: str, test: str) -> DataFra
     out = out.withColumn("slope", slope).withColumns(
         {
             "intercept": F.col("_my") - F.col("slope") * F.col("_mx"),
+            "r2": F.try_divide(F.col("slope") * F.col("sxy"), F.col("syy")),
             "se": F.when(F.col("n") > 2, F.sqrt(F.try_divide(sse, (F.col("n") - 2) * F.col("sxx")))),
         }
     )
     out = out.withColumns(
         {"t": F.try_divide("slope", "se"), "df2": (F.col("n") - 2).cast("bigint")}
     )
-    return out.select(test, "n", "slope", "intercept", "se", "t", "df2")
+    return out.select(test, "n", "slope", "intercept", "r2", "se", "t", "df2")
 
 
 _SOLUTION = T.StructType(

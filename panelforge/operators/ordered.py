@@ -11,6 +11,7 @@ Two families, chosen by how many rows one group may hold:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
@@ -19,9 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Ranges of the order, found in two steps of BLOCK comparisons each.
+# The order is cut into block * block ranges, found in two steps of `block` comparisons each. This is
+# the least block; it grows with the shuffle partitions, and results do not depend on it.
 BLOCK = 16
-RANGES = BLOCK * BLOCK
+
+
+def range_block(df: DataFrame) -> int:
+    """A block that gives at least four ranges per shuffle partition."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(BLOCK, math.ceil(math.sqrt(4 * parts)))
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,33 +49,37 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- any group size ---------------------------------------------------------------------------
 
 
-def with_range(df: DataFrame, order: str, touch: Sequence[str] = ()) -> DataFrame:
+def with_range(
+    df: DataFrame, order: str, touch: Sequence[str] = (), block: int | None = None
+) -> DataFrame:
     """`_range`: number of quantile cut points below the order column, a deterministic range id.
 
     The cut points are one mergeable sketch over the column, sent out as a scalar of fixed size.
     When `df` is itself an aggregate, `touch` names its aggregated columns: the sketch then needs
     the same shuffle as the main plan and reuses it instead of reading the source again.
     """
-    steps = [i / RANGES for i in range(1, RANGES)]
+    size = block or range_block(df)
+    ranges = size * size
+    steps = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(
-        F.percentile_approx(order, steps, 10 * RANGES).alias("c"),
+        F.percentile_approx(order, steps, 10 * ranges).alias("c"),
         *[F.max(t).alias(f"_touch_{t}") for t in touch],
     )
-    coarse = F.array(*[F.element_at("c", i) for i in range(BLOCK, RANGES, BLOCK)])
+    coarse = F.array(*[F.element_at("c", i) for i in range(size, ranges, size)])
     touched = [F.col(f"_touch_{t}") for t in touch]
     both = cuts.select(
         F.struct(F.col("c").alias("fine"), coarse.alias("coarse"), *touched).alias("s")
     )
     # Comparisons are added up instead of searched by a lambda, which keeps them in compiled code.
     below = lambda cut: (cut < F.col(order)).cast("int")
-    block = reduce(add, [below(F.get("_cuts.coarse", F.lit(i))) for i in range(BLOCK - 1)])
+    coarse_block = reduce(add, [below(F.get("_cuts.coarse", F.lit(i))) for i in range(size - 1)])
     fine = reduce(
-        add, [below(F.get("_cuts.fine", F.col("_block") * BLOCK + i)) for i in range(BLOCK - 1)]
+        add, [below(F.get("_cuts.fine", F.col("_block") * size + i)) for i in range(size - 1)]
     )
     return (
         df.withColumn("_cuts", both.scalar())
-        .withColumn("_block", block)
-        .withColumn("_range", F.col("_block") * BLOCK + fine)
+        .withColumn("_block", coarse_block)
+        .withColumn("_range", F.col("_block") * size + fine)
         .drop("_cuts", "_block")
     )
 
@@ -240,6 +251,8 @@ def densify(
 
     `seen` may name a cheaper frame to take the first and last day from than `counts` itself.
 
+    Counts of an entity that is not listed are an error.
+
     The calendar comes as a scalar, so there is no cross join. One marker row per entity travels
     with the counts and turns into zero rows only after both are placed by entity: the shuffle
     holds the days that were seen, not the grid. That one placement serves the sum and every
@@ -270,7 +283,14 @@ def densify(
             *[F.sum(v).alias(v) for v in values],
             F.count_if("_known").alias("_n"),
         )
-        .filter(F.col("_n") > 0)
+        .withColumn(
+            entity,
+            F.when(F.col("_n") > 0, F.col(entity)).otherwise(
+                F.raise_error(F.lit(f"counts of a {entity} that is not among the entities")).cast(
+                    dict(counts.dtypes)[entity]
+                )
+            ),
+        )
         .drop("_n")
     )
 

@@ -14,8 +14,14 @@ def widen(
 ) -> DataFrame:
     """One column per listed category. The list is explicit, so no extra job finds it.
 
-    A cell that holds more than one row is an error rather than a silent pick.
+    A cell that holds more than one row is an error rather than a silent pick, and so is a row of
+    a category that is not listed, null among them.
     """
+    listed = F.col(category).isin(list(categories))
+    name = F.coalesce(F.col(category).cast("string"), F.lit("null"))
+    refused = F.raise_error(F.concat(F.lit(f"{category} not listed: "), name))
+    known = F.when(listed, F.col(category)).otherwise(refused.cast(dict(df.dtypes)[category]))
+    df = df.withColumn(category, known)
     one = F.when(F.count(value) <= 1, F.first(value, ignorenulls=True)).otherwise(
         F.raise_error(F.lit(f"more than one {value} in a cell"))
     )
@@ -59,12 +65,15 @@ def multi_signal(
 
     `values` maps a signal to the value columns wanted from it; the result column is
     ``<signal>_<column>``. One scan and one partially aggregated shuffle replace a chain of left
-    joins that starts at `base`.
+    joins that starts at `base`. Two values of a signal in a cell are an error.
     """
     wanted = []
     for name, columns in values.items():
         for c in columns:
-            cell = F.max(F.when(F.col(signal) == name, F.col(c)))
+            own = F.when(F.col(signal) == name, F.col(c))
+            cell = F.when(F.count(own) <= 1, F.max(own)).otherwise(
+                F.raise_error(F.lit(f"more than one {name} {c} in a cell"))
+            )
             wanted.append(cell.alias(f"{name}_{c}"))
     rows = signals.filter(F.col(signal).isin(list(dict.fromkeys([*values, base]))))
     wide = rows.groupBy(geo, day).agg(*wanted, F.count_if(F.col(signal) == base).alias("_base"))

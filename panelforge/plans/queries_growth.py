@@ -41,11 +41,56 @@ def growth_coefficient(d: Data):
     fixed = redistribute_negatives(
         d.daily().select("county", "date", "delta", "cum_deaths"), "county", "date", "delta"
     )
-    fixed = fixed.withColumn("adjusted", F.greatest("adjusted", F.lit(0.0)))
     panel = G.with_log_counts(fixed, {"log_new": "adjusted", "log_total": "cum_deaths"})
     return G.spline_growth(panel, "county", "date", ["log_new", "log_total"])
 
 
+# The smoother's residuals are orthogonal to straight lines: fit and data have equal sums and equal
+# sums against the day. That needs no spline on the other side.
+@query(
+    "county:i n:l total:f6 moment:f4",
+    """SELECT county, count(*) AS n, sum(y) AS total, sum(y * (date - DATE '1998-01-01')) AS moment
+       FROM (SELECT county, date, ln(deaths + 1) AS y FROM v_daily) AS t GROUP BY county""",
+)
+def spline_moments(d: Data):
+    panel = G.with_log_counts(d.daily(), {"log_new": "deaths"})
+    fit = G.spline_growth(panel, "county", "date", ["log_new"])
+    return _moments(fit, "county", "log_new_fit")
+
+
+@query(
+    "major:s n:l total:f6 moment:f4",
+    """SELECT major, count(*) AS n, sum(y) AS total, sum(y * (date - DATE '1998-01-01')) AS moment
+       FROM (SELECT major, date, ln(sum(deaths) + 1) AS y FROM v_panel GROUP BY 1, 2) AS t
+       GROUP BY major""",
+)
+def category_spline_moments(d: Data):
+    daily = G.category_series(d.panel(), "date", "major", "deaths")
+    return _moments(G.spline_growth(daily, "major", "date", ["log_count"]), "major", "log_count_fit")
+
+
+def _moments(fit, key: str, value: str):
+    day = F.datediff("date", F.lit("1998-01-01").cast("date"))
+    return fit.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(value).alias("total"),
+        F.sum(F.col(value) * day).alias("moment"),
+    )
+
+
+# Straight lines, one per county, pass through the smoother unchanged.
+@query(
+    "county:i date:d y:f6 y_fit:f6 y_b:f6 y_b2:f6",
+    """SELECT county, date, y, y AS y_fit, county / 16 AS y_b, 0 AS y_b2
+       FROM (SELECT county, date, county + county / 16 * (date - DATE '1998-01-01') AS y
+             FROM v_daily) AS t""",
+)
+def spline_lines(d: Data):
+    day = F.datediff("date", F.lit("1998-01-01").cast("date"))
+    line = F.col("county") + F.col("county") / 16 * day
+    return G.spline_growth(d.daily().withColumn("y", line), "county", "date", ["y"])
+
+
 @query("major:s date:d log_count:f8 log_count_fit:f8 log_count_b:f8")
 def category_growth(d: Data):
     daily = G.category_series(d.panel(), "date", "major", "deaths")

@@ -268,6 +268,24 @@ def wls_simple(d: Data):
     return I.wls_simple(rows, "l_extendedprice", "x", "l_discount", "l_returnflag")
 
 
+# Tests far apart in x: each is centred on its own.
+_FAR = "l_quantity + CASE WHEN l_returnflag = 'A' THEN 100000000 ELSE 0 END"
+
+
+@query(
+    "l_returnflag:s n:l slope:f3 r2:f8 p:b",
+    f"""SELECT l_returnflag, count(*) AS n, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2,
+               true AS p
+        FROM (SELECT l_returnflag, l_extendedprice AS y,
+                     ({_FAR}) - CASE WHEN l_returnflag = 'A' THEN 100000000 ELSE 0 END AS x
+              FROM lineitem) AS t GROUP BY 1""",
+)
+def wls_far_tests(d: Data):
+    rows = d.table("lineitem").withColumn("x", F.expr(_FAR)).withColumn("one", F.lit(1.0))
+    far = I.wls_simple(rows, "l_extendedprice", "x", "one", "l_returnflag")
+    return I.with_t_pvalue(far).withColumn("p", F.col("p").between(0, 1))
+
+
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

@@ -231,4 +231,4 @@ def polygon_join(d: Data):
         F.col("c_custkey").alias("vertex"),
         F.col("c_acctbal").alias("x"),
     )
-    return O.attach(vertices, attributes, ["county"]).orderBy("county", "vertex")
+    return O.attach(vertices, attributes, ["county"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import dates as D
 from panelforge.functions import text as X
-from panelforge.functions.nulls import log1p_count, ratio, strict_sum, to_number
+from panelforge.functions.nulls import log1p_count, not_in, ratio, strict_sum, to_number
 from panelforge.operators import aggregates as A
 from panelforge.operators import cleaning as C
 from panelforge.operators import columns as K
@@ -123,7 +123,7 @@ def major_opening(schools: DataFrame) -> DataFrame:
 def dominant_openings(schools: DataFrame, at_least: float = 0.6) -> DataFrame:
     """Reopening dates shared by more than a part of the county, schools closed for good aside,
     with the bounds of the study window around the semester."""
-    open_ = schools.filter(~F.col("schooltemporaryshutdown").isin(CLOSED))
+    open_ = schools.filter(not_in("schooltemporaryshutdown", CLOSED))
     shares = enrollment_shares(open_, "opendategrouped", "prop_opendate")
     return shares.filter(F.col("prop_opendate") > at_least).select(
         "county",

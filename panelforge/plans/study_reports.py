@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import dates as D
 from panelforge.functions import text as X
-from panelforge.functions.nulls import ratio, safe_ln, strict_sum
+from panelforge.functions.nulls import not_in, ratio, safe_ln, strict_sum
 from panelforge.operators import aggregates as A
 from panelforge.operators import growth as G
 from panelforge.operators import inference as I
@@ -39,7 +39,7 @@ WEEKS = {**{f"Bm{w}w": -7 * w for w in (3, 2, 1)}, **{f"B{w}w": 7 * w for w in r
 
 def majority(shares: DataFrame, category: str, share: str) -> DataFrame:
     """The policy of the largest share per county; undecided policies do not count."""
-    known = shares.filter(~F.col(category).isin(NO_POLICY))
+    known = shares.filter(not_in(category, NO_POLICY))
     return O.pick_largest(known, ["county"], share, category, [category, share])
 
 

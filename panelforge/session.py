@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Only settings the caller has not chosen are filled in by `configure`.
+# What the library expects; a cluster's own session should be made with the same settings.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",

@@ -55,12 +55,12 @@ def test_negatives_against_brute_force(spark):
         assert got[k][1] == [v < 0 for v in got[k][0]]
 
 
-def test_negatives_keep_other_columns_and_fill_nulls(spark):
+def test_negatives_keep_other_columns_and_nulls(spark):
     df = spark.createDataFrame(
         [("a", 1, None, "x"), ("a", 2, 2.0, "y")], "county string, day int, new double, tag string"
     )
     out = C.redistribute_negatives(df, "county", "day", "new").orderBy("day").collect()
-    assert [(r.new, r.adjusted, r.tag) for r in out] == [(None, 0.0, "x"), (2.0, 2.0, "y")]
+    assert [(r.new, r.adjusted, r.tag) for r in out] == [(None, None, "x"), (2.0, 2.0, "y")]
 
 
 def test_ambiguous_city_is_left_alone_then_overridden(spark):
@@ -121,3 +121,9 @@ def test_total_check_returns_all_rows_of_offending_keys(spark):
     out = C.group_total_check(df, "k", "v", limits, "top")
     assert sorted((r.k, r.v, r.total) for r in out.collect()) == [("a", 2.0, 5.0), ("a", 3.0, 5.0)]
     assert out.filter(F.col("top") < 0).count() == 0
+
+
+def test_a_residual_negative_is_kept(spark):
+    df = spark.createDataFrame([("a", 1, -1.0), ("a", 2, 2.0)], "county string, day int, new double")
+    out = C.redistribute_negatives(df, "county", "day", "new").orderBy("day").collect()
+    assert [(r.adjusted, r.residual) for r in out] == [(-1.0, True), (2.0, False)]
