@@ -4,8 +4,8 @@ Features of a text are runs of one and two words, and runs of one to three word
 of characters a word has, which come first and last, and how long it is), hashed into 2^18 weights.
 A feature's value is its share of the text's features of its sort, scaled. Training follows the
 regularised leader (FTRL-proximal, McMahan 2013), one document after the other inside a shard. The
-shards run side by side as Spark tasks; after every round their states are averaged by one aggregate
-and sent out again. Scoring is a sparse dot product in the scan.
+shards, each a bounded number of texts in one partition of a checkpoint, run side by side as Spark tasks;
+after every round their states are averaged by one aggregate and sent out again. Scoring is a sparse dot product in the scan.
 
 Training reads at most about `SAMPLE` labelled documents, taken by a hash of the id; their ids are
 bounded by that number, so they are joined by broadcast and no text is shuffled but the sample's. The
@@ -88,38 +88,31 @@ def ftrl(docs: list[tuple[np.ndarray, np.ndarray, int]], z: np.ndarray, n: np.nd
         n[at] = n_at + g * g
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The summed features of each labelled text, as two lists."""
-    for batch in batches:
-        for part in slices(batch, "text"):
-            row, bucket, value = features(part.column(0))
-            key = (row << BITS) | bucket
-            key, at = np.unique(key, return_inverse=True)
-            total = np.bincount(at, weights=value, minlength=len(key))
-            cut = np.searchsorted(key >> BITS, np.arange(part.num_rows + 1)).astype(np.int32)
-            offsets = pa.array(cut)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(1),
-                    part.column(2),
-                    part.column(3),
-                    pa.ListArray.from_arrays(offsets, pa.array((key & ((1 << BITS) - 1)).astype(np.int32))),
-                    pa.ListArray.from_arrays(offsets, pa.array(total)),
-                ],
-                ["shard", "turn", "y", "at", "x"],
-            )
+def _examples(part: pa.RecordBatch) -> list[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Shard, turn, buckets, summed values and label of each labelled text."""
+    row, bucket, value = features(part.column(0))
+    key, at = np.unique((row << BITS) | bucket, return_inverse=True)
+    total = np.bincount(at, weights=value, minlength=len(key)).astype(np.float32)
+    cut = np.searchsorted(key >> BITS, np.arange(part.num_rows + 1))
+    place = (key & ((1 << BITS) - 1)).astype(np.int32)
+    shard, turn, y = (part.column(k).to_pylist() for k in (1, 2, 3))
+    return [
+        (shard[i], turn[i], place[cut[i] : cut[i + 1]], total[cut[i] : cut[i + 1]], y[i])
+        for i in range(part.num_rows)
+    ]
 
 
 def _trained(z0: np.ndarray, n0: np.ndarray):
-    def run(table: pa.Table) -> pa.Table:
-        z, n = z0.copy(), n0.copy()
-        order = np.argsort(table.column("turn").to_numpy(), kind="stable")
-        ats, xs = table.column("at").to_pylist(), table.column("x").to_pylist()
-        ys = table.column("y").to_pylist()
-        docs = [(np.array(ats[i], dtype=np.int64), np.array(xs[i]), ys[i]) for i in order]
-        ftrl(docs, z, n)
-        at = np.flatnonzero((z != z0) | (n != n0))
-        return pa.table({"at": at.astype(np.int32), "z": z[at] - z0[at], "n": n[at] - n0[at]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What one pass over each shard of the partition adds to the state."""
+        held = [x for batch in batches for part in slices(batch, "text") for x in _examples(part)]
+        held.sort(key=lambda x: x[:2])
+        for shard in sorted({x[0] for x in held}):
+            z, n = z0.copy(), n0.copy()
+            ftrl([x[2:] for x in held if x[0] == shard], z, n)
+            at = np.flatnonzero((z != z0) | (n != n0))
+            columns = [at.astype(np.int32), z[at] - z0[at], n[at] - n0[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["at", "z", "n"])
 
     return run
 
@@ -150,14 +143,12 @@ def learn(
         turn.alias("turn"),
         "y",
     )
-    examples = checkpointed(
-        fed.mapInArrow(_examples, "shard int, turn bigint, y int, at array<int>, x array<double>")
-    )
+    # Each shard is whole in one partition of the checkpoint, so a round moves state, not texts.
+    examples = checkpointed(fed.repartition(SHARDS, "shard"))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(ROUNDS if many else 0):
         moved = (
-            examples.groupBy("shard")
-            .applyInArrow(_trained(z, n), "at int, z double, n double")
+            examples.mapInArrow(_trained(z, n), "at int, z double, n double")
             .groupBy("at")
             .agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
             .toArrow()  # at most 2^18 + 1 rows
