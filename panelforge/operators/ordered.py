@@ -283,13 +283,10 @@ def densify(
             *[F.sum(v).alias(v) for v in values],
             F.count_if("_known").alias("_n"),
         )
-        .withColumn(
-            entity,
-            F.when(F.col("_n") > 0, F.col(entity)).otherwise(
-                F.raise_error(F.lit(f"counts of a {entity} that is not among the entities")).cast(
-                    dict(counts.dtypes)[entity]
-                )
-            ),
+        .filter(
+            F.when(F.col("_n") > 0, F.lit(True)).otherwise(
+                F.raise_error(F.lit(f"counts of a {entity} that is not among the entities")).cast("boolean")
+            )
         )
         .drop("_n")
     )
