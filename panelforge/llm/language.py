@@ -30,7 +30,8 @@ from panelforge.llm.textscan import byte_class, scan, slices
 PER_LANGUAGE = 20_000
 SWITCH = 12.0
 BUCKETS = 1 << 16
-_CELLS = 24_000_000  # word scores held at once
+_CELLS = 8_000_000  # word scores held at once
+_SLICE = 1 << 20  # bytes of text scanned at once; every byte takes some 100 while it is scored
 _LETTERS = byte_class((0x61, 0x7A), (0x80, 0xFF))
 
 # Script of a character by the first byte of its UTF-8 form, which follows from the Unicode ranges:
@@ -81,7 +82,7 @@ def _word_features(text: pa.Array):
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", _SLICE):
             words, bucket, bounds, scripts = _word_features(part.column(1))
             langs = part.column(0).to_pylist()
             names = sorted(set(langs))
@@ -248,7 +249,7 @@ def _labelled(model: Model, switch: float, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 counts, weight, scores = _scored(part.column(n_kept), model)
                 held.append((part, counts, weight, scores))
                 size += scores.size
