@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from panelforge.llm.textscan import byte_class, scan, slices
 PER_LANGUAGE = 20_000
 SWITCH = 12.0
 BUCKETS = 1 << 16
-_CELLS = 8_000_000  # word scores held at once
+_CELLS = 2_000_000  # word scores held at once
 _SLICE = 1 << 20  # bytes of text scanned at once; every byte takes some 100 while it is scored
 _LETTERS = byte_class((0x61, 0x7A), (0x80, 0xFF))
 
@@ -62,9 +63,17 @@ def held_out(doc_id: str = "doc_id", part: int = 4, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % part == rest, F.lit(False))
 
 
+def _lowered(text: pa.Array) -> pa.Array:
+    try:
+        return pc.utf8_lower(text)
+    except pa.ArrowInvalid:  # broken bytes are no letters of any script
+        plain = text.cast(pa.binary()).to_pylist()
+        return pa.array([None if t is None else t.decode("utf-8", "replace").lower() for t in plain], pa.string())
+
+
 def _word_features(text: pa.Array):
     """Words, trigram buckets of their bytes, byte bounds among these, and script bits."""
-    words = scan(text, _LETTERS)
+    words = scan(_lowered(text), _LETTERS)
     length = words.end - words.start
     bounds = np.append(0, np.cumsum(length))
     if not len(length):
@@ -134,7 +143,7 @@ def learn(
     )
     taken = rows.filter(F.pmod(F.xxhash64(F.lit("learn"), "id"), F.lit(steps)) < rate)
     found = (
-        taken.select("lang", F.lower("text").alias("text"))
+        taken.select("lang", F.col("text").cast("string").alias("text"))
         .mapInArrow(_counted, "lang string, bucket int, n bigint")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
@@ -199,7 +208,7 @@ def _scored(text: pa.Array, model: Model):
     return words.counts, np.where(scripts > 0, np.diff(bounds), 0), out
 
 
-def _labelled(model: Model, switch: float, n_kept: int):
+def _labelled(model: Model, switch: float, n_kept: int, text: str = "text"):
     n_langs = max(1, len(model.langs))
 
     def solve(rows: list) -> list[pa.RecordBatch]:
@@ -249,8 +258,8 @@ def _labelled(model: Model, switch: float, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, "text", _SLICE):
-                counts, weight, scores = _scored(part.column(n_kept), model)
+            for part in slices(batch, text, _SLICE):
+                counts, weight, scores = _scored(part.column(text), model)
                 held.append((part, counts, weight, scores))
                 size += scores.size
                 if size >= _CELLS:
@@ -266,14 +275,17 @@ def identify(
     docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", switch: float = SWITCH
 ) -> DataFrame:
     """Each row's `keep` columns (as `_0`, `_1`, ...) with `lang_pred`, `score` and word `spans`."""
+    # A text that is kept anyway goes to Python once.
+    held = text in keep and dict(docs.dtypes).get(text) == "string"
     rows = docs.select(
         *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)],
-        F.lower(text).alias("text"),
+        *([] if held else [F.col(text).cast("string").alias("text")]),
         F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"),
     )
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]]
     out = "lang_pred string, score double, spans array<struct<low: int, high: int, lang: string>>"
-    return rows.mapInArrow(_labelled(model, switch, len(keep)), ", ".join([*fields, out]))
+    source = f"_{keep.index(text)}" if held else "text"
+    return rows.mapInArrow(_labelled(model, switch, len(keep), source), ", ".join([*fields, out]))
 
 
 def drop_unknown(
