@@ -32,7 +32,7 @@ PER_LANGUAGE = 20_000
 SWITCH = 12.0
 BUCKETS = 1 << 16
 _CELLS = 2_000_000  # word scores held at once
-_SLICE = 1 << 20  # bytes of text scanned at once; every byte takes some 100 while it is scored
+_SLICE = 1 << 18  # bytes of text scanned at once; every byte takes some 100 while it is scored
 _LETTERS = byte_class((0x61, 0x7A), (0x80, 0xFF))
 
 # Script of a character by the first byte of its UTF-8 form, which follows from the Unicode ranges:
@@ -90,26 +90,27 @@ def _word_features(text: pa.Array):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the whole task, one array per language."""
+    totals: dict[str, np.ndarray] = {}
     for batch in batches:
         for part in slices(batch, "text", _SLICE):
             words, bucket, bounds, scripts = _word_features(part.column(1))
             langs = part.column(0).to_pylist()
             names = sorted(set(langs))
-            of_row = np.array([names.index(x) for x in langs])
-            of_word = of_row[words.row_of_word()]
-            size = BUCKETS + _SCRIPTS
-            flat = [np.repeat(of_word, np.diff(bounds)) * size + bucket]
-            for s in range(1, _SCRIPTS):
-                flat.append(of_word[(scripts >> s) & 1 == 1] * size + BUCKETS + s)
-            at, n = np.unique(np.concatenate(flat), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[i] for i in at // size], pa.string()),
-                    pa.array((at % size).astype(np.int32)),
-                    pa.array(n.astype(np.int64)),
-                ],
-                ["lang", "bucket", "n"],
-            )
+            of_word = np.array([names.index(x) for x in langs])[words.row_of_word()]
+            of_byte = np.repeat(of_word, np.diff(bounds))
+            for i, name in enumerate(names):
+                total = totals.setdefault(name, np.zeros(BUCKETS + _SCRIPTS, dtype=np.int64))
+                total[:BUCKETS] += np.bincount(bucket[of_byte == i], minlength=BUCKETS)
+                own = scripts[of_word == i]
+                for s in range(1, _SCRIPTS):
+                    total[BUCKETS + s] += np.count_nonzero((own >> s) & 1)
+    for name, total in totals.items():
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])],
+            ["lang", "bucket", "n"],
+        )
 
 
 class Model:
