@@ -28,7 +28,8 @@ prefiltered by a bitmap of fixed size over the hashes of their ids. Groups of pa
 cut into chunks, so no task holds a whole class. Nothing but that bitmap reaches the driver.
 
 Nulls, ties and repeats: a document without words is a class of its own, as is one with a null id
-(`class_id` null). Rows that share an id are one document. An empty table gives an empty result.
+(`class_id` null). Rows that share an id are one document, which is similar to what any of their
+texts is similar to; a row that occurs several times counts once. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,18 +114,24 @@ def _draw(sig, rows, x, weight, until, m):
         low, layer = (1 if low == 0 else 2 * low), layer + 1
 
 
+def _sums(rows: np.ndarray, x: np.ndarray, weight: np.ndarray, n_rows: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of each row's multiset."""
+    body = mix(x ^ (_STEP * weight.astype(np.uint64)))
+    sums = []
+    for salt in (_SPOT, _TWIN):
+        total = np.zeros(n_rows, dtype=np.uint64)
+        np.add.at(total, rows, mix(body ^ salt))
+        sums.append(total.view(np.int64))
+    return sums
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             n = part.num_rows
             rows, x, weight = shingles(part.column(1))
             sig = mix(signatures(rows, x, weight, n).view(np.uint64)) >> np.uint64(32)
-            body = mix(x ^ (_STEP * weight.astype(np.uint64)))
-            sums = []
-            for salt in (_SPOT, _TWIN):
-                total = np.zeros(n, dtype=np.uint64)
-                np.add.at(total, rows, mix(body ^ salt))
-                sums.append(total.view(np.int64))
+            sums = _sums(rows, x, weight, n)
             size = np.bincount(rows, weights=weight, minlength=n).astype(np.int64)
             raw = np.ascontiguousarray(sig.astype(np.uint32)).tobytes()
             width = 4 * REGISTERS
@@ -147,9 +154,11 @@ def _bit(column: str):
     return word, h.bitwiseAND(F.lit(63)).cast("int")
 
 
-def _blobs(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def _blobs(rows: DataFrame, ids: DataFrame, hashed: bool = False) -> DataFrame:
     """Sorted hashes of (shingle, occurrence) of the documents among the ids, 4 bytes each.
 
+    One blob per row, with the hashes `h1` and `h2` of its multiset if `hashed`.
+
     The bitmap only spares work; other documents that pass it fall out in the join that follows.
     """
     word, bit = _bit("doc_id")
@@ -178,12 +187,13 @@ def _blobs(rows: DataFrame, ids: DataFrame) -> DataFrame:
                     [
                         part.column(0),
                         pa.array([h[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()),
+                        *([pa.array(t) for t in _sums(rows_, x, weight, part.num_rows)] if hashed else []),
                     ],
-                    ["doc_id", "blob"],
+                    ["doc_id", "blob", *(["h1", "h2"] if hashed else [])],
                 )
 
     source = rows.select("doc_id", "text", word.alias("w"), bit.alias("b"))
-    return source.mapInArrow(run, "doc_id bigint, blob binary")
+    return source.mapInArrow(run, "doc_id bigint, blob binary" + (", h1 bigint, h2 bigint" if hashed else ""))
 
 
 def _overlaps(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -220,23 +230,31 @@ def verified(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     return done.filter(F.col("similarity") >= similarity)
 
 
-def _private(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """`node`, `own`: how much of the node's multiset no other node of the members has."""
-    ids = members.select(F.col("node").alias("doc_id")).distinct()
+def _private(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """`h1`, `own`: how much of a node's multiset no other multiset of the members' nodes has.
+
+    Each multiset counts once, however many rows have it: of the rows under a node's id, one with the
+    node's own text is taken. An id with two texts can be a node twice, so the hash tells them apart.
+    """
+    own = ["doc_id", "h1", "h2"]
+    ids = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
+        F.col("node").alias("doc_id"), "h1", "h2"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cut = [len(b) // 4 for b in batch.column(1).to_pylist()]
             flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), cut)), pa.array(flat)], ["node", "x"]
+                [pa.array(np.repeat(batch.column(0).to_numpy(), cut)), pa.array(flat)], ["h1", "x"]
             )
 
-    held = _blobs(rows, ids).join(ids, "doc_id").mapInArrow(run, "node bigint, x int")
+    once = _blobs(rows, ids, hashed=True).join(ids, own).dropDuplicates(own)
+    held = once.select("h1", "blob").mapInArrow(run, "h1 bigint, x int")
     single = held.groupBy("x").agg(
-        F.min("node").alias("node"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")
+        F.min("h1").alias("h1"), F.max("h1").alias("last"), F.count(F.lit(1)).alias("m")
     )
-    return single.filter("node = last").groupBy("node").agg(F.sum("m").alias("own"))
+    return single.filter("h1 = last").groupBy("h1").agg(F.sum("m").alias("own"))
 
 
 def _across(near: float, similarity: float, most: int | None):
@@ -298,7 +316,7 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _cross_pairs(mixed: DataFrame, nodes: DataFrame, private: DataFrame, similarity, most) -> DataFrame:
     """Pairs (`a`, `b`) across the classes of a bucket; `most` keeps each node's nearest ones."""
     cuts = F.ceil(F.col("m") / CHUNK).cast("int")
-    known = nodes.join(private, "node", "left").select(
+    known = nodes.join(private, "h1", "left").select(
         "node", "sig", "n", F.coalesce("own", F.lit(0)).alias("own")
     )
     rows = mixed.join(known, "node")
@@ -335,6 +353,11 @@ def near_duplicates(
         F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
     nodes = checkpointed(equal)
+    home = signed.select("doc_id", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"], "left")
+    of_row = checkpointed(home.select("doc_id", F.coalesce("node", "doc_id").alias("node")).distinct())
+    ends = of_row.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+    # The texts under one id are one document, so their nodes are one class.
+    same = of_row.join(ends.filter("a <> z"), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     rows_each = REGISTERS // BANDS * 4
     keys = F.array(
         *[
@@ -350,7 +373,8 @@ def near_duplicates(
     tested = checkpointed(
         members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     )
-    links = checkpointed(verified(known, tested, similarity))
+    alike = checkpointed(verified(known, tested, similarity))
+    links = alike.select("a", "b").union(same)
     roots = components(links)
     private = None
     for most in (4, None):  # the nearest pairs first: what they join need not be compared
@@ -358,7 +382,7 @@ def near_duplicates(
         if mixed.isEmpty():
             break
         if private is None:
-            private = checkpointed(_private(known, mixed))
+            private = checkpointed(_private(known, nodes, mixed))
         found = _cross_pairs(mixed, nodes, private, similarity, most)
         fresh = checkpointed(found.join(tested, ["a", "b"], "left_anti").select("a", "b"))
         if fresh.isEmpty():
@@ -366,10 +390,8 @@ def near_duplicates(
         more = checkpointed(verified(known, fresh, similarity))
         tested = tested.union(fresh)
         if not more.isEmpty():
-            links = links.union(more)
+            links = links.union(more.select("a", "b"))
             roots = components(links)
-    home = signed.join(nodes.select("h1", "h2", "node"), ["h1", "h2"], "left")
-    of_row = home.select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     classes = of_row.join(roots, "node", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("root", "node")).alias("class_id")
     )

@@ -213,6 +213,32 @@ def test_near_copies_without_a_common_original(spark):
     assert found == classes(rows)
 
 
+@pytest.mark.parametrize("again", ["same", "other", "near"])
+def test_near_copies_with_repeated_ids(spark, again):
+    """Rows that occur twice, or ids with a second text, lose no pair of such copies."""
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(200)]
+    rows, more = [], []
+    for d in range(120):
+        words = list(base)
+        for p in rng.choice(200, 1 + d % 6, replace=False):
+            words[p] = f"n{d}x{p}"
+        rows.append((d, " ".join(words)))
+        other = words[:-1] if again == "near" else [f"o{d}x{i}" for i in range(60)]
+        more.append(rows[-1] if again == "same" else (d, " ".join(other)))
+    df = spark.createDataFrame(rows + more, "doc_id bigint, text string")
+    found = B.near_duplicates(df).collect()
+    assert len(found) == 240
+    assert {r.doc_id: r.class_id for r in found} == classes(rows)
+
+
+def test_texts_under_one_id_are_one_class(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(3, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[1]), (9, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r.doc_id, r.class_id) for r in B.near_duplicates(df).collect()} == {(3, 3), (5, 3), (7, 3), (9, 9)}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     x = rng.integers(1, 1 << 62, 60).astype(np.uint64)
