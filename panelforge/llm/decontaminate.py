@@ -9,14 +9,14 @@ interval holds its locations. Matches of consecutive suffixes overlap, so their
 verbatim match and its place.
 
 The documents are never shuffled: a shard holds whole documents. The test items come as blocks of
-at most `BLOCK_BYTES` of text, whose size is measured first; each block is sent to all tasks, and
-the documents' hits of several blocks are merged by one aggregate. Words are compared by 64-bit
-hashes of their bytes.
+about `BLOCK_BYTES` of text, whose size is measured first; each block is sent to all tasks, and every
+shard searches them in turn, one block in memory at a time. Words are compared by 64-bit hashes of
+their bytes.
 
 Nulls, ties and repeats: a null text, of a document or an item, has no words. An item with a null
-id marks words but is not listed. Rows that share an item id are one item with several texts; rows
-that share a document id are judged one by one when a single block holds all items, and rows with
-one id and the same text as one otherwise. Empty tables give no hits or no rows.
+id marks words but is not listed. Rows that share an item id are one item with several texts; every
+document row is judged on its own and gives one row, also if it shares its id, whatever the number of
+blocks. Empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ class TestSet:
         self.first = np.searchsorted(flat[:, 0], np.arange(len(rows) + 1))
 
 
-def _matches(test: TestSet, window: int):
+def _matches(blocks: list[Broadcast], window: int):
     def shard(part: pa.RecordBatch) -> tuple[list, list, list]:
         words = scan(part.column(1), ALNUM, LOWER)
         counts = words.counts
@@ -164,35 +165,45 @@ def _matches(test: TestSet, window: int):
         row = words.row_of_word()
         hashes[np.arange(len(row)) + row] = np.maximum(mix(words.hashes()), np.uint64(1))
         begin = words.first[:-1] + np.arange(n_docs)
-        lows, highs, items = [[] for _ in range(n_docs)], [[] for _ in range(n_docs)], [()] * n_docs
-        if len(test.lengths) and len(hashes):
-            order = suffix_array(hashes, window)
+        lows, highs, items = [[] for _ in range(n_docs)], [[] for _ in range(n_docs)], [set() for _ in counts]
+        covered = np.zeros(len(hashes), dtype=bool)
+        order = suffix_array(hashes, window) if len(hashes) else None
+
+        def mark(test: TestSet) -> None:
+            if not len(test.lengths) or not len(hashes):
+                return
             _, low, high = search(hashes, order, test.words, test.lengths, test.lengths)
             size = high - low
             which = np.repeat(np.arange(len(size)), size)
             skip = np.cumsum(size) - size
             at = order[np.arange(len(which)) - skip[which] + low[which]]
-            if len(at):
-                doc = np.searchsorted(begin, at, side="right") - 1
-                covered = merged_cover(at, at + test.lengths[which], len(hashes))
-                edge = np.diff(np.concatenate([[0], covered.view(np.int8), [0]]))
-                opens, closes = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                for a, b in zip(opens, closes):
-                    d = int(np.searchsorted(begin, a, side="right")) - 1
-                    lows[d].append(int(a - begin[d]))
-                    highs[d].append(int(b - begin[d]))
-                named = np.unique(doc * len(size) + which)
-                d, w = named // len(size), named % len(size)
-                many = test.first[w + 1] - test.first[w]
-                base = np.repeat(test.first[w] - (np.cumsum(many) - many), many)
-                d, w = np.repeat(d, many), test.item[np.arange(int(many.sum())) + base]
-                both = np.unique(d * max(1, len(test.names)) + w)
-                d, w = both // max(1, len(test.names)), both % max(1, len(test.names))
-                cut = np.searchsorted(d, np.arange(n_docs + 1))
-                for i in np.unique(d):
-                    items[i] = [test.names[k] for k in w[cut[i] : cut[i + 1]]]
+            if not len(at):
+                return
+            covered[:] |= merged_cover(at, at + test.lengths[which], len(hashes))
+            doc = np.searchsorted(begin, at, side="right") - 1
+            named = np.unique(doc * len(size) + which)
+            d, w = named // len(size), named % len(size)
+            many = test.first[w + 1] - test.first[w]
+            base = np.repeat(test.first[w] - (np.cumsum(many) - many), many)
+            d, w = np.repeat(d, many), test.item[np.arange(int(many.sum())) + base]
+            both = np.unique(d * max(1, len(test.names)) + w)
+            d, w = both // max(1, len(test.names)), both % max(1, len(test.names))
+            cut = np.searchsorted(d, np.arange(n_docs + 1))
+            for i in np.unique(d):
+                items[i].update(test.names[k] for k in w[cut[i] : cut[i + 1]])
+
+        for block in blocks:
+            mark(block.value)
+            if len(blocks) > 1 and block._path is not None:
+                del block._value  # one block in memory at a time
+        edge = np.diff(np.concatenate([[0], covered.view(np.int8), [0]]))
+        opens, closes = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        for a, b in zip(opens, closes):
+            d = int(np.searchsorted(begin, a, side="right")) - 1
+            lows[d].append(int(a - begin[d]))
+            highs[d].append(int(b - begin[d]))
         spans = [[{"low": a, "high": b} for a, b in zip(x, y)] for x, y in zip(lows, highs)]
-        return counts.tolist(), spans, [list(x) for x in items]
+        return counts.tolist(), spans, [sorted(x) for x in items]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
@@ -230,21 +241,15 @@ def _found(docs, items, doc_id, text, item_id, item_text, window, block_bytes, k
     kept = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)]
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), *kept)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text"]
-    found = None
-    blocks = _blocks(items, item_id, item_text, block_bytes)
-    for block in blocks:
+    sets = []
+    for block in _blocks(items, item_id, item_text, block_bytes):
         rows = block.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).toArrow()
         texts = pa.array(rows.column(1).to_pylist(), pa.string())
         test = TestSet(rows.column(0).to_pylist(), texts, window)
-        part = source.mapInArrow(_matches(test, window), ", ".join([*fields, _OUT]))
-        found = part if found is None else found.unionByName(part)
-    if len(blocks) > 1:
-        by = [c for c in found.columns if c not in ("_spans", "_items")]
-        found = found.groupBy(*by).agg(
-            F.flatten(F.collect_list("_spans")).alias("_spans"),
-            F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"),
-        )
-    return found.withColumns({"_spans": _united("_spans"), "_items": F.array_sort("_items")})
+        sets.append(docs.sparkSession.sparkContext.broadcast(test))
+        del test
+    found = source.mapInArrow(_matches(sets, window), ", ".join([*fields, _OUT]))
+    return found.withColumn("_items", F.array_sort("_items"))
 
 
 def contamination(
@@ -267,22 +272,6 @@ def contamination(
     )
 
 
-def _united(spans: str):
-    """Sorted spans without overlaps."""
-    start = F.array().cast("array<struct<low: int, high: int>>")
-
-    def step(done, s):
-        last = F.element_at(done, -1)
-        joined = F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(F.struct(last["low"].alias("low"), F.greatest(last["high"], s["high"]).alias("high"))),
-        )
-        apart = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["high"] < s["low"])
-        return F.when(apart, F.concat(done, F.array(s))).otherwise(joined)
-
-    return F.aggregate(F.array_sort(spans), start, step)
-
-
 def covered_words(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["high"] - s["low"])
 

@@ -133,6 +133,24 @@ def test_contamination(spark, odd, bound):
     assert {r.doc_id for r in kept.collect()} == {1, 2, 5, 6}
 
 
+def test_rows_do_not_depend_on_the_blocks(spark):
+    """Repeated rows, null ids and several texts under one id, with one block of items and with many."""
+    words = [f"p{i}" for i in range(60)]
+    items = [(k, " ".join(words[k : k + 20])) for k in range(0, 40, 4)]
+    tests = spark.createDataFrame(items, "item_id int, text string")
+    clean, hit, other = "x " * 30, " ".join(words[:15]) + " y" * 15, " ".join(words[30:45]) + " z" * 15
+    texts = [(None, clean), (None, hit), (None, other), (1, hit), (1, other), (2, clean), (2, clean), (3, hit), (3, hit)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    want = contaminated(texts, items)
+    for bound in (D.BLOCK_BYTES, 200):
+        assert bound > 200 or len(D._blocks(tests, "item_id", "text", bound)) > 3
+        found = D.contamination(docs, tests, block_bytes=bound)
+        got = found.select("doc_id", "n_words", D.covered_words().alias("n_hit"), "items").collect()
+        assert sorted(map(tuple, got), key=str) == want
+        kept = D.decontaminate(docs, tests, block_bytes=bound).collect()
+        assert sorted(map(tuple, kept), key=str) == [(2, clean), (2, clean), (None, clean)]
+
+
 def test_contamination_of_the_documents(spark, documents):
     items = [tuple(r) for r in queries.table(spark, SF, "benchmark").collect()]
     want = contaminated([(r.doc_id, r.text) for r in documents.collect()], items)
