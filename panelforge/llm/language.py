@@ -18,6 +18,7 @@ learn from, everything is `und`. Every input row gives one row.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,8 @@ _LETTERS = byte_class((0x61, 0x7A), (0x80, 0xFF))
 
 # Script of a character by the first byte of its UTF-8 form, which follows from the Unicode ranges:
 # 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew, 5 Arabic, 6 Indic and Thai, 7 other, 8 Kana, 9 Han,
-# 10 Hangul. 0 is no letter or the inside of a character.
+# 10 Hangul. 0 is no letter or the inside of a character. Bytes that begin letters of several scripts,
+# or letters besides signs, are in `_POINTS`.
 _SCRIPT = np.zeros(256, dtype=np.uint16)
 for _low, _high, _script in (
     (0x61, 0x7A, 1),
@@ -57,6 +59,33 @@ for _low, _high, _script in (
 _SCRIPTS = 11
 _SCRIPT_BIT = np.where(_SCRIPT > 0, 1 << _SCRIPT, 0).astype(np.uint16)
 
+# Script bits by code point, of letters only, for the first bytes 0xC2, 0xCB, 0xCC, 0xD5, 0xD6, 0xDC to
+# 0xDF, 0xE2, 0xEE and 0xEF; the later of two ranges holds.
+_BY_POINT = np.isin(np.arange(256), [0xC2, 0xCB, 0xCC, 0xD5, 0xD6, *range(0xDC, 0xE0), 0xE2, 0xEE, 0xEF])
+_POINTS = np.zeros(1 << 16, dtype=np.uint16)
+for _low, _high, _script in (
+    (0x0080, 0x033F, 1),
+    (0x0540, 0x058F, 7),  # Armenian
+    (0x0590, 0x05BF, 4),
+    (0x0700, 0x07FF, 7),  # Syriac, Thaana, N'Ko
+    (0x0750, 0x077F, 5),
+    (0x2000, 0x21FF, 1),
+    (0x2200, 0x2FFF, 7),  # Glagolitic, Coptic, Georgian, Tifinagh, Ethiopic
+    (0x2C60, 0x2C7F, 1),
+    (0x2E80, 0x2FFF, 9),
+    (0xE000, 0xF8FF, 7),
+    (0xF900, 0xFAFF, 9),
+    (0xFB00, 0xFB06, 1),
+    (0xFB07, 0xFB1C, 7),
+    (0xFB1D, 0xFB4F, 4),
+    (0xFB50, 0xFEFF, 5),
+    (0xFF00, 0xFF65, 1),
+    (0xFF66, 0xFF9F, 8),
+    (0xFFA0, 0xFFDC, 10),
+):
+    for _point in range(_low, _high + 1):
+        _POINTS[_point] = 1 << _script if unicodedata.category(chr(_point))[0] == "L" else 0
+
 
 def held_out(doc_id: str = "doc_id", part: int = 4, rest: int = 2) -> Column:
     """Whether the row's id belongs to the part that is kept from learning; a null id does not."""
@@ -85,7 +114,15 @@ def _word_features(text: pa.Array):
     before[bounds[:-1]], after[bounds[1:] - 1] = 0, 0
     key = (before << np.uint64(16)) | (byte << np.uint64(8)) | after
     bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-    scripts = np.bitwise_or.reduceat(_SCRIPT_BIT[words.data[at]], bounds[:-1])
+    byte = words.data[at]
+    bits = _SCRIPT_BIT[byte]
+    wide = np.flatnonzero(_BY_POINT[byte])
+    if len(wide):
+        one, two, three = (byte[np.minimum(wide + k, len(byte) - 1)].astype(np.int64) for k in range(3))
+        short = ((one & 0x1F) << 6) | (two & 0x3F)
+        long = ((one & 0x0F) << 12) | ((two & 0x3F) << 6) | (three & 0x3F)
+        bits[wide] = _POINTS[np.where(one < 0xE0, short, long)]
+    scripts = np.bitwise_or.reduceat(bits, bounds[:-1])
     return words, bucket, bounds, scripts
 
 
@@ -220,8 +257,7 @@ def _labelled(model: Model, switch: float, n_kept: int, text: str = "text"):
         first = np.append(0, np.cumsum(counts))
         n_docs = len(counts)
         doc = np.repeat(np.arange(n_docs), counts)
-        lettered = np.bincount(doc, weights=weight, minlength=n_docs) > 0
-        lettered &= np.array(part.column("has_letter").to_pylist(), dtype=bool)
+        lettered = np.array(part.column("has_letter").to_pylist(), dtype=bool)
         names = np.array(["und"] * n_docs, dtype=object)
         score = np.zeros(n_docs)
         spans = [[] for _ in range(n_docs)]

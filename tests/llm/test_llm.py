@@ -289,6 +289,24 @@ def test_language(spark, odd, documents):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_letters_of_every_script_have_a_language(spark):
+    """One language for each range of first bytes, and its texts again among the others."""
+    ranges = {
+        "c2": "ªº µº", "cb": "ˇˆ ˈˉ", "hy": "բարեւ ձեզ աշխարհ", "HY": "ԲԱՐԵՒ ՁԵԶ", "syr": "ܫܠܡܐ ܥܠܡܐ",
+        "dv": "ދިވެހި ބަސް", "nko": "ߒߞߏ ߞߊ߲", "zgh": "ⵜⴰⵎⴰⵣⵉⵖⵜ ⴰⵡⴰⵍ", "glag": "ⰳⰾⰰⰳⱁⰾⰹⱌⰰ",
+        "wide": "ｆｕｌｌ ｗｉｄｔｈ", "kana": "ｶﾀｶﾅ ﾊﾝｶｸ", "ar": "ﺎﻠﺴﻼﻣ ﻊﻠﻴﻜﻣ", "lig": "ﬁ ﬂ", "he": "שלום עולם",
+    }
+    texts = {**ranges, "en": "don’t stop — it’s “fine”…"}
+    docs = spark.createDataFrame([(i, t, k) for k, t in texts.items() for i in range(8)], "doc_id int, text string, lang string")
+    model = language.learn(docs)
+    rows = language.identify(docs, model, ("lang", "text")).collect()
+    assert {(r._0, r.lang_pred) for r in rows if r._0.lower() != "hy"} == {(k, k) for k in texts if k.lower() != "hy"}
+    assert {r.lang_pred for r in rows if r._0.lower() == "hy"} <= {"hy", "HY"}
+    assert all(r.score > 0 and r.spans for r in rows)
+    signs = spark.createDataFrame([(1, "— … “”"), (2, "« »"), (3, "、。")], "doc_id int, text string")
+    assert {r.lang_pred for r in language.identify(signs, model).collect()} == {"und"}
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 5):
