@@ -325,10 +325,8 @@ def identify(
     return rows.mapInArrow(_labelled(model, switch, len(keep), source), ", ".join([*fields, out]))
 
 
-def drop_unknown(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5
-) -> DataFrame:
-    """Documents whose language is known with a score of `least` or more, with all columns."""
+def drop_unknown(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Documents with a known language, also of several or a doubtful one, with all columns."""
     found = identify(docs, learn(docs, doc_id, text, lang), tuple(docs.columns), text)
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    kept = found.filter(F.col("lang_pred") != "und")
     return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

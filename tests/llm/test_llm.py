@@ -332,6 +332,18 @@ def test_mixed_languages_are_spans(spark, documents):
     assert [s.lang for s in row.spans] == ["en", "de"] and row.lang_pred == "de"
 
 
+def test_mixed_and_short_texts_are_kept(spark, documents):
+    pick = {r.lang: r.text for r in documents.filter("length(text) > 800").collect()}
+    three = " ".join([pick["en"][:450], pick["de"][:300], pick["es"][:250]])
+    even = " ".join([pick["en"][:400], pick["de"][:400]])
+    rows = [(-1, three), (-2, even), (-3, "a"), (-4, None), (-5, "12 — 34"), (-6, "")]
+    mixed = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = documents.unionByName(mixed, allowMissingColumns=True)
+    kept = language.drop_unknown(docs)
+    assert {r.doc_id for r in kept.filter("doc_id < 0").collect()} == {-1, -2, -3}
+    assert kept.filter("doc_id >= 0").count() == documents.filter(r"text rlike '\\p{L}'").count()
+
+
 def test_quality(spark):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
     labels = queries.table(spark, "/root/testdata/sf0.01", "labels")
