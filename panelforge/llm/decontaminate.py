@@ -5,8 +5,8 @@ shard gets a suffix array over words, sorted by prefix doubling: ranks of one wo
 four and so on, where only suffixes that still tie are sorted again. Every suffix of every test
 item that is long enough to hold a window is then searched in each shard word by word, all suffixes
 at once by binary search inside the interval found so far, down to the length of a window; the last
-interval holds its locations. Matches of consecutive suffixes overlap, so their union is the longest
-verbatim match and its place.
+interval holds its locations. The spans are unions of such matches, of any items: passages of several
+items that meet or overlap in a document are one span.
 
 The documents are never shuffled: a shard holds whole documents. The test items come as blocks of
 about `BLOCK_BYTES` of text, whose size is measured first; each block is sent to all tasks, and every
