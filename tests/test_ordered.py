@@ -146,14 +146,17 @@ def test_first_last_of_one_row_is_null(spark):
     assert got == {"a": (5, None), "b": (5, 9)}
 
 
-def test_densify_fills_gaps_and_drops_unknown_entities(spark):
+def test_densify_fills_gaps_and_refuses_unknown_entities(spark):
     d = days(4)
     counts = spark.createDataFrame(
         [("a", d[0], 2), ("a", d[3], 1), ("ghost", d[1], 9)], "k string, d date, n bigint"
     )
+    known = counts.filter("k <> 'ghost'")
     entities = spark.createDataFrame([("a", 10), ("b", 20)], "k string, pop int")
-    got = O.densify(counts, entities, "k", "d", ["n"]).orderBy("k", "d").collect()
+    got = O.densify(known, entities, "k", "d", ["n"]).orderBy("k", "d").collect()
     assert [(r.k, r.n, r["pop"]) for r in got] == [("a", n, 10) for n in (2, 0, 0, 1)] + [("b", 0, 20)] * 4
+    with pytest.raises(Exception, match="not among the entities"):
+        O.densify(counts, entities, "k", "d", ["n"]).collect()
 
 
 def test_shift_join_moves_the_right_side(spark):
