@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import (
+    audit,
     bagminhash,
     decontaminate,
     forest,
@@ -15,9 +16,11 @@ from panelforge.llm import (
     mixing,
     preference,
     quality,
+    repair,
     rollups,
     substrings,
     tokens,
+    warc,
 )
 from panelforge.session import scratch_path
 
@@ -147,6 +150,32 @@ def op9_bagminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes at each step of each order, by language."""
+    text = F.coalesce("text", F.lit(""))
+    flags = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    return audit.filter_audit(
+        table(spark, folder, "documents"),
+        table(spark, folder, "labels"),
+        audit.text_filters(text),
+        "E",
+        flags,
+    )
+
+
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a record of an archive, as read back from the archives."""
+    path = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), path)
+    found = warc.read_warc(spark, path, payloads=False, strict=True)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest repair and its hash of every conversation after a fixed damage."""
+    return repair.repair(repair.damaged(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -160,6 +189,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_files,
         op9_bagminhash_dedup,
         op10_quality,
+        op11_filter_audit,
+        op12_warc,
+        op13_conversation_repair,
     )
 }
 
@@ -206,4 +238,74 @@ SELECT source, lang, CASE WHEN lang IN ('de', 'es', 'fr') THEN 'pieces_v2' ELSE
 FROM counted WHERE words >= 20 GROUP BY ALL
 """
 
-ORACLES: dict[str, str] = {"op2_preference_format": _OP2, "op7_token_rollups": _OP7}
+_OP11 = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+), said AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, a, b, c, d, e, good, toxic, CAST(count(*) AS BIGINT) AS n FROM (
+    SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+           100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+           regexp_matches(t, '[#$%&*|]') AS d, coalesce(docs.doc_id > least, false) AS e,
+           coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+    FROM docs LEFT JOIN said ON said.doc_id = docs.doc_id) AS f
+  GROUP BY ALL
+), fails AS (
+  SELECT part, n, good, toxic,
+         (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END)
+         || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END)
+         || (CASE WHEN e THEN 'E' ELSE '' END) AS failed
+  FROM cells
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE p.x NOT IN (q.x, r.x, s.x, t.x) AND q.x NOT IN (r.x, s.x, t.x) AND r.x NOT IN (s.x, t.x) AND s.x <> t.x
+), plan AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS own,
+         substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) AS s
+), told AS (
+  SELECT part, filter_order, step, own, n, good, toxic, contains(failed, own) AS hit, failed = own AS single,
+         failed <> '' AND translate(failed, earlier, '') <> failed AS gone
+  FROM fails, plan
+), counted AS (
+  SELECT part, filter_order, step, own,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (gone AND hit), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (single), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM told GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
+_OP12 = r"""
+WITH held AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+  FROM pages
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT)
+               >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = last OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM held
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_preference_format": _OP2,
+    "op7_token_rollups": _OP7,
+    "op11_filter_audit": _OP11,
+    "op12_warc": _OP12,
+}
