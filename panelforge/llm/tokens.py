@@ -9,8 +9,9 @@ are written, so readers can take metadata without tokens or the tokens of a rang
 
 Encoding is the tokenizers library's, on pieces of text: the vocabularies here split text at white
 space before they merge, so a space or line break between two visible characters is a border that no
-token crosses. Words are merged by the library once per worker process, which keeps a bounded number of
-them, and texts are put together from these. A text with any other white space is encoded as a whole.
+token crosses. A worker process keeps the ids of a bounded number of pieces (by 64-bit hashes, those met last
+longest), and texts are put together from these, a few megabytes at once. A text with any other white
+space, or that holds a special string of the vocabulary, is encoded as a whole, by the library's plain call.
 
 Nulls, ties and repeats: a null text is empty and gets the end id only. A null id sorts first. Rows
 that share an id are ordered by a hash of their text. An empty table writes an empty file.
@@ -22,7 +23,6 @@ import re
 import sys
 import types
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelforge.llm.textscan import VISIBLE, mix, scan, slices, text_buffers
+
 END = 0
 DOCS_PER_FILE = 8192
 MOST_FILES = 20_000
-_CACHED = 700_000
+_CACHED = 1_000_000  # pieces, about 40 bytes each
+_SLICE = 2 << 20
 # A word of Latin letters after a line break or a space, and the ASCII marks that may stand behind
 # it: the first cut parts these from each other and nothing else.
 _WORD = re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
@@ -53,18 +56,23 @@ FORMAT = {
 }
 
 
-class _Pieces(dict):
-    """Ids of pieces, as bytes, made when first asked for; emptied when it holds too many.
+class _Pieces:
+    """Ids of pieces, made by the library when first asked for, in sorted arrays.
 
-    A piece that begins with a line break stands after one, any other after a space.
+    A piece is a word and what stands before it: nothing (0), a space (1) or a line break (2).
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
         self._first_cut = tokenizer.pre_tokenizer.pre_tokenize_str
         self._merge = tokenizer.model.tokenize
-        self._tails: dict[str, bytes] = {}
         self._names = {ord(k): v for k, v in self._byte_names().items()}
+        self._tails: dict[str, list[int]] = {}
+        self._keys = np.zeros(0, dtype=np.uint64)
+        self._at = np.zeros(0, dtype=np.int64)
+        self._n = np.zeros(0, dtype=np.int32)
+        self._met = np.zeros(0, dtype=np.int32)
+        self._ids = np.zeros(0, dtype=np.int32)
+        self._round = 0
 
     def _byte_names(self) -> dict[str, str]:
         """How the vocabulary writes a byte, asked from the library byte by byte for ASCII and by
@@ -78,36 +86,85 @@ class _Pieces(dict):
             names[chr(b)] = self._first_cut(bytes([b, 0x81]).decode())[0][0][0]
         return names
 
-    def _ids(self, names: list[str]) -> bytes:
-        return array("I", [t.id for name in names for t in self._merge(name)]).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        core = piece.rstrip(_MARKS)
-        if core != piece:
-            own = self.get(core)  # only words are kept
-            if own is None and _WORD.fullmatch(core):
-                own = self[core]
-            if own is not None:
-                marks = piece[len(core) :]
-                tail = self._tails.get(marks)
-                if tail is None:
-                    tail = self._tails[marks] = self._ids([marks])
-                return own + tail
-        elif _WORD.fullmatch(piece):
-            if len(self) >= _CACHED:
-                self.clear()
-                self._tails.clear()
-            line = piece[0] == "\n"
-            name = (piece if line else " " + piece).encode().decode("latin-1").translate(self._names)
-            self[piece] = ids = self._ids([name[:1], name[1:]] if line else [name])
+    def _merged(self, names: list[str]) -> list[int]:
+        return [t.id for name in names for t in self._merge(name)]
+
+    def made(self, word: str, lead: int) -> list[int]:
+        core = word.rstrip(_MARKS)
+        if _WORD.fullmatch(core):
+            name = core.encode().decode("latin-1").translate(self._names)
+            if lead == 1:
+                ids = self._merged([self._names[0x20] + name])
+            else:
+                ids = self._merged([self._names[0x0A], name] if lead else [name])
+            marks = word[len(core) :]
+            if marks:
+                if marks not in self._tails:
+                    if len(self._tails) > 10_000:
+                        self._tails.clear()
+                    self._tails[marks] = self._merged([marks.translate(self._names)])
+                ids = ids + self._tails[marks]
             return ids
-        line = piece[0] == "\n"
-        names = [name for name, _ in self._first_cut(("x" if line else " ") + piece)]
-        return self._ids(names[1:] if line else names)
+        names = [name for name, _ in self._first_cut(("", " ", "x\n")[lead] + word)]
+        return self._merged(names[1:] if lead == 2 else names)
+
+    def of(self, words, pick: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the picked words one behind the other, and how many each word has."""
+        self._round += 1
+        h = mix(words.hashes()[pick] + (lead.astype(np.uint64) << np.uint64(1)))
+        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self._keys, keys)
+        known = place < len(self._keys)
+        known[known] = self._keys[place[known]] == keys[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = words.data.tobytes()
+            rows = pick[first[new]]
+            ids = [
+                self.made(raw[a:z].decode(), k)
+                for a, z, k in zip(words.start[rows].tolist(), words.end[rows].tolist(), lead[first[new]].tolist())
+            ]
+            self._add(keys[new], ids)
+            place = np.searchsorted(self._keys, keys)
+        self._met[place] = self._round
+        own = place[inverse]
+        n = self._n[own]
+        ends = np.cumsum(n)
+        flat = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self._at[own] - (ends - n), n)
+        out = self._ids[flat]
+        if len(self._keys) > _CACHED:
+            self._forget()
+        return out, n
+
+    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        n = np.array([len(x) for x in ids], dtype=np.int32)
+        at = len(self._ids) + np.cumsum(n) - n
+        flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(n.sum()))
+        place = np.searchsorted(self._keys, keys)
+        self._ids = np.concatenate([self._ids, flat])
+        self._keys = np.insert(self._keys, place, keys)
+        self._at = np.insert(self._at, place, at)
+        self._n = np.insert(self._n, place, n)
+        self._met = np.insert(self._met, place, self._round)
+
+    def _forget(self) -> None:
+        """Keep the three quarters that were met last."""
+        order = np.argsort(self._met, kind="stable")[-(_CACHED * 3 // 4) :]
+        kept = np.sort(order)
+        n = self._n[kept]
+        starts = np.cumsum(n) - n
+        self._ids = self._ids[np.arange(int(n.sum())) + np.repeat(self._at[kept] - starts, n)]
+        self._keys, self._n, self._met, self._at = self._keys[kept], n, self._met[kept], starts
+
+
+_SPACES = ~VISIBLE
+_SPACES[0x1C:0x20] = True
+# White space beyond ASCII, as UTF-8.
+_WIDE = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes."""
+    """Ids of texts as the library gives them."""
 
     # Texts whose ids by pieces and as a whole are compared before pieces are used.
     _PROBES = ("a\nb c", "It's 3.5 (of \u00e9t\u00e9), x!\n\u00dcber\n12 -- don't\nstop \u4e2d\u6587, ok?")
@@ -116,29 +173,62 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # special strings in a text are plain text
-        self._pieces = None
-        pieces = _Pieces(self._tokenizer)
-        if all(self._joined(t, pieces) == self._whole(t) for t in self._PROBES):
-            self._pieces = pieces
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _joined(self, text: str, pieces: _Pieces) -> bytes | None:
-        """By pieces, if every white space of the text is one space or line break between others."""
-        first, *rest = text.replace("\n", " \n").split(" ")
-        visible = text.split()
-        if len(visible) != len(rest) + 1 or len("".join(visible)) + len(rest) != len(text):
-            return None
-        return self._whole(first) + b"".join(map(pieces.__getitem__, rest))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            ids = self._joined(text, self._pieces) if text and self._pieces is not None else None
-            out.append(self._whole(text) if ids is None and text else ids or b"")
-        return out
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._apart = re.compile("|".join(map(re.escape, [*special, *_WIDE])).encode())
+        self._pieces = _Pieces(self._tokenizer)
+        want = [self.whole(t) for t in self._PROBES]
+        if [x.tolist() for x in self.encode(list(self._PROBES))] != want:
+            self._pieces = None
+
+    def whole(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _regular(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Rows in which every white space is one space or line break between visible characters."""
+        space = _SPACES[data]
+        plain = (data == 0x20) | (data == 0x0A)
+        bad = space & ~plain
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[bounds] = True  # in front of it a row ends, behind it one starts
+        bad |= space & edge[:-1]
+        bad |= space & edge[1:]
+        bad[1:] |= space[1:] & space[:-1]
+        odd = np.flatnonzero(bad)
+        raw = data.tobytes()
+        apart = [m.start() for m in self._apart.finditer(raw)]
+        rows = np.searchsorted(bounds, np.append(odd, np.array(apart, dtype=np.int64)), side="right") - 1
+        regular = bounds[1:] > bounds[:-1]
+        regular[rows] = False
+        return regular
+
+    def encode_column(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one behind the other, and how many each row has; nulls are empty."""
+        data, bounds = text_buffers(text)
+        regular = self._regular(data, bounds) if self._pieces is not None else np.zeros(len(text), dtype=bool)
+        words = scan(text, VISIBLE)
+        row = words.row_of_word()
+        pick = np.flatnonzero(regular[row])
+        start = words.start[pick]
+        before = np.where(start == bounds[row[pick]], 0, np.where(data[start - 1] == 0x0A, 2, 1))
+        flat, n = self._pieces.of(words, pick, before) if len(pick) else (np.zeros(0, np.int32),) * 2
+        sizes = np.bincount(row[pick], weights=n, minlength=len(text)).astype(np.int64)
+        apart = {}
+        for i in np.flatnonzero(~regular & (bounds[1:] > bounds[:-1])).tolist():
+            ids = self.whole(data[bounds[i] : bounds[i + 1]].tobytes().decode())
+            apart[i] = ids
+            sizes[i] = len(ids)
+        if not apart:
+            return flat, sizes
+        out = np.empty(int(sizes.sum()), dtype=np.int32)
+        out[np.repeat(regular, sizes)] = flat
+        starts = np.cumsum(sizes) - sizes
+        for i, ids in apart.items():
+            out[starts[i] : starts[i] + len(ids)] = ids
+        return out, sizes
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        flat, sizes = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
 
 
 def held_encoder(path: str) -> Encoder:
@@ -153,20 +243,19 @@ def _encoded(path: str, end: int, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = None, 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in slices(batch, batch.schema.names[n_kept], _SLICE):
                 encoder = encoder or held_encoder(path)
-                texts = ["" if t is None else t for t in part.column(n_kept).to_pylist()]
-                tail = np.array([end], dtype="<u4").tobytes()
-                raw = [ids + tail for ids in encoder.encode(texts)]
-                sizes = np.array([len(r) // 4 for r in raw], dtype=np.int64)
-                bounds = np.append(0, np.cumsum(sizes))
-                ids = np.frombuffer(b"".join(raw), dtype="<i4")
+                flat, sizes = encoder.encode_column(part.column(n_kept))
+                bounds = np.append(0, np.cumsum(sizes + 1))
+                ids = np.full(int(bounds[-1]), end, dtype=np.int32)
+                last = np.zeros(len(ids), dtype=bool)
+                last[bounds[1:] - 1] = True
+                ids[~last] = flat
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns[:n_kept],
                         pa.array(start + bounds[:-1]),
-                        pa.array(sizes),
+                        pa.array(sizes + 1),
                         pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
                     ],
                     [*part.schema.names[:n_kept], "local_start", "n_tokens", "ids"],
