@@ -406,11 +406,50 @@ def encoder():
     return tokens.Encoder(queries.vocabulary())
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="aAé 中\n\t'.,12s’  x|<>endoftext", max_size=40))
-def test_pieces_give_the_ids_of_the_whole_text(encoder, text):
+PARTS = ["<|endoftext|>", " ", "\n", "  ", "a", "Aé", "中", ",", "12", "'s", "\t", "’", "\u2003", "\xa0", "\x1f", "|>", "Ġ"]
+
+
+@pytest.fixture(scope="module")
+def plain():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), max_size=4))
+def test_ids_are_those_of_the_plain_call(encoder, plain, texts):
     assert encoder._pieces is not None
-    assert encoder.encode([text]) == [encoder._whole(text) if text else b""]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
+def test_forgotten_pieces_are_made_again(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "_CACHED", 8)
+    few = tokens.Encoder(queries.vocabulary())
+    texts = [f"w{i} x{i % 3}, end\nline{i % 5}" for i in range(60)]
+    for k in range(0, 60, 4):
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts[k : k + 4]]
+        assert [x.tolist() for x in few.encode(texts[k : k + 4])] == want
+    assert len(few._pieces._keys) <= 8
+
+
+def test_token_files_of_texts_with_special_strings(spark, plain, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny", None, "", "a  b", "\n\na\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens.write_tokens(rows, str(tmp_path / "t"), queries.vocabulary())
+    got = {r.doc_id: r.ids for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert got == {i: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
+def test_token_query_on_documents(spark, documents, plain):
+    start, want = 0, {}
+    for r in documents.select("doc_id", "text").orderBy("doc_id").collect():
+        ids = np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        want[r.doc_id] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    found = queries.op8_token_files(spark, SF).collect()
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in found} == want and len(found) == len(want)
 
 
 def test_token_files(spark, odd, tmp_path):
