@@ -18,10 +18,11 @@ Documents with equal multisets are one node. Nodes meet in 32 bands of 4 registe
 similarity 0.8 misses all of them once in 20 million). In each bucket, every node is compared with
 the bucket's smallest node. Buckets that still hold several classes are then compared across the
 classes, first each node's four nearest signatures, then all pairs left. A pair is passed over if its
-signatures agree in less than 65 % (a pair of similarity 0.8 does so once in 30,000) or if what each
+signatures agree in less than 60 % (a pair of similarity 0.8 does so once in 13 million) or if what each
 side alone has, among all nodes of such buckets, bounds the similarity below the threshold; the
-bound leaves few pairs in classes of thousands of copies that differ in a few words each. All links
-are verified by the exact overlap of multisets (by 32-bit hashes).
+bound leaves few pairs in classes of thousands of copies that differ in a few words each, and nodes that
+it parts from every other one are not sent at all. All links are verified by the exact overlap of
+multisets (by 32-bit hashes).
 
 Texts are never shuffled: the shingles of the documents that a round needs are taken from a scan,
 prefiltered by a bitmap of fixed size over the hashes of their ids. Groups of pairs and buckets are
@@ -42,15 +43,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.graph import checkpointed, components
+from panelforge.llm.graph import Kept, checkpointed, components
 from panelforge.llm.textscan import ALNUM, LOWER, Grams, mix, scan, slices
 
 SHINGLE = 5
 REGISTERS = 128
 BANDS = 32
 SIMILARITY = 0.8
-NEAR = 0.65  # share of equal registers from which a pair is verified
+NEAR = 0.60  # share of equal registers from which a pair is verified
 CHUNK = 512
+BUCKET_CHUNK = 2048  # rows of a bucket that are compared at once, half a kilobyte each
 BITMAP_WORDS = 1 << 17  # 64-bit words; 1 MB
 _STEP, _SPOT, _LAYER, _TWIN = (
     np.uint64(x)
@@ -315,11 +317,12 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _cross_pairs(mixed: DataFrame, nodes: DataFrame, private: DataFrame, similarity, most) -> DataFrame:
     """Pairs (`a`, `b`) across the classes of a bucket; `most` keeps each node's nearest ones."""
-    cuts = F.ceil(F.col("m") / CHUNK).cast("int")
+    cuts = F.ceil(F.col("m") / BUCKET_CHUNK).cast("int")
     known = nodes.join(private, "h1", "left").select(
         "node", "sig", "n", F.coalesce("own", F.lit(0)).alias("own")
     )
-    rows = mixed.join(known, "node")
+    # A node of which too much is in no other one is similar to none of them.
+    rows = mixed.join(known.filter((F.col("n") - F.col("own")) / F.col("n") >= similarity), "node")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), cuts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     rows = rows.select(
@@ -346,13 +349,14 @@ def near_duplicates(
     """Per row: `doc_id` and `class_id`, the smallest id of its class of near-duplicates."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     known = rows.filter("doc_id is not null")
-    signed = checkpointed(
+    kept = Kept(docs.sparkSession)
+    signed = kept(
         known.mapInArrow(_signed, "doc_id bigint, h1 bigint, h2 bigint, n bigint, sig binary")
     )
     equal = signed.filter("n > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
-    nodes = checkpointed(equal)
+    nodes = kept(equal)
     home = signed.select("doc_id", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"], "left")
     of_row = checkpointed(home.select("doc_id", F.coalesce("node", "doc_id").alias("node")).distinct())
     ends = of_row.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
@@ -367,31 +371,32 @@ def near_duplicates(
     )
     placed = nodes.select("node", F.posexplode(keys).alias("band", "key"))
     buckets = placed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"))
-    members = checkpointed(
+    members = kept(
         placed.join(buckets.filter("head <> last"), "key").select("key", "band", "node", "head")
     )
-    tested = checkpointed(
+    tested = kept(
         members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     )
-    alike = checkpointed(verified(known, tested, similarity))
+    alike = kept(verified(known, tested, similarity))
     links = alike.select("a", "b").union(same)
     roots = components(links)
     private = None
     for most in (4, None):  # the nearest pairs first: what they join need not be compared
-        mixed = checkpointed(_mixed(members, roots))
+        mixed = kept(_mixed(members, roots))
         if mixed.isEmpty():
             break
         if private is None:
-            private = checkpointed(_private(known, nodes, mixed))
+            private = kept(_private(known, nodes, mixed))
         found = _cross_pairs(mixed, nodes, private, similarity, most)
-        fresh = checkpointed(found.join(tested, ["a", "b"], "left_anti").select("a", "b"))
+        fresh = kept(found.join(tested, ["a", "b"], "left_anti").select("a", "b"))
         if fresh.isEmpty():
             continue
-        more = checkpointed(verified(known, fresh, similarity))
+        more = kept(verified(known, fresh, similarity))
         tested = tested.union(fresh)
         if not more.isEmpty():
             links = links.union(more.select("a", "b"))
             roots = components(links)
+    kept.drop()  # what follows reads the nodes of rows and their roots alone
     classes = of_row.join(roots, "node", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("root", "node")).alias("class_id")
     )
@@ -401,7 +406,21 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
-    """The documents with the smallest id of their class, with all columns; null ids stay."""
+    """One document of each class, the one with the smallest id, with all columns.
+
+    Of rows that share the kept id one stays, the least by a hash of all columns. Rows with a null id
+    are in no class and stay as they are.
+    """
+    kept = Kept(docs.sparkSession)
     classes = near_duplicates(docs, doc_id, text, similarity)
-    later = classes.filter("class_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(later, doc_id, "left_anti")
+    ids = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    # Few ids: those that go, and those of several rows.
+    marked = kept(ids.filter("class_id < doc_id or n > 1").withColumnRenamed("doc_id", doc_id))
+    left = docs.join(marked.filter(f"class_id < `{doc_id}`").select(doc_id), doc_id, "left_anti")
+    several = marked.filter(f"class_id = `{doc_id}`").select(doc_id)
+    if several.isEmpty():
+        return left
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(several, doc_id, "left_semi").groupBy(doc_id).agg(F.min_by(every, F.xxhash64(every)).alias("r"))
+    rest = left.join(several, doc_id, "left_anti").select(docs.columns)
+    return rest.unionByName(one.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.session import shared_folder
+from panelforge.session import scratch_path, shared_folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -16,6 +16,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Kept:
+    """Frames written as tables in the shared folder, which can be dropped together once nothing that
+    reads them will run again."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self._spark, "kept")
+        df.write.parquet(path)
+        self._paths.append(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self._paths:
+            place = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(place, True)
+        self._paths = []
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
