@@ -7,6 +7,9 @@ Two families, chosen by how many rows one group may hold:
 * *Detail* operators (`*_detail`, `with_row_id`, `preceding_sums`, `next_in_order`) accept groups
   of any size. They split the order into ranges by approximate quantiles, work inside
   (group, range), and carry totals across the few ranges, so no task ever holds a whole group.
+
+Their order is one number or date column without nulls, or any key: a text column, or a list of columns
+of any types that Spark can sort, nulls first in each. Ranges of a key are cut at sampled keys.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The order is cut into block * block ranges, found in two steps of `block` comparisons each. This is
 # the least block; it grows with the shuffle partitions, and results do not depend on it.
@@ -48,23 +52,61 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- any group size ---------------------------------------------------------------------------
 
+Order = str | Sequence[str]
+_SAMPLED = 8  # sampled keys for each range
+_PREFIX = 64  # characters of a text that a cut point keeps
+_MEASURED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _with_key(df: DataFrame, order: Order) -> tuple[DataFrame, str]:
+    """The frame and the column to sort by: the order itself, or `_key` for texts and lists."""
+    if isinstance(order, str):
+        if isinstance(df.schema[order].dataType, _MEASURED):
+            return df, order
+        order = [order]
+    return df.withColumn("_key", F.struct(*[F.col(c) for c in order])), "_key"
+
+
+def _sampled_cuts(df: DataFrame, key: str, ranges: int) -> DataFrame:
+    """`c`: cut points of a struct key, taken from the keys with the smallest hashes.
+
+    The sample is a function of the data, of a fixed size and uniform over distinct keys. Long texts
+    are cut to a prefix, which bounds its bytes and is a cut point like any other.
+    """
+    short = lambda f: (
+        F.substring(F.col(key)[f.name], 1, _PREFIX) if isinstance(f.dataType, T.StringType) else F.col(key)[f.name]
+    )
+    fields = df.schema[key].dataType.fields
+    sample = (
+        df.select(F.struct(*[short(f).alias(f.name) for f in fields]).alias("k"), F.xxhash64(key).alias("h"))
+        .orderBy("h")
+        .limit(_SAMPLED * ranges)
+    )
+    found = sample.agg(F.sort_array(F.collect_set("k")).alias("k"))
+    at = lambda i: F.get("k", F.floor(i * F.size("k") / F.lit(ranges)).cast("int"))
+    return found.select(F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), at).alias("c"))
+
 
 def with_range(
     df: DataFrame, order: str, touch: Sequence[str] = (), block: int | None = None
 ) -> DataFrame:
     """`_range`: number of quantile cut points below the order column, a deterministic range id.
 
-    The cut points are one mergeable sketch over the column, sent out as a scalar of fixed size.
+    The cut points are one mergeable sketch over the column, or a sample if it is a struct, sent out as
+    a scalar of fixed size.
     When `df` is itself an aggregate, `touch` names its aggregated columns: the sketch then needs
     the same shuffle as the main plan and reuses it instead of reading the source again.
     """
     size = block or range_block(df)
     ranges = size * size
     steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(
-        F.percentile_approx(order, steps, 10 * ranges).alias("c"),
-        *[F.max(t).alias(f"_touch_{t}") for t in touch],
-    )
+    if isinstance(df.schema[order].dataType, T.StructType):
+        cuts, touch = _sampled_cuts(df, order, ranges), ()
+    else:
+        cuts = df.agg(
+            F.percentile_approx(order, steps, 10 * ranges).alias("c"),
+            *[F.max(t).alias(f"_touch_{t}") for t in touch],
+        )
     coarse = F.array(*[F.element_at("c", i) for i in range(size, ranges, size)])
     touched = [F.col(f"_touch_{t}") for t in touch]
     both = cuts.select(
@@ -92,7 +134,7 @@ def sum_of_earlier_ranges(value: str, by: Sequence[str]) -> Column:
 
 def preceding_sums(
     df: DataFrame,
-    order: str,
+    order: Order,
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     peers: bool = False,
@@ -100,15 +142,16 @@ def preceding_sums(
 ) -> DataFrame:
     """For each row, the sum of each weight over the rows that come before it in its group.
 
-    `order` must not be null. It must be unique in its group unless `peers=True`: then rows with
-    equal `order` are not before each other, and their own total is added as ``<name>_peers``.
+    The order must be unique in its group unless `peers=True`: then rows with equal order are not
+    before each other, and their own total is added as ``<name>_peers``.
     The result keeps the range id as `_range`.
 
     The totals of all earlier ranges arrive as one marker row per (group, range) that sorts first,
     so a single window over (group, range) yields the answer: one shuffle, no join.
     """
     by = list(by)
-    split = with_range(df, order, touch)
+    keyed, order = _with_key(df, order)
+    split = with_range(keyed, order, touch)
     split = split.withColumns({f"_w_{n}": w for n, w in sums.items()})
     weights = [f"_w_{n}" for n in sums]
     totals = split.groupBy(*by, "_range").agg(*[F.sum(w).alias(w) for w in weights])
@@ -132,14 +175,14 @@ def preceding_sums(
     return found.filter(~F.col("_marker")).drop("_marker")
 
 
-def with_row_id(df: DataFrame, order: str, name: str = "id") -> DataFrame:
-    """Consecutive 1-based row number in the order of a unique number or date column."""
+def with_row_id(df: DataFrame, order: Order, name: str = "id") -> DataFrame:
+    """Consecutive 1-based row number in the order of a unique key."""
     numbered = preceding_sums(df, order, {name: F.lit(1).cast("bigint")}).drop("_range")
     return numbered.withColumn(name, F.col(name) + 1)
 
 
 def next_in_order(
-    df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], closed: bool = False
+    df: DataFrame, by: Sequence[str], order: Order, columns: Sequence[str], closed: bool = False
 ) -> DataFrame:
     """Columns of the following row of the group as `next_<column>` and of the group's first row
     as `first_<column>`; `closed` wraps the last row to the first one.
@@ -147,7 +190,8 @@ def next_in_order(
     The first row of the next range arrives as a marker row that sorts last in its range.
     """
     by = list(by)
-    split = with_range(df, order)
+    keyed, order = _with_key(df, order)
+    split = with_range(keyed, order)
     packed = F.struct(*columns)
     along = W.partitionBy(*by).orderBy("_range")
     heads = split.groupBy(*by, "_range").agg(F.min_by(packed, F.col(order)).alias("_head"))

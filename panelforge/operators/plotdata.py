@@ -5,119 +5,58 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.operators.ordered import (
-    attach,
-    next_in_order,
-    sum_of_earlier_ranges,
-    with_range,
-)
+from panelforge.operators.ordered import attach, next_in_order
+from panelforge.operators.selection import SMALL, select_ranks
+from panelforge.session import kept_table
 
 
-def _value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct values of each group with their count and value range."""
-    known = df.filter(F.col(value).isNotNull())
-    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    return with_range(counts, value, touch=["_c"])
-
-
-def _range_table(counts: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Per (group, range): count before it, count through it, group size, extremes."""
-    totals = counts.groupBy(*by, "_range").agg(
-        F.sum("_c").alias("_t"), F.min(value).alias("_min"), F.max(value).alias("_max")
-    )
-    size = F.sum("_t").over(W.partitionBy(*by))
-    placed = totals.withColumns({"_before": sum_of_earlier_ranges("_t", by), "n": size})
-    return placed.withColumn("_through", F.col("_before") + F.col("_t"))
-
-
-def _in_ranges(counts: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Value rows of the listed (group, range) cells with the columns of the list."""
-    return attach(counts, ranges.withColumn("_wanted", F.lit(True)), [*by, "_range"]).filter(
-        F.col("_wanted")
-    )
-
-
-def _pick_quantiles(
-    counts: DataFrame,
-    ranges: DataFrame,
-    by: list[str],
+def exact_quantiles(
+    df: DataFrame,
+    by: Sequence[str],
     value: str,
     probs: Sequence[tuple[str, float]],
+    small: int = SMALL,
 ) -> DataFrame:
-    ranks = []
-    for _, p in probs:
-        at = F.lit(p) * (F.col("n") - 1)
-        ranks += [F.floor(at), F.ceil(at)]
-    holds = [(F.col("_before") <= r) & (r < F.col("_through")) for r in ranks]
-    wanted = ranges.filter(F.greatest(*[h.cast("int") for h in holds]) == 1)
-    rows = _in_ranges(counts, wanted.select(*by, "_range", "_before", "n"), by)
-    inside = W.partitionBy(*by, "_range").orderBy(value)
-    through = F.col("_before") + F.sum("_c").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("_through", through).withColumn(
-        "_before", F.col("_through") - F.col("_c")
-    )
-    picks = [F.max(F.when(h, F.col(value))).alias(f"_v{i}") for i, h in enumerate(holds)]
-    out = rows.groupBy(*by).agg(F.max("n").alias("n"), *picks)
-    for i, (name, p) in enumerate(probs):
-        at = F.lit(p) * (F.col("n") - 1)
-        lo, hi = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
-        out = out.withColumn(name, lo + (hi - lo) * (at - F.floor(at)))
-    return out.select(*by, "n", *[name for name, _ in probs])
-
-
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[tuple[str, float]]
-) -> DataFrame:
-    """Interpolated quantiles per group, by distributed counting.
+    """Interpolated quantiles per group, by repeated selection of ranges.
 
-    Values shrink to counts, the counts of value ranges tell which ranges hold the wanted order
-    statistics, and only those ranges are sorted. No task gathers a group.
+    Values move only inside the ranges that hold a wanted rank. No task gathers a group.
     """
     if not by:
-        return exact_quantiles(df.withColumn("_all", F.lit(True)), ["_all"], value, probs).drop("_all")
-    by = list(by)
-    counts = _value_counts(df, by, value)
-    return _pick_quantiles(counts, _range_table(counts, by, value), by, value, probs)
-
-
-def boxplot_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+        all_rows = df.withColumn("_all", F.lit(True))
+        return exact_quantiles(all_rows, ["_all"], value, probs, small).drop("_all")
+    at = {name: F.lit(p) * (F.col("n") - 1) for name, p in probs}
+    ranks = {}
+    for name, r in at.items():
+        ranks |= {f"_lo_{name}": F.floor(r), f"_hi_{name}": F.ceil(r)}
+    out = select_ranks(df, by, value, ranks, small)
+    for name, r in at.items():
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out = out.withColumn(name, lo + (hi - lo) * (r - F.floor(r)))
+    return out.select(*by, "n", *at)
+
+
+def boxplot_stats(df: DataFrame, by: Sequence[str], value: str, small: int = SMALL) -> DataFrame:
     """Quartiles, whiskers (extremes within 1.5 box heights) and the number of outliers.
 
-    Ranges that lie wholly inside the fences count from the range table; only the ranges cut by a
-    fence are looked into value by value.
+    The quartiles are a small table; one more pass over the raw column counts what lies between the
+    fences of each group. No value moves for it.
     """
     if not by:
-        return boxplot_stats(df.withColumn("_all", F.lit(True)), ["_all"], value).drop("_all")
+        all_rows = df.withColumn("_all", F.lit(True))
+        return boxplot_stats(all_rows, ["_all"], value, small).drop("_all")
     by = list(by)
-    counts = _value_counts(df, by, value)
-    ranges = _range_table(counts, by, value)
-    boxes = _pick_quantiles(
-        counts, ranges, by, value, [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
-    )
+    probs = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
+    boxes = kept_table(exact_quantiles(df, by, value, probs, small), "boxes")
     height = F.col("q3") - F.col("q1")
     fences = boxes.select(
         *by, (F.col("q1") - 1.5 * height).alias("_lo"), (F.col("q3") + 1.5 * height).alias("_hi")
     )
-    lo, hi = F.col("_lo"), F.col("_hi")
-    placed = attach(ranges, fences, by)
-    whole = (F.col("_min") >= lo) & (F.col("_max") <= hi)
-    outside = (F.col("_max") < lo) | (F.col("_min") > hi)
-    # The count condition always holds; it keeps this branch on the same shuffle as the others.
-    cut = placed.filter(~whole & ~outside & (F.col("_t") > 0)).select(*by, "_range", "_lo", "_hi")
-    edge = _in_ranges(counts, cut, by).filter(F.col(value).between(lo, hi))
-    inside = placed.filter(whole).select(
-        *by, F.col("_min").alias("_a"), F.col("_max").alias("_b"), F.col("_t").alias("_c")
-    )
-    inside = inside.unionByName(
-        edge.select(*by, F.col(value).alias("_a"), F.col(value).alias("_b"), "_c")
-    )
-    ends = inside.groupBy(*by).agg(
-        F.min("_a").alias("whisker_low"),
-        F.max("_b").alias("whisker_high"),
-        F.sum("_c").alias("_inside"),
+    v = F.col(value)
+    rows = attach(df.filter(v.isNotNull()).select(*by, value), fences, by)
+    ends = rows.filter(v.between(F.col("_lo"), F.col("_hi"))).groupBy(*by).agg(
+        F.min(v).alias("whisker_low"), F.max(v).alias("whisker_high"), F.count(F.lit(1)).alias("_inside")
     )
     out = attach(boxes, ends, by)
     return out.withColumn("outliers", F.col("n") - F.col("_inside")).drop("_inside")

@@ -146,6 +146,44 @@ def row_id(d: Data):
     return O.with_row_id(d.table("customer").select("c_custkey", "c_name"), "c_custkey")
 
 
+@query(
+    "id:l c_name:s",
+    "SELECT row_number() OVER (ORDER BY c_name) AS id, c_name FROM customer",
+)
+def row_id_text(d: Data):
+    return O.with_row_id(d.table("customer").select("c_name"), "c_name")
+
+
+@query(
+    "id:l o_clerk:s o_orderdate:d o_orderkey:l",
+    """SELECT row_number() OVER (ORDER BY clerk NULLS FIRST, day NULLS FIRST, o_orderkey) AS id,
+              clerk AS o_clerk, day AS o_orderdate, o_orderkey
+       FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS clerk,
+                    CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders) AS o""",
+)
+def row_id_composite(d: Data):
+    key = F.col("o_orderkey")
+    rows = d.table("orders").select(
+        F.when(key % 5 > 0, F.col("o_orderpriority")).alias("o_clerk"),
+        F.when(key % 7 > 0, F.col("o_orderdate").cast("date")).alias("o_orderdate"),
+        "o_orderkey",
+    )
+    return O.with_row_id(rows, ["o_clerk", "o_orderdate", "o_orderkey"])
+
+
+@query(
+    "p_brand:s p_name:s p_partkey:l next_p_partkey:l first_p_partkey:l",
+    """SELECT p_brand, name AS p_name, p_partkey, lead(p_partkey) OVER w AS next_p_partkey,
+              first_value(p_partkey) OVER w AS first_p_partkey
+       FROM (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS name FROM part) AS p
+       WINDOW w AS (PARTITION BY p_brand ORDER BY name NULLS FIRST, p_partkey)""",
+)
+def next_in_text_order(d: Data):
+    rows = d.table("part").withColumn("p_name", F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")))
+    rows = rows.select("p_brand", "p_name", "p_partkey")
+    return O.next_in_order(rows, ["p_brand"], ["p_name", "p_partkey"], ["p_partkey"])
+
+
 @query(
     "p_partkey:l whole:f1 digits:f1",
     """SELECT p_partkey, TRY_CAST(p_brand AS DOUBLE) AS whole,

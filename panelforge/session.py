@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the library expects; a cluster's own session should be made with the same settings.
 DEFAULTS = {
@@ -59,3 +59,14 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing existing is overwritten."""
     return f"{shared_folder(spark)}/panelforge/{name}-{os.urandom(6).hex()}"
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """The frame, computed once and written below the shared folder, read back from there.
+
+    For small frames that a driver-side decision and several later scans need: a lost executor costs
+    nothing, and the scans behind it are not run again.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

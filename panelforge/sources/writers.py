@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from panelforge.operators.ordered import with_row_id
+from panelforge.operators.ordered import Order, with_row_id
 
 
 def write_table(
@@ -14,9 +14,10 @@ def write_table(
     path: str,
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
-    index: tuple[str, str] | None = None,
+    index: tuple[str, Order] | None = None,
 ) -> None:
-    """Write a folder of files; `index=(name, order column)` adds a 1-based row index first."""
+    """Write a folder of files; `index=(name, order)` adds a 1-based row index first; the order is
+    any unique key."""
     if index is not None:
         name, order = index
         df = with_row_id(df, order, name)

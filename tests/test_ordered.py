@@ -55,6 +55,57 @@ def test_quantiles_equal_numpy(spark, skewed):
             assert got.loc[g, name] == pytest.approx(np.quantile(rows.v, p), abs=1e-9)
 
 
+@pytest.mark.parametrize("small", [1, 7, 400])
+def test_quantiles_by_ranges_cut_again(spark, skewed, small):
+    """Ranges of a few rows, heavy ties, groups far apart and one value: as many passes as it takes."""
+    rows = pd.concat(
+        [
+            skewed[["g", "v"]],
+            pd.DataFrame({"g": "far", "v": 10.0 ** np.arange(-150, 150)}),
+            pd.DataFrame({"g": "one", "v": [3.5] * 500}),
+            pd.DataFrame({"g": "two", "v": [1.0] + [2.0] * 499 + [9.0]}),
+            pd.DataFrame({"g": [None] * 30, "v": np.arange(30.0)}),
+        ]
+    )
+    df = spark.createDataFrame([(g, float(v)) for g, v in zip(rows.g, rows.v)], "g string, v double")
+    df = df.union(spark.createDataFrame([("hot", None), ("none", None)], "g string, v double"))
+    probs = [("lo", 0.0), ("a", 0.1), ("mid", 0.5), ("hi", 1.0)]
+    got = {r.g: r for r in P.exact_quantiles(df, ["g"], "v", probs, small=small).collect()}
+    groups = {g: x.v for g, x in rows.groupby("g", dropna=False)}
+    assert len(got) == len(groups)
+    for g, v in groups.items():
+        r = got[None if pd.isna(g) else g]
+        assert r.n == len(v)
+        for name, p in probs:
+            assert r[name] == pytest.approx(np.quantile(v, p), rel=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], "g string, v double")
+    assert P.exact_quantiles(none, ["g"], "v", [("mid", 0.5)]).isEmpty()
+    assert P.boxplot_stats(none, ["g"], "v").isEmpty()
+
+
+def test_order_by_any_key(spark):
+    rng = np.random.default_rng(5)
+    words = ["é" * 70 + str(i) for i in range(40)] + [f"k{i}" for i in range(300)] + ["", "A", "a", "z" * 200]
+    rows = [(w if rng.random() < 0.8 else None, None if i % 9 == 0 else days(400)[i], i) for i, w in enumerate(words)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "s string, d date, i int")
+    low = lambda x: (x is not None, x.encode() if isinstance(x, str) else x or date.min)
+    for key in (["s", "i"], ["d", "i"], ["s", "d", "i"]):
+        at = [("s", "d", "i").index(k) for k in key]
+        want = sorted(rows, key=lambda r: tuple(r[k] if k == 2 else low(r[k]) for k in at))
+        got = {r.i: r.id for r in O.with_row_id(df, key).collect()}
+        assert got == {r[2]: n + 1 for n, r in enumerate(want)}
+    after = {r.i: (r.next_i, r.first_i) for r in O.next_in_order(df, [], ["s", "i"], ["i"]).collect()}
+    order = [r[2] for r in sorted(rows, key=lambda r: (low(r[0]), r[2]))]
+    assert after == {i: (j, order[0]) for i, j in zip(order, [*order[1:], None])}
+    texts = spark.createDataFrame([(w,) for w in set(words)], "s string")
+    got = [r.s for r in O.with_row_id(texts, "s").orderBy("id").collect()]
+    assert got == sorted(set(words), key=str.encode)
+    assert O.with_row_id(texts.limit(0), "s").isEmpty()
+
+
 def test_quantiles_of_the_whole_table(spark, skewed):
     row = P.boxplot_stats(spark.createDataFrame(skewed), [], "v").first()
     assert (row.n, row["median"]) == (len(skewed), np.median(skewed.v))

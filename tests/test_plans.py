@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+from panelforge.operators import plotdata as P
 from panelforge.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -77,7 +78,7 @@ def test_library_never_collects():
 
 
 @pytest.mark.parametrize(
-    "name", ["row_id", "kruskal_wallis", "boxplot_stats", "polygon_centroid", "reorder_by_agg"]
+    "name", ["row_id", "row_id_text", "kruskal_wallis", "polygon_centroid", "reorder_by_agg"]
 )
 def test_range_bounds_are_computed_once(spark, name):
     """All branches of a plan must see the same cut points: one sketch, reused elsewhere."""
@@ -87,3 +88,30 @@ def test_range_bounds_are_computed_once(spark, name):
     final = text.replace("ReusedSubquery Subquery", "Reused")
     ids = set(re.findall(r"(?<!Reused)Subquery subquery#(\d+)", final))
     assert len(ids) == 1
+
+
+def _subtree(text, at):
+    """The lines of a plan below the node in line `at`."""
+    lines = text.splitlines()
+    depth = lambda x: len(re.match(r"[\s:+\-*()0-9]*", x)[0])
+    out = []
+    for x in lines[at + 1 :]:
+        if depth(x) <= depth(lines[at]):
+            break
+        out.append(x)
+    return out
+
+
+def test_values_move_only_for_ranges_that_hold_a_rank(spark):
+    """No exchange of raw values by (group, value): below each one stands the join with the ranges."""
+    rows = spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderpriority", "o_totalprice")
+    found = P.exact_quantiles(rows, ["o_orderpriority"], "o_totalprice", [("mid", 0.5)], small=100)
+    text = found._jdf.queryExecution().sparkPlan().toString()
+    prepared = found._jdf.queryExecution().executedPlan().toString()
+    moved = [i for i, x in enumerate(prepared.splitlines()) if re.search(r"Exchange hashpartitioning\(.*o_totalprice", x)]
+    assert moved and "orders.parquet" in text
+    for i in moved:
+        below = _subtree(prepared, i)
+        assert any("Join" in x for x in below) and any("ranges-" in x for x in below)
+    box = plan(QUERIES["boxplot_stats"], spark)
+    assert not re.search(r"Exchange hashpartitioning\([^)]*o_totalprice", box)
