@@ -167,7 +167,7 @@ def stratum_rates(d: Data):
        FROM v_daily AS d JOIN v_wide AS w ON w.county = d.county GROUP BY d.date""",
 )
 def soft_category_rates(d: Data):
-    rows = d.daily().join(d.wide().select("county", *SHARES), "county")
+    rows = d.once().daily().join(d.wide().select("county", *SHARES), "county")
     return A.soft_category_rates(rows, "date", SHARES, "cum_deaths", "population")
 
 

@@ -175,6 +175,7 @@ def bracket_means(d: Data):
                    GROUP BY county) AS m ON m.county = p.county""",
 )
 def feature_table(d: Data):
+    d.once()
     slopes = G.summaries(d.slopes(), "county", {**semester_measures(), **bracket_measures()})
     mobility = d.signals().filter(F.col("signal") == "view").groupBy("county").agg(
         F.avg("value").alias("mobility")
@@ -285,7 +286,7 @@ def semester_outcome(d: Data):
        FROM v_daily WHERE date = (SELECT max(date) FROM v_daily)""",
 )
 def snapshot_rate(d: Data):
-    panel = d.daily()
+    panel = d.once().daily()
     last = d.counts().agg(F.max("date").alias("last")).scalar()
     snap = panel.filter(F.col("date") == last)
     return snap.withColumn("per_1000", F.round(ratio("cum_deaths", "population"), 5) * 1000)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from panelforge.functions.nulls import ratio, safe_ln
 from panelforge.functions.text import significance
 from panelforge.operators import inference as I
+from panelforge.operators import leastsquares as L
 from panelforge.plans.queries_growth import OFFSET_WINDOWS
 from panelforge.plans import sql_tails as S
-from panelforge.plans.registry import query
+from panelforge.plans.registry import QUERIES, query
 from panelforge.plans.standins import METHODS, START, Data
 
 
@@ -286,6 +287,57 @@ def wls_far_tests(d: Data):
     return I.with_t_pvalue(far).withColumn("p", F.col("p").between(0, 1))
 
 
+_MULTI = QUERIES["ols_multi"].oracle
+_MULTI_P = f"""(SELECT *, {S.t_two_sided('t', 'df2')} AS p,
+                       power(df2 / (df2 + 2 * f), df2 / CAST(2 AS DOUBLE)) AS f_p FROM ({_MULTI}) AS m)"""
+
+
+@query(
+    "l_returnflag:s term:s n:l est:f4 se:f4 t:f4 p:f6 r2:f8 adj_r2:f8 f:f2 f_p:f8 df2:l",
+    f"""SELECT l_returnflag, term, n, est, se, t, p, r2, adj_r2, f, f_p, df2 FROM {_MULTI_P} AS a
+        UNION ALL
+        SELECT l_returnflag, 'both', n, NULL, NULL, NULL, NULL, r2, adj_r2, f, f_p, df2
+        FROM {_MULTI_P} AS b WHERE term = '(intercept)'""",
+)
+def ols_dependent(d: Data):
+    """A term that the others explain is null; the rest is fitted."""
+    q, x = F.col("l_quantity"), F.col("l_discount")
+    terms = {"quantity": q, "discount": x, "both": q + 2 * x}
+    return L.fit_terms(d.table("lineitem"), "l_extendedprice", terms, "l_returnflag")
+
+
+@query(
+    "l_returnflag:s quantity:f2 discount:f2 discount_se:f4 discount_p:f6 r2:f8",
+    f"""SELECT l_returnflag, max(est) FILTER (term = 'quantity') AS quantity,
+               max(est) FILTER (term = 'discount') AS discount,
+               max(se) FILTER (term = 'discount') AS discount_se,
+               max(p) FILTER (term = 'discount') AS discount_p, max(r2) AS r2
+        FROM {_MULTI_P} AS a GROUP BY 1""",
+)
+def ols_parallel(d: Data):
+    """Two columns that are parallel up to a millionth of their length, brought back to the others."""
+    q, near = F.col("l_quantity"), F.col("l_quantity") + F.col("l_discount") / 1000
+    fit = L.fit_terms(d.table("lineitem"), "l_extendedprice", {"q": q, "near": near}, "l_returnflag")
+    own = lambda c, term: F.max(F.when(F.col("term") == term, F.col(c)))
+    return fit.groupBy("l_returnflag").agg(
+        (own("est", "q") + own("est", "near")).alias("quantity"),
+        (own("est", "near") / 1000).alias("discount"),
+        (own("se", "near") / 1000).alias("discount_se"),
+        own("p", "near").alias("discount_p"),
+        F.max("r2").alias("r2"),
+    )
+
+
+@query(
+    "region:i term:s n:l est:f6 se:f6 t:f6 p:f6 df2:l",
+    f"""SELECT region, term, n, est, se, est / se AS t, {S.t_two_sided('(est / se)', 'df2')} AS p, df2
+        FROM ({QUERIES["ols_categorical"].oracle}) AS c""",
+)
+def ols_categorical_pvalue(d: Data):
+    terms = I.category_terms("c_mktsegment", METHODS)
+    return L.fit_terms(balances(d), "c_acctbal", terms, "region")
+
+
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

@@ -44,7 +44,7 @@ def argmax_columns(d: Data):
                    FROM v_panel) AS p GROUP BY 1, 2) AS t""",
 )
 def lag_increment(d: Data):
-    rows = d.daily().withColumn("before", O.lag_rows("cum_deaths", 21, "county", "date"))
+    rows = d.once().daily().withColumn("before", O.lag_rows("cum_deaths", 21, "county", "date"))
     totals = rows.join(d.majors(), "county").groupBy("date", "major").agg(
         strict_sum("cum_deaths").alias("total"),
         strict_sum("before").alias("total_lag"),

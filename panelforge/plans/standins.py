@@ -19,6 +19,7 @@ from panelforge.operators import cleaning as C
 from panelforge.operators import growth as G
 from panelforge.operators import ordered as O
 from panelforge.operators import reshape as R
+from panelforge.session import kept_table
 from panelforge.sources.readers import test_table
 
 # Fixed values of the stand-in study.
@@ -36,10 +37,48 @@ class Data:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._grains: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return test_table(self.spark, self.folder, name)
 
+    def grains(self) -> DataFrame:
+        """Orders by county and day (`is_panel`) and by district, from one pass over the fact table.
+
+        The grains are grouping sets, so a task sends one row per cell of each. The join of orders and
+        customers comes first, since a county is needed; adaptive execution may split a hot customer.
+        """
+        day, status = F.col("o_orderdate").cast("date"), F.col("o_orderstatus")
+        undo = (status == "P") & (F.col("o_orderpriority") == "5-LOW")
+        rows = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        rows = rows.select(
+            F.col("c_nationkey").alias("county"),
+            day.alias("date"),
+            F.col("c_custkey").alias("district"),
+            F.col("c_mktsegment").alias("method"),
+            "c_acctbal",
+            "o_totalprice",
+            F.when(day >= F.lit(OPENING_FROM), day).alias("opened"),
+            (status == "F").alias("finished"),
+            F.when(status == "F", 1).when(undo, -1).otherwise(0).alias("change"),
+        )
+        panel, district = ["county", "date"], ["county", "district", "method", "c_acctbal"]
+        return rows.groupingSets([panel, district], *panel, *district[1:]).agg(
+            (F.grouping("date") == 0).alias("is_panel"),
+            F.count(F.lit(1)).alias("confirmed"),
+            F.count_if("finished").alias("deaths"),
+            F.sum("change").alias("delta"),
+            F.round(F.sum("o_totalprice"), 2).alias("summed"),
+            F.min("opened").alias("opened"),
+        )
+
+    def once(self) -> Data:
+        """These tables with `grains` computed now and kept, for queries that need several of them:
+        what follows reads a table of cells and districts, not the orders."""
+        if self._grains is None:
+            self._grains = kept_table(self.grains(), "grains")
+        return self
+
     def by_district(self, orders: DataFrame, *aggs) -> DataFrame:
         """Orders reduced to one row per customer before the join, so a customer with very many
         orders reaches the join as one row; both steps share the placement by customer."""
@@ -55,11 +94,14 @@ class Data:
     def district(self) -> DataFrame:
         """One row per district with the larger of summed and reported enrollment."""
         day = F.col("o_orderdate").cast("date")
-        sums = self.by_district(
-            self.table("orders"),
-            F.round(F.sum("o_totalprice"), 2).alias("summed"),
-            F.min(F.when(day >= F.lit(OPENING_FROM), day)).alias("opened"),
-        )
+        if self._grains is not None:
+            sums = self._grains.filter("not is_panel")
+        else:
+            sums = self.by_district(
+                self.table("orders"),
+                F.round(F.sum("o_totalprice"), 2).alias("summed"),
+                F.min(F.when(day >= F.lit(OPENING_FROM), day)).alias("opened"),
+            )
         return sums.select(
             "county",
             "district",
@@ -103,6 +145,8 @@ class Data:
         return O.pick_largest(dated, ["county"], "share", "open_week", ["open_week", "share"])
 
     def counts(self) -> DataFrame:
+        if self._grains is not None:
+            return self._grains.filter("is_panel").select("county", "date", "confirmed", "deaths", "delta")
         status = F.col("o_orderstatus")
         undo = (status == "P") & (F.col("o_orderpriority") == "5-LOW")
         rows = self.table("orders").join(
@@ -131,7 +175,9 @@ class Data:
             "county",
             "date",
             ["confirmed", "deaths", "delta"],
-            seen=self.table("orders").select(F.col("o_orderdate").cast("date").alias("date")),
+            seen=None
+            if self._grains is not None
+            else self.table("orders").select(F.col("o_orderdate").cast("date").alias("date")),
         )
         return dense.withColumns(
             {
@@ -181,6 +227,7 @@ class Data:
 
     def panel(self) -> DataFrame:
         """Daily panel with the majority method of each county."""
+        self.once()
         return self.daily().join(self.majors(), "county")
 
 

@@ -133,3 +133,43 @@ def test_correlation_is_symmetric_over_complete_cases(spark, sample):
         want = r[["x", "y", "w"]].corr()
         for row in got[got.test == t].itertuples():
             assert row.r == pytest.approx(want.loc[row.x, row.y], abs=1e-9)
+
+
+def test_least_squares_with_dependent_terms(spark):
+    """Null tests, tests over many tasks, constant and dependent columns, no degrees of freedom, nulls."""
+    from panelforge.operators import leastsquares as L
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for test, n in ((None, 300), ("a", 5000), ("small", 4), ("two", 2)):
+        x = rng.normal(5, 2, n)
+        z = rng.normal(0, 1, n)
+        y = 2 + 3 * x - z + rng.normal(0, 1, n)
+        rows += [(test, float(a), float(b), float(c)) for a, b, c in zip(x, z, y)]
+    df = spark.createDataFrame([*rows, ("a", None, 1.0, 1.0), ("a", 1.0, 1.0, None)], "g string, x double, z double, y double")
+    terms = {"x": F.col("x"), "one": F.lit(4.0), "z": F.col("z"), "sum": F.col("x") - 2 * F.col("z")}
+    got = {(r.g, r.term): r for r in L.fit_terms(df.repartition(7), "y", terms, "g").collect()}
+    assert len(got) == 20
+    for test in (None, "a"):
+        own = np.array([r[1:] for r in rows if r[0] == test])
+        x = np.column_stack([np.ones(len(own)), own[:, :2]])
+        beta, rss, *_ = np.linalg.lstsq(x, own[:, 2], rcond=None)
+        se = np.sqrt(rss[0] / (len(own) - 3) * np.diag(np.linalg.inv(x.T @ x)))
+        for k, term in enumerate(["(intercept)", "x", "z"]):
+            r = got[test, term]
+            assert (r.est, r.se, r.t) == pytest.approx((beta[k], se[k], beta[k] / se[k]), rel=1e-9)
+            assert (r.n, r.df1, r.df2) == (len(own), 2, len(own) - 3) and 0 <= r.p <= 1 and r.f_p < 1e-6
+        assert [got[test, c].est for c in ("one", "sum")] == [None, None]
+        assert [got[test, c].p for c in ("one", "sum")] == [None, None]
+    assert got["two", "x"].est is not None and got["two", "x"].se is None and got["two", "x"].f is None
+    assert L.fit_terms(df.limit(0), "y", terms, "g").isEmpty()
+
+
+def test_least_squares_keeps_the_digits_of_nearly_parallel_columns(spark):
+    from panelforge.operators import leastsquares as L
+
+    x = np.arange(1, 2001) / 7.0
+    rows = [(1, float(v), float(v + 1e-4 * np.sin(i)), float(1 + 2 * v + 1e4 * (1e-4 * np.sin(i)))) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, y double")
+    got = {r.term: r.est for r in L.fit_terms(df, "y", {"a": F.col("a"), "b": F.col("b")}, "g").collect()}
+    assert got["a"] + got["b"] == pytest.approx(2, abs=1e-7) and got["b"] == pytest.approx(1e4, rel=1e-6)

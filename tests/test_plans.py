@@ -8,6 +8,7 @@ import pytest
 
 from panelforge.operators import plotdata as P
 from panelforge.plans.catalog import QUERIES
+from panelforge.plans.standins import Data
 
 FOLDER = "/root/testdata/sf0.001"
 PACKAGE = Path(__file__).resolve().parent.parent / "panelforge"
@@ -115,3 +116,12 @@ def test_values_move_only_for_ranges_that_hold_a_rank(spark):
         assert any("Join" in x for x in below) and any("ranges-" in x for x in below)
     box = plan(QUERIES["boxplot_stats"], spark)
     assert not re.search(r"Exchange hashpartitioning\([^)]*o_totalprice", box)
+
+
+@pytest.mark.parametrize("name", ["incidence_band", "lag_increment", "feature_table", "snapshot_rate"])
+def test_orders_are_read_once(spark, no_broadcast, name):
+    """All grains come from one pass; the query itself reads what that pass kept."""
+    scans = lambda text: len(re.findall(r"FileScan.*?orders\.parquet", text))
+    assert scans(plan(QUERIES[name], spark)) == 0
+    grains = Data(spark, FOLDER).grains()._jdf.queryExecution().executedPlan().toString()
+    assert scans(grains) == 1 and "Expand" in grains
