@@ -108,7 +108,8 @@ def format_pairs(pairs: DataFrame, pair_id: str = "pair_id") -> DataFrame:
 def sampled_pairs(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Pairs from plain conversations: up to the last reply of the assistant the conversation is
     chosen; with that reply replaced by the one of the next conversation (the first one after the
-    last) it is rejected. Conversations without a reply give no pair."""
+    last) it is rejected. What follows the last reply is in neither. A conversation without a reply is
+    chosen and rejected as it is, so it is all prompt."""
     talks = conversations(turns, conv_id, turn).withColumn(
         "back", F.array_position(F.reverse(F.transform("turns", lambda t: t["role"] == ASSISTANT)), F.lit(True))
     )
@@ -118,4 +119,9 @@ def sampled_pairs(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
     paired = next_in_order(chosen, [], "conv_id", ["reply"], closed=True)
     other = F.coalesce("next_reply", "first_reply")
     rejected = F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array(other))
-    return paired.select(F.col("conv_id").alias("pair_id"), "chosen", rejected.alias("rejected"))
+    pairs = paired.select(F.col("conv_id").alias("pair_id"), "chosen", rejected.alias("rejected"))
+    same = F.col("turns")
+    alone = talks.filter("back = 0").select(
+        F.col("conv_id").alias("pair_id"), same.alias("chosen"), same.alias("rejected")
+    )
+    return pairs.unionByName(alone)

@@ -223,6 +223,11 @@ SELECT conv_id,
        CASE WHEN own = other THEN '' ELSE '14-' || CAST(22 + length(other_reply) AS VARCHAR) END AS rejected_mask,
        own = other AS tied
 FROM paired
+UNION ALL
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_prompt_turns,
+       string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn) AS prompt,
+       '' AS chosen, '' AS rejected, '' AS chosen_mask, '' AS rejected_mask, true AS tied
+FROM ranked WHERE last IS NULL GROUP BY conv_id
 """
 
 _OP7 = r"""

@@ -6,7 +6,8 @@ batch is reduced to one row per key and written below the store as a folder name
 totals are the sum of all batches, so they never read documents again.
 
 Commits are idempotent: a batch whose folder is complete is skipped, and one that was interrupted is
-written over with the same content, so a batch may be sent any number of times, in any order.
+written over, so a batch may be sent any number of times, in any order. A batch is its name: one that is
+complete is skipped whatever is sent under its name again. Totals read complete batches only.
 
 Nulls, ties and repeats: null sources, languages and versions are keys like others. Repeated rows
 count as often as they stand there. A null count is 0. Keys whose documents and tokens are all gone
@@ -68,10 +69,21 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path.rstrip("/")
 
+    def _place(self, path: str):
+        place = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self._spark._jsc.hadoopConfiguration())
+
     def _has(self, path: str) -> bool:
-        jvm = self._spark._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self._spark._jsc.hadoopConfiguration()).exists(place)
+        place, files = self._place(path)
+        return files.exists(place)
+
+    def _complete(self) -> list[str]:
+        """The folders of complete batches."""
+        place, files = self._place(self._path)
+        if not files.exists(place):
+            return []
+        found = [s.getPath().toString() for s in files.listStatus(place) if s.isDirectory()]
+        return sorted(p for p in found if self._has(f"{p}/_SUCCESS"))
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Add a batch of signed rows; False if it was already there."""
@@ -86,8 +98,9 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """Documents and tokens per key over all complete batches."""
-        if not self._has(self._path):
+        batches = self._complete()
+        if not batches:
             return self._spark.createDataFrame([], _SCHEMA)
-        deltas = self._spark.read.schema(f"{_SCHEMA}, batch string").parquet(self._path)
+        deltas = self._spark.read.schema(_SCHEMA).parquet(*batches)
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")

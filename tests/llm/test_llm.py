@@ -516,6 +516,29 @@ def test_neighbours(spark):
     assert hits >= 0.9 * total
 
 
+def test_neighbours_of_repeated_rows_and_versions(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    other = [(i, rng.normal(size=8).tolist()) for i in range(5, 15)]
+    df = spark.createDataFrame(rows + rows + other + rows[:3], "vec_id bigint, embedding array<double>")
+    found = forest.nearest(df, df.filter("vec_id % 50 = 0")).collect()
+    for q in (0, 50):
+        best = {}
+        for i, v in rows + other:
+            s = float(np.dot(v, x[q]) / (np.linalg.norm(v) * np.linalg.norm(x[q])))
+            best[i] = max(s, best.get(i, -2))
+        best.pop(q)
+        want = sorted(best, key=lambda i: (-best[i], i))[:5]
+        own = sorted((r.rank, r.vec_id) for r in found if r.query_id == q)
+        assert own == list(enumerate(want, 1))
+    tiny = spark.createDataFrame(
+        [(0, [1e-200, 2e-200]), (1, [1e200, 2e200]), (2, [3.0, -1.0])], "vec_id bigint, embedding array<double>"
+    )
+    got = forest.nearest(tiny, tiny.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 12)) for r in got] == [(1, 1.0), (2, round(1 / 50**0.5, 12))]
+
+
 def test_neighbours_on_odd_input(spark):
     rows = [
         (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]),
@@ -550,7 +573,8 @@ def test_preferences(spark):
 def test_preferences_on_odd_input(spark):
     rows = [(1, None, "assistant", None), (1, 2, None, "x"), (None, 1, "user", "y"), (2, 1, "user", "z")]
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
-    assert [tuple(r.chosen[0]) for r in preference.sampled_pairs(df).collect()] == [("assistant", "")]
+    found = {r.pair_id: (tuple(r.chosen[0]), r.chosen == r.rejected) for r in preference.sampled_pairs(df).collect()}
+    assert found == {1: (("assistant", ""), True), 2: (("user", "z"), True)}
     assert preference.format_pairs(preference.sampled_pairs(df.limit(0))).isEmpty()
 
 
@@ -571,6 +595,28 @@ def test_rollups(spark, odd, tmp_path):
     assert {r.tokenizer for r in german} == {rollups.PIECES} and sum(r.n_docs for r in german) == 2
 
 
+def test_unfinished_batches_do_not_count(spark, odd, tmp_path):
+    store = rollups.Rollup(spark, str(tmp_path / "r"))
+    batch = rollups.signed(odd, 1, rollups.count_tokens("text", rollups.WORDS), rollups.WORDS)
+    store.commit("a", batch)
+    want = sorted(map(tuple, store.totals().collect()), key=str)
+    store.commit("b", batch)
+    (tmp_path / "r" / "batch=b" / "_SUCCESS").unlink()
+    assert sorted(map(tuple, store.totals().collect()), key=str) == want
+    assert store.commit("b", rollups.signed(odd, -1, rollups.count_tokens("text", rollups.WORDS), rollups.WORDS))
+    assert store.totals().isEmpty()
+
+
+def test_preference_pairs_of_every_conversation(spark):
+    turns = [("b", 1, "user", "q"), ("b", 2, "assistant", "r"), ("a", 1, "user", "only"), ("c", 1, "assistant", "s"),
+             ("c", 2, "user", "late")]
+    df = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")
+    out = {r.pair_id: r for r in preference.format_pairs(preference.sampled_pairs(df)).collect()}
+    assert set(out) == {"a", "b", "c"}
+    assert out["a"].tied and out["a"].prompt == "<|user|>\nonly<|end|>\n" and out["a"].chosen == ""
+    assert "s" in out["b"].rejected and "r" in out["c"].rejected
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
