@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.graph import Kept, checkpointed, components
-from panelforge.llm.textscan import ALNUM, LOWER, Grams, mix, scan, slices
+from panelforge.llm.textscan import ALNUM, LOWER, Grams, mix, release_memory, scan, slices
 
 SHINGLE = 5
 REGISTERS = 128
@@ -147,6 +147,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["doc_id", "h1", "h2", "n", "sig"],
             )
+    release_memory()
 
 
 def _bit(column: str):
@@ -193,6 +194,7 @@ def _blobs(rows: DataFrame, ids: DataFrame, hashed: bool = False) -> DataFrame:
                     ],
                     ["doc_id", "blob", *(["h1", "h2"] if hashed else [])],
                 )
+        release_memory()
 
     source = rows.select("doc_id", "text", word.alias("w"), bit.alias("b"))
     return source.mapInArrow(run, "doc_id bigint, blob binary" + (", h1 bigint, h2 bigint" if hashed else ""))

@@ -9,6 +9,7 @@ Null texts have no words. A text longer than a slice is a slice of its own; no t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -37,6 +38,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def release_memory() -> None:
+    """Hand what this worker process has freed back to the system; later stages run beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own ways
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (the public splitmix64 step)."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import sys
+import threading
 import types
 import zlib
 from collections.abc import Iterator
@@ -31,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.textscan import VISIBLE, mix, scan, slices, text_buffers
+from panelforge.llm.textscan import VISIBLE, mix, release_memory, scan, slices, text_buffers
 
 END = 0
 DOCS_PER_FILE = 8192
 MOST_FILES = 20_000
 _CACHED = 1_000_000  # pieces, about 40 bytes each
 _SLICE = 2 << 20
+_IDLE = 5.0  # seconds
 # A word of Latin letters after a line break or a space, and the ASCII marks that may stand behind
 # it: the first cut parts these from each other and nothing else.
 _WORD = re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
@@ -232,13 +234,31 @@ class Encoder:
 
 
 def held_encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary, so that later tasks find the words known."""
+    """One encoder per worker process and vocabulary, so that later tasks find the pieces known."""
     held = sys.modules.setdefault(_HELD, types.ModuleType(_HELD)).__dict__
+    if "timer" in held:
+        held.pop("timer").cancel()
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
 
 
+def let_go(path: str) -> None:
+    """Drop the worker's encoder if no task asks for it within `_IDLE` seconds: other stages that run in
+    the same process later need the memory."""
+    held = sys.modules.setdefault(_HELD, types.ModuleType(_HELD)).__dict__
+
+    def drop():
+        held.pop(path, None)
+        release_memory()
+
+    if "timer" in held:
+        held.pop("timer").cancel()
+    held["timer"] = timer = threading.Timer(_IDLE, drop)
+    timer.daemon = True
+    timer.start()
+
+
 def _encoded(path: str, end: int, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = None, 0
@@ -261,6 +281,8 @@ def _encoded(path: str, end: int, n_kept: int):
                     [*part.schema.names[:n_kept], "local_start", "n_tokens", "ids"],
                 )
                 start += int(bounds[-1])
+        if encoder is not None:
+            let_go(path)
 
     return run
 

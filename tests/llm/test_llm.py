@@ -443,6 +443,22 @@ def test_forgotten_pieces_are_made_again(plain, monkeypatch):
     assert len(few._pieces._keys) <= 8
 
 
+def test_an_idle_worker_drops_its_encoder(monkeypatch):
+    import sys
+    import time
+
+    monkeypatch.setattr(tokens, "_IDLE", 0.3)
+    path = queries.vocabulary()
+    first = tokens.held_encoder(path)
+    tokens.let_go(path)
+    assert tokens.held_encoder(path) is first  # asked for in time
+    time.sleep(0.6)
+    assert tokens.held_encoder(path) is first
+    tokens.let_go(path)
+    time.sleep(1.5)
+    assert path not in sys.modules[tokens._HELD].__dict__
+
+
 def test_token_files_of_texts_with_special_strings(spark, plain, tmp_path):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny", None, "", "a  b", "\n\na\n"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
