@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,25 +106,38 @@ def reconcile(
     return both.withColumn("mismatch", ~F.col("summed").eqNullSafe(F.col("latest")))
 
 
-# Walks the series once per negative entry. `p` holds the positions before it with a positive
-# count; the last `k` of them give one unit each. Entries after position i are untouched, so the
-# list of negative positions can be fixed up front.
-_BACK_ALLOCATE = """
-aggregate(
-  filter(sequence(0, size(_v) - 1), i -> _v[i] < 0),
-  _v,
-  (acc, i) -> transform(
-    array(filter(sequence(0, size(acc) - 1), j -> j < i and acc[j] > 0)),
-    p -> transform(
-      array(least(cast(ceil(-acc[i]) as int), size(p))),
-      k -> transform(acc, (x, j) ->
-        case when j = i then x + k
-             when k > 0 and j < i and x > 0 and j >= p[size(p) - k] then x - 1
-             else x end)
-    )[0]
-  )[0]
-)
-"""
+def back_allocate(counts) -> np.ndarray:
+    """Each negative entry in turn takes one unit from each of the nearest earlier positive entries.
+
+    `open_` lists the earlier entries that still are positive, in order; a correction takes from its
+    end, and only entries that it used up leave the list. So the work is one step per day and one
+    array operation per correction, as long as what it moves.
+    """
+    v = np.array(counts, dtype="float64")
+    open_, size = np.empty(len(v), dtype="int64"), 0
+    for i, x in enumerate(v.tolist()):
+        if x < 0:
+            units = int(min(np.ceil(-x), size))
+            if units:
+                taken = open_[size - units : size]
+                v[taken] -= 1
+                v[i] += units
+                left = taken[v[taken] > 0]
+                size += len(left) - units
+                open_[size - len(left) : size] = left
+        if v[i] > 0:
+            open_[size] = i
+            size += 1
+    return v
+
+
+def _back_allocated():
+    @F.pandas_udf("array<double>")
+    def walk(series: pd.Series) -> pd.Series:
+        rows = [None if v is None else back_allocate(v) for v in series]
+        return pd.Series(rows, dtype="object")
+
+    return walk
 
 
 def redistribute_negatives(
@@ -131,7 +146,7 @@ def redistribute_negatives(
     """Move negative corrections back onto earlier positive days, one unit per day.
 
     Input: one row per (entity, day), so an entity's array is bounded by the calendar. Only
-    series that hold a negative are folded. Each row also says whether it stayed negative
+    series that hold a negative go to Python, as Arrow arrays. Each row also says whether it stayed negative
     (`residual`): the first day has nothing before it, and a correction may exceed the number of
     earlier positive days. A null count stays null and takes no part.
     """
@@ -142,8 +157,10 @@ def redistribute_negatives(
         F.array_sort(F.collect_list(F.struct(*order))).alias("_s")
     )
     arrays = arrays.withColumn("_v", F.transform("_s", lambda s: s["_x"]))
-    fixed = F.when(F.exists("_v", lambda v: v < 0), F.expr(_BACK_ALLOCATE)).otherwise(F.col("_v"))
-    out = arrays.withColumn("_f", fixed).select(
+    arrays = arrays.withColumn(
+        "_n", _back_allocated()(F.when(F.exists("_v", lambda v: v < 0), F.col("_v")))
+    )
+    out = arrays.withColumn("_f", F.coalesce("_n", "_v")).select(
         entity, F.explode(F.arrays_zip("_s", "_f")).alias("_r")
     )
     return out.select(

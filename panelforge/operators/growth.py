@@ -64,6 +64,34 @@ def spline_growth(
     return flat.select(*keys, *out)
 
 
+def derivative_errors(fit: DataFrame, entity: str, day: str, value: str) -> DataFrame:
+    """Per entity: how far slopes and curvatures of a fit are from what its own values ask for.
+
+    Input: output of `spline_growth`. Each step between two fitted days lies within one cubic, for
+    which both rules are exact; the largest error of a step is returned. One window by entity, the
+    placement that the fit's arrays already had.
+    """
+    fitted = fit.filter(F.col(f"{value}_fit").isNotNull())
+    before = W.partitionBy(entity).orderBy(day)
+    parts = {s: F.col(f"{value}_{s}") for s in ("fit", "b", "b2")}
+    last = {s: F.lag(c).over(before) for s, c in parts.items()}
+    steps = fitted.select(
+        entity,
+        F.datediff(day, F.lag(day).over(before)).alias("_h"),
+        *[c.alias(s) for s, c in parts.items()],
+        *[c.alias(f"_{s}") for s, c in last.items()],
+    ).filter(F.col("_h").isNotNull())
+    h = F.col("_h")
+    rise = h / 2 * (F.col("b") + F.col("_b")) - h * h / 12 * (F.col("b2") - F.col("_b2"))
+    turn = h / 2 * (F.col("b2") + F.col("_b2"))
+    return steps.groupBy(entity).agg(
+        F.count(F.lit(1)).alias("steps"),
+        F.sum(h).alias("days"),
+        F.max(F.abs(F.col("fit") - F.col("_fit") - rise)).alias("slope_error"),
+        F.max(F.abs(F.col("b") - F.col("_b") - turn)).alias("curvature_error"),
+    )
+
+
 def with_log_counts(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """ln(x + 1) of count columns as ``{new: source}``."""
     return df.withColumns({new: log1p_count(src) for new, src in columns.items()})

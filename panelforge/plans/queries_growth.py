@@ -91,6 +91,21 @@ def spline_lines(d: Data):
     return G.spline_growth(d.daily().withColumn("y", line), "county", "date", ["y"])
 
 
+# Between two days the fit is one cubic. So over each step the fit grows by the mean of both slopes
+# less a twelfth of the change of curvature, and the slope by the mean of both curvatures: summed
+# over a series, slopes and curvatures of real (curved) data must meet the fit's own values. The
+# other side states the steps, the days between them and errors of zero.
+@query(
+    "county:i steps:l days:l slope_error:f7 curvature_error:f8",
+    """SELECT county, count(*) - 1 AS steps, max(date) - min(date) AS days,
+              0 AS slope_error, 0 AS curvature_error FROM v_daily GROUP BY county""",
+)
+def spline_derivatives(d: Data):
+    panel = G.with_log_counts(d.daily(), {"log_new": "deaths"})
+    fit = G.spline_growth(panel, "county", "date", ["log_new"])
+    return G.derivative_errors(fit, "county", "date", "log_new")
+
+
 @query("major:s date:d log_count:f8 log_count_fit:f8 log_count_b:f8")
 def category_growth(d: Data):
     daily = G.category_series(d.panel(), "date", "major", "deaths")

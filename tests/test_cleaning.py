@@ -1,6 +1,10 @@
 import random
+import time
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelforge.operators import cleaning as C
@@ -127,3 +131,30 @@ def test_a_residual_negative_is_kept(spark):
     df = spark.createDataFrame([("a", 1, -1.0), ("a", 2, 2.0)], "county string, day int, new double")
     out = C.redistribute_negatives(df, "county", "day", "new").orderBy("day").collect()
     assert [(r.adjusted, r.residual) for r in out] == [(-1.0, True), (2.0, False)]
+
+
+@given(st.lists(st.integers(-6, 5) | st.sampled_from([0.5, -0.5, 2.25, -3.75]), max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_back_allocation_equals_the_stated_walk(counts):
+    assert list(C.back_allocate(counts)) == back_allocate(counts)
+
+
+def test_back_allocation_is_one_walk_over_long_series():
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 4, 10_000).astype(float)
+    v[rng.random(10_000) < 0.3] = -2.0
+    start = time.perf_counter()
+    got = C.back_allocate(v)
+    assert time.perf_counter() - start < 2
+    assert got.sum() == v.sum() and (got[v >= 0] >= 0).all()
+    assert list(C.back_allocate(v[:1500])) == back_allocate(v[:1500])
+
+
+def test_empty_and_null_counts(spark):
+    df = spark.createDataFrame([], "county string, day int, new double")
+    assert C.redistribute_negatives(df, "county", "day", "new").count() == 0
+    df = spark.createDataFrame(
+        [("a", 1, 3.0), ("a", 2, None), ("a", 3, -2.0), ("b", 1, 0.0)], "county string, day int, new double"
+    )
+    out = C.redistribute_negatives(df, "county", "day", "new").orderBy("county", "day").collect()
+    assert [(r.adjusted, r.residual) for r in out] == [(2.0, False), (None, False), (-1.0, True), (0.0, False)]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import dense_spline
 from panelforge.functions import spline as S
 from panelforge.operators import growth as G
 
@@ -17,9 +18,12 @@ def days(n=N):
 def test_effective_parameters_hit_the_target():
     for n in (20, 49, 60, 200, N, 900):
         df = min(S.STUDY_DF, n / 2)
-        coef, value, _, _, trace = S.smoother(days(n).tobytes(), df)
-        assert trace == pytest.approx(df, abs=1e-6)
-        assert np.trace(value @ coef) == pytest.approx(df, abs=1e-6)
+        calendar = S.Calendar(days(n))
+        factors, trace = S.penalised([calendar], df)
+        assert trace[0] == pytest.approx(df, abs=1e-8)
+        # The smoother's matrix is its answer to unit series.
+        fitted = calendar.curves_of(S._solve(factors[0], calendar.right_side(np.eye(n))))[0]
+        assert np.trace(fitted) == pytest.approx(df, abs=1e-7)
 
 
 def test_knot_counts():
@@ -49,12 +53,12 @@ def test_fit_minimises_the_penalised_error():
     rng = np.random.default_rng(0)
     x = days(40)
     y = rng.normal(size=40)
-    coef, value, _, curve, _ = S.smoother(x.tobytes(), 10.0)
+    coef, value, _, curve, _ = dense_spline.smoother(x.tobytes(), 10.0)
     c = coef @ y
     u = np.linspace(x[0], x[-1], 4001)
     inner = (x - x[0]) / (x[-1] - x[0])
     t = np.concatenate([[0.0] * 3, inner, [1.0] * 3])
-    dense = S._design(t, (u - u[0]) / (u[-1] - u[0]), 2, len(c))
+    dense = dense_spline._design(t, (u - u[0]) / (u[-1] - u[0]), 2, len(c))
     gram = np.trapezoid(dense[:, :, None] * dense[:, None, :], u, axis=0)
     left = value.T @ (y - value @ c)
     penalty = np.linalg.lstsq((gram @ c)[:, None], left, rcond=None)[0][0]
@@ -86,6 +90,49 @@ def test_equals_the_natural_spline_smoother():
     assert np.allclose(curve[[0, -1]], 0.0, atol=1e-6)
 
 
+@pytest.mark.parametrize("n, df", [(20, 8.0), (49, 14.2), (60, 14.2), (398, S.STUDY_DF), (2405, 60.0), (15, 14.5), (398, 3.0)])
+def test_banded_equals_dense_on_curved_series(n, df):
+    rng = np.random.default_rng(n)
+    x = np.cumsum(rng.integers(1, 4, n)).astype(float)
+    y = np.sin(x / 9) + rng.normal(size=n)
+    coef, *designs, _ = dense_spline.smoother(x.tobytes(), df)
+    for got, design in zip(S.fit_series([x], [y], df)[0], designs):
+        assert np.abs(got - design @ (coef @ y)).max() < 1e-8
+
+
+def test_as_many_parameters_as_days_interpolate():
+    rng = np.random.default_rng(5)
+    x, y = np.arange(15.0), rng.normal(size=15)
+    assert np.allclose(S.fit_series([x], [y], 15.0)[0][0], y, atol=1e-6)
+    with pytest.raises(ValueError, match="two parameters"):
+        S.fit_series([x], [y], 2.0)
+
+
+def test_batches_of_calendars_equal_single_series():
+    rng = np.random.default_rng(9)
+    x = [np.sort(rng.choice(500, n, replace=False)).astype(float) for n in (398, 30, 49, 50, 220, 15)]
+    y = [rng.normal(size=len(d)) for d in x]
+    for d, v, got in zip(x, y, S.fit_series(x, y, 14.0)):
+        assert np.allclose(got, S.fit_series([d], [v], 14.0)[0], atol=1e-11)
+
+
+def test_long_series_need_linear_memory():
+    """Full matrices would hold 20,000 days by 207 coefficients several times."""
+    import tracemalloc
+
+    x = np.arange(20000.0)
+    y = np.sin(x / 900) + 0.1 * np.random.default_rng(2).normal(size=len(x))
+    tracemalloc.start()
+    value, slope, curve = S.fit_series([x], [y], 60.0)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    inside = slice(200, -200)
+    assert np.abs(slope - np.cos(x / 900) / 900)[inside].max() < 2e-4
+    assert np.abs(curve + np.sin(x / 900) / 900**2)[inside].max() < 5e-6
+    assert np.abs(value - np.sin(x / 900))[inside].max() < 0.03
+
+
 def test_fit_keeps_level_and_trend_of_the_test_panel(spark):
     """The residuals of a smoothing spline are orthogonal to straight lines."""
     from panelforge.plans.catalog import QUERIES

@@ -9,8 +9,8 @@ from panelforge.plans.catalog import QUERIES
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
-# The smoothing spline's values have no SQL form; `spline_moments`, `category_spline_moments` and
-# `spline_lines` check what it must keep, test_growth.py its other properties.
+# The smoothing spline's values have no SQL form; `spline_moments`, `category_spline_moments`,
+# `spline_lines` and `spline_derivatives` check what it must keep, test_growth.py its other properties.
 WITHOUT_ORACLE = {"spline_fit", "growth_coefficient", "category_growth"}
 
 
