@@ -17,6 +17,7 @@ from panelforge.plans.registry import query
 from panelforge.plans.standins import START, Data
 from panelforge.session import scratch_path
 from panelforge.sources.readers import scan, signal_scan
+from panelforge.sources.staged import StagedTable, bad_rows, good_rows, ingest_csv
 from panelforge.sources.writers import write_table
 
 # --- sources and sinks ------------------------------------------------------------------------
@@ -72,6 +73,63 @@ def sink_roundtrip(d: Data):
     )
 
 
+# Orders as lines of text, some damaged: a price that is no number, a field too many, two too few,
+# a day that does not exist, no key.
+_LINES = """
+  SELECT CASE WHEN o_orderkey % 11 = 0 THEN concat(k, ',', s, ',n/a,', day)
+              WHEN o_orderkey % 13 = 0 THEN concat(k, ',', s, ',', p, ',', day, ',more')
+              WHEN o_orderkey % 17 = 0 THEN concat(k, ',', s)
+              WHEN o_orderkey % 19 = 0 THEN concat(k, ',', s, ',', p, ',1998-13-45')
+              WHEN o_orderkey % 23 = 0 THEN concat(',', s, ',', p, ',', day)
+              ELSE concat(k, ',', s, ',', p, ',', day) END AS value, *
+  FROM (SELECT *, CAST(o_orderkey AS {text}) AS k, o_orderstatus AS s,
+               CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS {text}) AS p,
+               CAST(CAST(o_orderdate AS DATE) AS {text}) AS day FROM {orders}) AS parts
+"""
+
+
+@query(
+    "raw:s reason:s o_orderkey:l o_orderstatus:s o_totalprice:f2 o_orderdate:d",
+    f"""SELECT CASE WHEN reason IS NOT NULL THEN value END AS raw, reason,
+               CASE WHEN reason IS NULL THEN o_orderkey END AS o_orderkey,
+               CASE WHEN reason IS NULL THEN o_orderstatus END AS o_orderstatus,
+               CASE WHEN reason IS NULL THEN o_totalprice END AS o_totalprice,
+               CASE WHEN reason IS NULL THEN CAST(o_orderdate AS DATE) END AS o_orderdate
+        FROM (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 'o_totalprice is no double'
+                             WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0
+                               THEN 'wrong number of fields'
+                             WHEN o_orderkey % 19 = 0 THEN 'o_orderdate is no date'
+                             WHEN o_orderkey % 23 = 0 THEN 'o_orderkey is missing' END AS reason
+              FROM ({_LINES.format(text="VARCHAR", orders="orders")}) AS l) AS r""",
+)
+def csv_quarantine(d: Data):
+    path = scratch_path(d.spark, "lines")
+    d.table("orders").createOrReplaceTempView("panelforge_lines")
+    lines = d.spark.sql(_LINES.format(text="STRING", orders="panelforge_lines")).select("value")
+    lines.write.text(path)
+    table = StagedTable(d.spark, scratch_path(d.spark, "orders"))
+    schema = "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderdate date"
+    ingest_csv(d.spark, path, schema, table, required=["o_orderkey"], header=False)
+    return good_rows(table).unionByName(bad_rows(table), allowMissingColumns=True)
+
+
+@query(
+    "row_index:l p_partkey:l p_label:s p_retailprice:f2 p_size:i",
+    """SELECT row_number() OVER (ORDER BY p_name, p_partkey) AS row_index, p_partkey,
+              concat(p_name, ', "', p_brand, '"') AS p_label, p_retailprice,
+              CASE WHEN p_size > 10 THEN p_size END AS p_size FROM part""",
+)
+def csv_sink(d: Data):
+    """The second version of a staged CSV table, read by the schema in its manifest."""
+    label = F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("p_label")
+    size = F.when(F.col("p_size") > 10, F.col("p_size")).alias("p_size")
+    parts = d.table("part").select("p_partkey", "p_name", label, "p_retailprice", size)
+    table = StagedTable(d.spark, scratch_path(d.spark, "parts"))
+    table.commit(parts.filter("p_size > 40"), "csv")
+    table.commit(parts, "csv", index=("row_index", ["p_name", "p_partkey"]))
+    return table.read()
+
+
 @query(
     "date:d n_orders:l",
     """SELECT g.date, count(o_orderkey) AS n_orders

@@ -18,6 +18,7 @@ DEFAULTS = {
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def local_session(cores: int | str = "*", app: str = "panelforge", **extra: str) -> SparkSession:
@@ -56,9 +57,25 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as its own type."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; nothing existing is overwritten."""
-    return f"{shared_folder(spark)}/panelforge/{name}-{os.urandom(6).hex()}"
+    """A fresh path below the shared folder; nothing existing is overwritten.
+
+    Paths of one application lie in one folder, which goes when the driver's JVM ends; until then
+    every lazy result can still be read. A driver that was killed leaves it behind.
+    """
+    root = f"{shared_folder(spark)}/panelforge/{spark.sparkContext.applicationId}"
+    if root not in _MARKED:
+        fs, place = file_system(spark, root)
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+        _MARKED.add(root)
+    return f"{root}/{name}-{os.urandom(6).hex()}"
 
 
 def kept_table(df: DataFrame, name: str) -> DataFrame:

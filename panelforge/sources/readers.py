@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from panelforge.sources.schemas import STUDY, TESTDATA
 
+# Quotes inside quoted fields are doubled, as spreadsheets and statistics packages write them.
+CSV_TEXT = {"quote": '"', "escape": '"'}
+
 
 def scan(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """Read a table under an explicit schema; CSV files carry a header line."""
