@@ -29,10 +29,11 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.textscan import ALNUM, LOWER, merged_cover, mix, scan, slices
+from panelforge.llm.textscan import ALNUM, LOWER, merged_cover, mix, release_memory, scan, slices
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
+_SHARD_BYTES = 2 << 20  # of training text; its arrays take about 25 times that
 _GAP = np.uint64(0)  # stands between documents; no word hashes to it
 
 
@@ -208,7 +209,7 @@ def _matches(blocks: list[Broadcast], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SHARD_BYTES):
                 counts, spans, items = shard(part)
                 keep = [part.column(0), *[part.column(k) for k in range(2, part.num_columns)]]
                 names = [part.schema.names[0], *part.schema.names[2:]]
@@ -221,6 +222,7 @@ def _matches(blocks: list[Broadcast], window: int):
                     ],
                     [*names, "n_words", "spans", "items"],
                 )
+        release_memory()
 
     return run
 

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from panelforge.session import scratch_path, shared_folder
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let the session send texts to Python in batches of at most `most` bytes (64 MB unless set).
+
+    A batch is held by the JVM, by the worker and by what is made of it at once. The setting
+    is read when a plan is run, so it stays with the session; a smaller one that is set already stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if size(spark.conf.get(key)) > size(most):
+        spark.conf.set(key, most)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the shared checkpoint folder."""
     context = df.sparkSession.sparkContext

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.textscan import byte_class, scan, slices
+from panelforge.llm.textscan import byte_class, release_memory, scan, slices
 
 PER_LANGUAGE = 20_000
 SWITCH = 12.0
@@ -148,6 +148,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])],
             ["lang", "bucket", "n"],
         )
+    release_memory()
 
 
 class Model:
@@ -304,6 +305,8 @@ def _labelled(model: Model, switch: float, n_kept: int, text: str = "text"):
                     held, size = [], 0
         if held:
             yield from solve(held)
+        held = []
+        release_memory()
 
     return run
 

@@ -649,3 +649,25 @@ def test_pipeline(spark):
     assert set(kept) == clean and len(kept) == len(clean)
     places = mixing.positions(docs.filter(F.col("doc_id").isin(list(clean))), queries.SHARES)
     assert kept == [r._row.doc_id for r in places.orderBy("_position").collect()]
+
+
+def test_small_batches_bound_the_bytes_and_keep_a_smaller_setting(spark):
+    from panelforge.llm.graph import small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["b"])
+
+    before = spark.conf.get(key)
+    try:
+        small_batches(spark)
+        rows = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("t"))
+        got = [r.b for r in rows.mapInArrow(sizes, "b long").collect()]
+        assert len(got) > 5 and max(got) < 5 << 20
+        spark.conf.set(key, "1m")
+        small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
