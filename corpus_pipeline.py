@@ -8,6 +8,7 @@
 
 The first four return the columns of `documents`. The mix is the order of rows across and inside the
 files of its stage, which the last stage takes from the file names and row numbers that Spark gives.
+The stages let the session send texts to Python in batches of 4 MB (`small_batches`).
 """
 
 from __future__ import annotations
@@ -16,19 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import bagminhash, decontaminate, language, mixing, tokens
+from panelforge.llm.graph import small_batches
 from panelforge.llm.queries import SHARES, table, vocabulary
 from panelforge.session import scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.drop_unknown(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bagminhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -37,6 +42,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = scratch_path(spark, "corpus-tokens")
     placed = docs.select(
         "doc_id",
