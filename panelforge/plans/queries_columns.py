@@ -17,6 +17,7 @@ from panelforge.plans.registry import query
 from panelforge.plans.standins import START, Data
 from panelforge.session import scratch_path
 from panelforge.sources.readers import scan, signal_scan
+from panelforge.sources.signals import request_signals, write_signals
 from panelforge.sources.staged import StagedTable, bad_rows, good_rows, ingest_csv
 from panelforge.sources.writers import write_table
 
@@ -130,6 +131,47 @@ def csv_sink(d: Data):
     return table.read()
 
 
+@query(
+    "o_orderkey:l priority:s place:i day:d",
+    """WITH r AS (SELECT o_orderpriority AS priority, CAST(max(o_orderdate) AS DATE) - back AS first_day,
+                      CAST(max(o_orderdate) AS DATE) - back + 45 AS last_day
+               FROM orders CROSS JOIN (VALUES (45), (75), (400)) AS b(back)
+               WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') GROUP BY o_orderpriority, back)
+       SELECT o_orderkey, o_orderpriority AS priority, o_custkey % 25 AS place,
+              CAST(o_orderdate AS DATE) AS day
+       FROM orders
+       WHERE o_custkey % 25 IN (SELECT n_nationkey FROM nation JOIN region
+                                ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')
+         AND EXISTS (SELECT 1 FROM r WHERE r.priority = o_orderpriority
+                     AND CAST(o_orderdate AS DATE) BETWEEN r.first_day AND r.last_day)""",
+)
+def signal_archive(d: Data):
+    """Overlapping requests to an archive by signal, month and area."""
+    orders = d.table("orders").select(
+        "o_orderkey",
+        F.col("o_orderpriority").alias("priority"),
+        (F.col("o_custkey") % 25).cast("int").alias("place"),
+        F.col("o_orderdate").cast("date").alias("day"),
+    )
+    path = scratch_path(d.spark, "signals")
+    schema = write_signals(orders, path, "priority", "day", "place")
+    last = F.max(F.col("o_orderdate").cast("date"))
+    ends = (
+        d.table("orders")
+        .filter(F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM"))
+        .groupBy(F.col("o_orderpriority").alias("signal"))
+        .agg(last.alias("last"))
+        .withColumn("back", F.explode(F.array(*map(F.lit, (45, 75, 400)))))
+    )
+    start = F.date_sub("last", F.col("back"))
+    requests = ends.select("signal", start.alias("start"), F.date_add(start, 45).alias("end"))
+    places = d.table("nation").join(
+        d.table("region").filter(F.col("r_name") == "ASIA"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    places = places.select(F.col("n_nationkey").alias("place"))
+    return request_signals(d.spark, path, schema, requests, places, "priority", "day", "place")
+
+
 @query(
     "date:d n_orders:l",
     """SELECT g.date, count(o_orderkey) AS n_orders

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.nulls import ratio, safe_ln
 from panelforge.functions.text import significance
+from panelforge.operators import grams as M
 from panelforge.operators import inference as I
 from panelforge.operators import leastsquares as L
 from panelforge.plans.queries_growth import OFFSET_WINDOWS
@@ -366,6 +367,20 @@ def correlation_pvalue(d: Data):
     return I.with_t_pvalue(pairs.filter(F.col("x") != F.col("y")))
 
 
+@query(
+    "x:s y:s n:l mean_x:f8 r:f8",
+    """WITH cells AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS place
+                      FROM embeddings WHERE list_count(embedding[1:64]) = 64),
+            known AS (SELECT vec_id, place, CAST(v AS DOUBLE) AS v FROM cells WHERE place < 64)
+       SELECT 'embedding' || a.place AS x, 'embedding' || b.place AS y, count(*) AS n,
+              avg(a.v) AS mean_x, corr(a.v, b.v) AS r
+       FROM known AS a JOIN known AS b ON a.vec_id = b.vec_id GROUP BY a.place, b.place""",
+)
+def correlation_wide(d: Data):
+    """All pairs of 64 columns in one pass."""
+    return M.gram_table(d.table("embeddings"), M.vector_columns("embedding", range(64)))
+
+
 def pairs(d: Data):
     return I.posthoc_pairs(balances(d), "c_acctbal", "c_mktsegment", "region")
 

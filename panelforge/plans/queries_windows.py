@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.dates import shift_days as move_days
 from panelforge.functions.nulls import ratio, strict_sum
 from panelforge.operators import aggregates as A
+from panelforge.operators import intervals as V
 from panelforge.operators import ordered as O
 from panelforge.plans.registry import query
 from panelforge.plans.standins import END, MAIN_METHODS, SHARES, START, Data
@@ -182,3 +183,67 @@ def window_profile(d: Data):
 )
 def shift_days(d: Data):
     return move_days(d.signals(), "date", -24)
+
+
+# Days around a district's first order, as (label, first offset, last offset).
+BRACKETS = [("1 before", -21, 0), ("2 around", -7, 14), ("3 after", 0, 21), ("4 later", 15, 42)]
+
+
+@query(
+    "district:l bracket:s days:l deaths:l deaths_mean:f8 orders_mean:f8",
+    f"""SELECT w.district, w.bracket, count(p.date) AS days, sum(p.deaths) AS deaths,
+               avg(p.deaths) AS deaths_mean, avg(p.confirmed) AS orders_mean
+        FROM (SELECT county, district, bracket, opened + lo AS first_day, opened + hi AS last_day
+              FROM (SELECT county, district, min(open_date) AS opened FROM v_school GROUP BY 1, 2) AS o
+              CROSS JOIN (VALUES {", ".join(map(str, BRACKETS))}) AS b(bracket, lo, hi)) AS w
+        LEFT JOIN v_daily AS p
+          ON p.county = w.county AND p.date BETWEEN w.first_day AND w.last_day
+        GROUP BY w.district, w.bracket""",
+)
+def bracket_table(d: Data):
+    """Four overlapping windows per district over the panel of its county, from one table of windows."""
+    day = F.col("o_orderdate").cast("date")
+    opened = d.by_district(d.table("orders"), F.min(day).alias("opened"))
+    cells = [
+        F.struct(
+            F.lit(label).alias("bracket"),
+            F.date_add("opened", low).alias("first_day"),
+            F.date_add("opened", high).alias("last_day"),
+        )
+        for label, low, high in BRACKETS
+    ]
+    windows = opened.select("county", "district", F.inline(F.array(*cells)))
+    found = V.window_totals(
+        d.daily(),
+        windows,
+        "county",
+        "date",
+        "first_day",
+        "last_day",
+        {"deaths": F.col("deaths"), "orders": F.col("confirmed")},
+    )
+    return found.withColumnsRenamed({"rows": "days", "deaths_sum": "deaths"})
+
+
+@query(
+    "o_orderkey:l urgent:l days:i",
+    """SELECT o.o_orderkey, u.o_orderkey AS urgent,
+              CAST(o.o_orderdate AS DATE) - CAST(u.o_orderdate AS DATE) AS days
+       FROM orders AS o JOIN orders AS u ON u.o_custkey = o.o_custkey
+         AND u.o_orderpriority = '1-URGENT'
+         AND CAST(o.o_orderdate AS DATE) - CAST(u.o_orderdate AS DATE) BETWEEN -14 AND 28""",
+)
+def orders_near_urgent(d: Data):
+    """Orders from 14 days before to 28 days after each urgent order of their customer."""
+    rows = d.table("orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    windows = rows.filter(F.col("o_orderpriority") == "1-URGENT").select(
+        "o_custkey",
+        F.col("o_orderkey").alias("urgent"),
+        F.col("day").alias("urgent_day"),
+        F.date_sub("day", 14).alias("first_day"),
+        F.date_add("day", 28).alias("last_day"),
+    )
+    met = V.rows_in_windows(
+        rows.select("o_custkey", "o_orderkey", "day"), windows, "o_custkey", "day", "first_day", "last_day"
+    )
+    return met.withColumn("days", F.datediff("day", "urgent_day"))

@@ -55,4 +55,5 @@ TESTDATA = {
         "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
         "props string"
     ),
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
 }
