@@ -481,6 +481,80 @@ def posthoc_dunnett(d: Data):
     return I.dunnett(pairs(d), "BUILDING", "region")
 
 
+# Critical points of the other procedures, by halving an interval 40 times.
+def _halved(keys: str, seed: str, tail: str, level: str, top: int) -> str:
+    return f"""(WITH RECURSIVE halving AS (
+        SELECT DISTINCT {keys}, CAST(0 AS DOUBLE) AS lo, CAST({top} AS DOUBLE) AS hi, 0 AS step
+        FROM {seed} AS seed
+        UNION ALL
+        SELECT {keys}, CASE WHEN tail > {level} THEN (lo + hi) / 2 ELSE lo END,
+               CASE WHEN tail > {level} THEN hi ELSE (lo + hi) / 2 END, step + 1
+        FROM {tail} AS r WHERE step < 40)
+      SELECT {keys}, (lo + hi) / 2 AS point FROM halving WHERE step = 40)"""
+
+
+_MIDDLE = "((lo + hi) / 2)"
+_REACHES = f"(SELECT region, df2, greatest(reach, 2) AS reach FROM ({_PAIRS}) AS p)"
+_DUNCAN_POINT = _halved(
+    "region, df2, reach",
+    _REACHES,
+    S.range_tail("halving", _MIDDLE, "reach", "df2", "region, df2, reach, lo, hi, step"),
+    "1 - power(0.95, reach - 1)",
+    10,
+)
+_SCHEFFE_POINT = _halved(
+    "region, df2",
+    f"({_PAIRS})",
+    f"(SELECT *, {S.f_upper_4(_MIDDLE, 'df2')} AS tail FROM halving)",
+    "0.05",
+    50,
+)
+_DUNNETT_POINT = _halved(
+    "region, df2",
+    _AGAINST,
+    S.dunnett_tail(
+        f"(SELECT h.*, a.load FROM halving AS h JOIN {_AGAINST} AS a ON a.region = h.region)",
+        _MIDDLE,
+        "df2",
+        "load",
+        "region, df2, lo, hi, step",
+    ),
+    "0.05",
+    10,
+)
+
+
+@query(
+    "region:i group1:s group2:s diff:f6 lower:f4 upper:f4",
+    f"""SELECT p.region, group1, group2, diff, diff - point / sqrt(2) * se AS lower,
+               diff + point / sqrt(2) * se AS upper
+        FROM ({_PAIRS}) AS p JOIN {_DUNCAN_POINT} AS c
+          ON c.region = p.region AND c.reach = greatest(p.reach, 2)""",
+)
+def posthoc_duncan_interval(d: Data):
+    return I.duncan(pairs(d))
+
+
+@query(
+    "region:i group1:s group2:s diff:f6 lower:f4 upper:f4",
+    f"""SELECT p.region, group1, group2, diff, diff - sqrt(4 * point) * se AS lower,
+               diff + sqrt(4 * point) * se AS upper
+        FROM ({_PAIRS}) AS p JOIN {_SCHEFFE_POINT} AS c ON c.region = p.region""",
+)
+def posthoc_scheffe_interval(d: Data):
+    return I.scheffe(pairs(d))
+
+
+@query(
+    "region:i grp:s diff:f6 lower:f4 upper:f4",
+    f"""SELECT a.region, grp, diff, diff - point * abs(diff / t) AS lower,
+               diff + point * abs(diff / t) AS upper
+        FROM {_AGAINST} AS a JOIN {_DUNNETT_POINT} AS c ON c.region = a.region""",
+)
+def posthoc_dunnett_interval(d: Data):
+    return I.dunnett(pairs(d), "BUILDING", "region")
+
+
 _RANKS = """SELECT q.l_linestatus, k, n,
               (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h, k - 1 AS df1
        FROM (SELECT l_linestatus, count(*) AS k, sum(r * r / c) AS s, sum(c) AS n
