@@ -26,7 +26,8 @@ from panelforge.functions.tails import (
     tukey_critical,
     tukey_pvalue,
 )
-from panelforge.operators.ordered import attach, preceding_sums
+from panelforge.operators.moments import weighted_moments
+from panelforge.operators.ordered import preceding_sums
 
 
 def group_moments(df: DataFrame, y: str, group: str, test: str) -> DataFrame:
@@ -295,41 +296,12 @@ def with_t_pvalue(stats: DataFrame) -> DataFrame:
 
 def wls_simple(df: DataFrame, y: str, x: str, weight: str, test: str) -> DataFrame:
     """Weighted line of y on x per test, with r2; rows of zero weight do not count towards n."""
-    rows = df.filter(
-        F.col(y).isNotNull() & F.col(x).isNotNull() & (F.col(weight) > 0)
-    ).select(test, F.col(y).alias("y"), F.col(x).alias("x"), F.col(weight).alias("w"))
-    # Shifting by each test's own means keeps the one-pass moments accurate; the means are an
-    # aggregate that sends one row per test and task.
-    middle = rows.groupBy(test).agg(F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("_m"))
-    rows = attach(rows, middle, [test]).withColumns(
-        {"x": F.col("x") - F.col("_m.x"), "y": F.col("y") - F.col("_m.y")}
-    )
-    x, y, w = F.col("x"), F.col("y"), F.col("w")
-    out = rows.groupBy(test).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.first("_m").alias("_m"),
-        F.sum(w).alias("_w"),
-        F.sum(w * x).alias("_wx"),
-        F.sum(w * y).alias("_wy"),
-        F.sum(w * x * x).alias("_wxx"),
-        F.sum(w * x * y).alias("_wxy"),
-        F.sum(w * y * y).alias("_wyy"),
-    )
-    mx, my = F.col("_wx") / F.col("_w"), F.col("_wy") / F.col("_w")
-    out = out.withColumns(
-        {
-            "_mx": mx + F.col("_m.x"),
-            "_my": my + F.col("_m.y"),
-            "sxx": F.col("_wxx") - mx * F.col("_wx"),
-            "sxy": F.col("_wxy") - mx * F.col("_wy"),
-            "syy": F.col("_wyy") - my * F.col("_wy"),
-        }
-    )
+    out = weighted_moments(df, x, y, weight, test)
     slope = F.try_divide("sxy", "sxx")
     sse = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
     out = out.withColumn("slope", slope).withColumns(
         {
-            "intercept": F.col("_my") - F.col("slope") * F.col("_mx"),
+            "intercept": F.col("y") - F.col("slope") * F.col("x"),
             "r2": F.try_divide(F.col("slope") * F.col("sxy"), F.col("syy")),
             "se": F.when(F.col("n") > 2, F.sqrt(F.try_divide(sse, (F.col("n") - 2) * F.col("sxx")))),
         }
@@ -337,7 +309,7 @@ def wls_simple(df: DataFrame, y: str, x: str, weight: str, test: str) -> DataFra
     out = out.withColumns(
         {"t": F.try_divide("slope", "se"), "df2": (F.col("n") - 2).cast("bigint")}
     )
-    return out.select(test, "n", "slope", "intercept", "r2", "se", "t", "df2")
+    return out.select(F.col("test").alias(test), "n", "slope", "intercept", "r2", "se", "t", "df2")
 
 
 _SOLUTION = T.StructType(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import tails as T
 from panelforge.operators import inference as I
+from panelforge.operators import moments as M
 
 
 @pytest.fixture(scope="module")
@@ -173,3 +174,69 @@ def test_least_squares_keeps_the_digits_of_nearly_parallel_columns(spark):
     df = spark.createDataFrame(rows, "g int, a double, b double, y double")
     got = {r.term: r.est for r in L.fit_terms(df, "y", {"a": F.col("a"), "b": F.col("b")}, "g").collect()}
     assert got["a"] + got["b"] == pytest.approx(2, abs=1e-7) and got["b"] == pytest.approx(1e4, rel=1e-6)
+
+
+def test_weighted_lines_move_parts_only(spark):
+    """Rows stay where they are read: only parts, of one row per test and task, are exchanged."""
+    rows = spark.range(0, 60_000, 1, 6).select(
+        (F.col("id") % 3).alias("test"),
+        (F.xxhash64("id") % 1000).cast("double").alias("x"),
+        (F.xxhash64("id", F.lit(1)) % 1000).cast("double").alias("y"),
+        F.lit(0.5).alias("w"),
+    )
+    plan = I.wls_simple(rows, "y", "x", "w", "test")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+    batches = rows.select("test", "w", "x", "y").toArrow().to_batches(max_chunksize=500)
+    assert sum(p.num_rows for p in M._parts(iter(batches))) == 3
+
+
+KEYS = {
+    "long": "cast(k as bigint)",
+    "text": "'k' || cast(k as int)",
+    "flag": "k > 1000",
+    "double": "k",
+    "struct": "if(k is null, null, struct(k as a, array(cast(k as string)) as b))",
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+def test_weighted_lines_of_any_key(spark, kind):
+    """More tests than a task holds, hot and small ones, a null test, rows that do not count."""
+    rng = np.random.default_rng(3)
+    n = 9000
+    k = np.where(rng.random(n) < 0.4, -1, rng.integers(0, 3000, n)).astype(float)
+    frame = pd.DataFrame({"id": range(n), "k": k, "y": rng.normal(-3, 2, n), "w": rng.random(n)})
+    frame["x"] = rng.normal(1e6, 1, n)
+    frame.loc[rng.random(n) < 0.05, "w"] = 0
+    cells = spark.createDataFrame(frame).repartition(4, "id").withColumns(
+        {"k": F.expr("if(id % 10 = 3, null, k)"), "x": F.expr("if(id % 50 = 0, null, x)")}
+    )
+    cells = cells.withColumn("test", F.expr(KEYS[kind]))
+    got = {str(r.test): r for r in I.wls_simple(cells, "y", "x", "w", "test").collect()}
+    rows = pd.DataFrame([(str(r.test), r.x, r.y, r.w) for r in cells.dropna("any", subset=["x"]).collect()])
+    rows.columns = ["test", "x", "y", "w"]
+    groups = dict(list(rows[rows.w > 0].groupby("test")))
+    assert got.keys() == groups.keys() and "None" in got
+    for name, g in groups.items():
+        x, y, w = g.x.to_numpy(), g.y.to_numpy(), g.w.to_numpy()
+        mine = got[name]
+        assert mine.n == len(g)
+        if len(g) == 1:
+            assert mine.slope is None and mine.intercept is None and mine.se is None
+            continue
+        dx, dy = x - np.average(x, weights=w), y - np.average(y, weights=w)
+        slope = (w * dx * dy).sum() / (w * dx * dx).sum()
+        assert mine.slope == pytest.approx(slope, rel=1e-5)
+        if len(g) > 5:
+            rest = (w * (dy - slope * dx) ** 2).sum()
+            assert mine.se == pytest.approx(np.sqrt(rest / (len(g) - 2) / (w * dx * dx).sum()), rel=1e-5)
+
+
+def test_weighted_lines_without_spread_are_null(spark):
+    """Equal x in several parts have no slope, whatever their weights."""
+    rows = [("flat", 0.1, float(i), 0.3 + i) for i in range(50)] + [("nan", float(i), float("nan"), 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "test string, x double, y double, w double").repartition(7)
+    got = {r.test: r for r in I.wls_simple(df, "y", "x", "w", "test").collect()}
+    assert got["flat"].n == 50 and got["flat"].slope is None and got["flat"].t is None
+    assert got["nan"].n == 3 and np.isnan(got["nan"].slope)
