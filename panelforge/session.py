@@ -66,16 +66,17 @@ def file_system(spark: SparkSession, path: str):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing existing is overwritten.
 
-    Paths of one application lie in one folder, which goes when the driver's JVM ends; until then
-    every lazy result can still be read. A driver that was killed leaves it behind.
+    Paths of one name and application lie in one folder, which goes when the driver's JVM ends; until
+    then every lazy result can still be read. A driver that was killed leaves it behind, and so does a
+    session object without a JVM, which cannot mark it.
     """
-    root = f"{shared_folder(spark)}/panelforge/{spark.sparkContext.applicationId}"
-    if root not in _MARKED:
+    root = f"{shared_folder(spark)}/panelforge/{name}-{spark.sparkContext.applicationId}"
+    if root not in _MARKED and getattr(spark, "_jvm", None) is not None:
         fs, place = file_system(spark, root)
         fs.mkdirs(place)
         fs.deleteOnExit(place)
         _MARKED.add(root)
-    return f"{root}/{name}-{os.urandom(6).hex()}"
+    return f"{root}/{os.urandom(6).hex()}"
 
 
 def kept_table(df: DataFrame, name: str) -> DataFrame:
